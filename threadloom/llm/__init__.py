@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("warc", "media_ts")
+MODULES = ("warc", "media_ts", "quality_rules", "mixing")
 
 
 def _all(name: str) -> dict:
