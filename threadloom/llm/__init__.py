@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("warc", "media_ts", "quality_rules", "mixing")
+MODULES = ("mixing", "quality_rules", "token_files", "byte_bpe", "media_ts", "warc")
 
 
 def _all(name: str) -> dict:
