@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("mixing", "quality_rules", "token_files", "simhash", "quality_qda", "byte_bpe", "toxicity", "media_ts", "warc")
+MODULES = ("mixing", "quality_rules", "token_files", "simhash", "suffix_dedup", "quality_qda", "byte_bpe", "toxicity", "media_ts", "warc")
 
 
 def _all(name: str) -> dict:

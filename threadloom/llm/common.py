@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,3 +66,9 @@ def text_rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows:
         for at in range(0, batch.num_rows, rows):
             part = batch.slice(at, rows)
             yield [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps: it does so when their plans are collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
