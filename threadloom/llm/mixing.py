@@ -100,6 +100,7 @@ def lines(sized: DataFrame) -> DataFrame:
     buckets = max(1, -(-n // BUCKET_ROWS))
     key = F.md5(F.col("doc_id").cast("string"))
     d = sized.withColumn("has_source", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
+    key = F.concat(key, *[F.hex(c) for c in sized.columns if c == "tag"])
     d = d.withColumn("key", F.coalesce(key, F.lit(""))).withColumn("bucket", F.floor(F.conv(F.concat(F.lit("0"), F.substring("key", 1, 8)), 16, 10).cast("double") * buckets / float(2**32)).cast("long"))
     totals = d.groupBy("has_source", "source", "bucket").agg(F.sum("size").alias("words"))
     before = totals.withColumn("before", F.sum("words").over(W.partitionBy("has_source", "source").orderBy("bucket")) - F.col("words")).drop("words")
@@ -118,13 +119,39 @@ def mix(spark: SparkSession, sized: DataFrame, block: int = BLOCK) -> DataFrame:
     sources = materialize(spark, with_slots(source_targets(sized), block), "mix-sources")
     asked = schedule(spark, sources, block).select("has_source", "source", "block_no", "slot_words")
     placed = lines(sized)
-    pieces = placed.select("has_source", "source", "bucket", "row", "doc_id", "size", "at", F.explode_outer(F.expr(f"case when size > 0 then sequence(at div {block}L, (at + size - 1) div {block}L) end")).alias("block_no"))
+    own = [c for c in ("tag",) if c in sized.columns]
+    pieces = placed.select("has_source", "source", "bucket", "row", "doc_id", *own, "size", "at", F.explode_outer(F.expr(f"case when size > 0 then sequence(at div {block}L, (at + size - 1) div {block}L) end")).alias("block_no"))
     first = F.greatest(F.col("at"), F.col("block_no") * block) - F.col("block_no") * block
     last = F.least(F.col("at") + F.col("size"), (F.col("block_no") + 1) * block) - F.col("block_no") * block
     taken = F.greatest(F.lit(0), F.least(last, F.coalesce("slot_words", F.lit(0))) - first)
-    rows = pieces.join(asked, ["has_source", "source", "block_no"], "left").groupBy("has_source", "source", "bucket", "row", "doc_id", "size").agg(F.sum(taken).cast("long").alias("taken"))
+    rows = pieces.join(asked, ["has_source", "source", "block_no"], "left").groupBy("has_source", "source", "bucket", "row", "doc_id", *own, "size").agg(F.sum(taken).cast("long").alias("taken"))
     out = rows.join(F.broadcast(sources.select("has_source", "source", "source_size", "target")) if _small(sources) else sources.select("has_source", "source", "source_size", "target"), ["has_source", "source"])
-    return out.select("doc_id", F.when(F.col("has_source"), F.col("source")).alias("source"), "size", "source_size", "target", "taken")
+    return out.select("doc_id", *own, F.when(F.col("has_source"), F.col("source")).alias("source"), "size", "source_size", "target", "taken")
+
+
+def take(spark: SparkSession, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mixed rows, columns as they were: a row as often as the mix takes it whole, and once more with its first words only where the mix ends inside it.
+
+    Rows of equal doc_id, source and text count as one document. ``n_chars`` of a row that is cut is counted anew.
+    """
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", tag.alias("tag"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+    mixed = mix(spark, sized, block).groupBy("doc_id", "tag", "source", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("n")).filter("taken > 0")
+    mixed = materialize(spark, mixed, "mix-taken")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").alias("_source"), tag.alias("_tag"))
+    if mixed.filter("n > 1").limit(1).count():
+        rows = rows.dropDuplicates(["_id", "_source", "_tag"])
+    m = mixed
+    rows = rows.join(m, rows["_id"].eqNullSafe(m["doc_id"]) & rows["_source"].eqNullSafe(m["source"]) & (rows["_tag"] == m["tag"]))
+    rest = F.expr("taken % size")
+    rows = rows.select("row", rest.alias("rest"), F.explode(F.expr("sequence(1L, cast(ceil(taken / size) as bigint))")).alias("k"), F.expr("taken div size").alias("whole"))
+    pieces = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), 0)
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("rest").cast("int")), "")
+    text = F.when(F.col("k") <= F.col("whole"), F.col("row.text")).otherwise(cut)
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("k") <= F.col("whole"), F.col("row.n_chars")).otherwise(F.length(cut).cast("long"))
+    return rows.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _small(sources: DataFrame, most: int = 10_000) -> bool:

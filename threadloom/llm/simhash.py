@@ -254,6 +254,17 @@ def components(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, shing
     return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows whose doc_id is their component's least, one for each doc_id, and those without a doc_id; columns as they were."""
+    found = components(spark, docs)
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).filter("first")
+    ids = materialize(spark, ids.select(F.col("doc_id").alias("_kept_id"), "n"), "kept-ids")
+    out = docs.join(ids.select("_kept_id"), docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    if ids.filter("n > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionAll(docs.filter(docs["doc_id"].isNull()))
+
+
 def hex_of(column: str):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 

@@ -35,6 +35,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -344,6 +345,36 @@ def kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def strip_text(text: str, spans: list[dict] | None) -> str:
+    """The text without the spans; a character that a span cuts stays whole."""
+    data = text.encode()
+    gone = []
+    for a, b in merged(spans):
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        gone.append((a, b))
+    return kept(data, gone).decode()
+
+
+def strip(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows with repeated passages taken out of ``text`` (and ``n_chars`` counted anew); rows that lose all their words that way are left out."""
+    found = spans(spark, docs).select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "spans")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 40).alias("tag"))
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")
+
+    @F.pandas_udf("string")
+    def stripped(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None or t is None else strip_text(t, list(s)) for t, s in zip(texts, found, strict=True)], dtype=object)
+
+    # a Generate, so that the filter stays above the function
+    rows = rows.select("row", F.col("spans").isNull().alias("whole"), F.explode(F.array(stripped(F.col("row.text"), F.col("spans")))).alias("text"))
+    rows = rows.filter(F.col("whole") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
