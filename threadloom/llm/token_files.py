@@ -21,7 +21,9 @@ empty table gives an empty manifest and no rows.
 
 from __future__ import annotations
 
+import codecs
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,42 +45,54 @@ END_ID = 2
 #: Characters of Unicode's White_Space; str.split() also splits at the four separators \x1c to \x1f.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class ChunkEncoder:
+def _byte_letters() -> str:
+    """The character that stands for each byte in byte-level vocabularies: itself where it prints, else one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return "".join(chr(b if b in prints else 256 + rest.index(b)) for b in range(256))
+
+
+class ChunkEncoder(dict):
+    """Ids (as bytes) of white-space separated chunks; what is asked for and missing is encoded."""
+
     def __init__(self, path: str) -> None:
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-
-    def _encode_chunks(self, chunks: list[str], step: int = 4096) -> list[bytes]:
-        """Ids of each chunk. Many chunks are one call to the library, with a special token between them."""
-        special = self.tokenizer.get_added_tokens_decoder()
-        joined = "\n".join(chunks)
-        if not special or any(t.content in joined for t in special.values()):
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        between, token = next(iter(special.items()))
-        out = []
-        for at in range(0, len(chunks), step):
-            ids = np.array(self.tokenizer.encode_batch_fast([token.content.join(chunks[at : at + step])], add_special_tokens=False)[0].ids, self.dtype)
-            raw, cut, size = ids.tobytes(), np.flatnonzero(ids == between), self.dtype.itemsize
-            out += [raw[a:b] for a, b in zip([0, *(size * (cut + 1)).tolist()], [*(size * cut).tolist(), len(raw)], strict=True)]
-        return out
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def __missing__(self, chunk: str) -> bytes:
+        # letters with marks behind are two words of the pattern; letters in lower case and composed form are one word as they stand
+        head = chunk.rstrip(_MARKS)
+        if head and head.isalpha() and "\u03a3" not in head and (head.isascii() or unicodedata.is_normalized("NFC", head)) and (word := head.lower()).isalpha():
+            got = self.get(word)
+            if got is None:
+                plain = word if word.isascii() else codecs.charmap_decode(word.encode(), "strict", self.letters)[0]
+                got = np.array([t.id for t in self.model.tokenize(plain)], self.dtype).tobytes()
+                if len(word) <= MEMO_LENGTH:
+                    self[word] = got
+            if len(head) < len(chunk):
+                got += self[chunk[len(head) :]]
+        else:
+            got = np.array(self.tokenizer.encode_batch_fast([chunk], add_special_tokens=False)[0].ids, self.dtype).tobytes()
+        if len(chunk) <= MEMO_LENGTH:
+            self[chunk] = got
+        return got
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        split = [[c for c in _SPACE.split(t) if c] if _SEPARATORS.search(t) else t.split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo, long = self.memo, {}
-        fresh = [c for c in {c for chunks in split for c in chunks} if c not in memo]
-        for c, ids in zip(fresh, self._encode_chunks(fresh), strict=True):
-            (memo if len(c) <= MEMO_LENGTH else long)[c] = ids
-        last = np.array([end], self.dtype).tobytes()
-        get = memo.__getitem__ if not long else lambda c: memo[c] if len(c) <= MEMO_LENGTH else long[c]
-        return [np.frombuffer(b"".join(map(get, chunks)) + last, self.dtype) for chunks in split]
+        if len(self) > MEMO:
+            self.clear()
+        last, get, out = np.array([end], self.dtype).tobytes(), self.__getitem__, []
+        for t in texts:
+            chunks = filter(None, _SPACE.split(t)) if _SEPARATORS.search(t) else t.split()
+            out.append(np.frombuffer(b"".join(map(get, chunks)) + last, self.dtype))
+        return out
 
 
 @lru_cache(2)
@@ -128,7 +142,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, uri: str, end_
     """Write token and index files below ``uri`` and return the manifest: part, path, index_path, documents, tokens."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = text_rows(batches, ("doc_id", "text"), 256)
+        rows = text_rows(batches, ("doc_id", "text"), 1024)
         first = next(rows, None)
         if first is None:
             return
