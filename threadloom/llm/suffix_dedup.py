@@ -44,7 +44,7 @@ from .common import materialize, release, table, text_rows
 
 LENGTH, ANCHOR = 200, 48
 #: Window starts that are handled at once; bytes of content compared at once; bytes of one collection.
-SEGMENT, COMPARED, COLLECTION = 1 << 19, 4 << 20, 1 << 20
+SEGMENT, COMPARED, COLLECTION = 1 << 19, 2 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240101).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -132,15 +132,29 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.concatenate([x[k] for x in found]).view(np.int64)) for k in (0, 1)] + [owner, pa.array(np.concatenate([x[3] for x in found]))], ["anchor", "content", "doc_id", "place"])
 
 
+def _lists(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> tuple[list[int], list[int], list[np.ndarray]]:
+    """Where each row's list starts and ends, and the fields of all lists, without a Python object for each."""
+    lists = batch.column(batch.schema.get_field_index(name))
+    offsets = lists.offsets.to_numpy()
+    return offsets[:-1].tolist(), offsets[1:].tolist(), [lists.values.field(f).to_numpy(zero_copy_only=False) for f in fields]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contents of the runs asked for."""
-    for texts, wanted in text_rows(batches, ("text", "wanted"), 64):
-        rows = []
-        for text, runs in zip(texts, wanted, strict=True):
+    for batch in _slices(batches, 128):
+        first, last, (anchor, content, n, start, windows) = _lists(batch, "wanted", ("anchor", "content", "n", "start", "windows"))
+        texts, a, b = batch.column(batch.schema.get_field_index("text")).to_pylist(), first[0], last[-1]
+        out = []
+        for text, x, y in zip(texts, first, last, strict=True):
             data = text.encode()
-            rows += [(r["anchor"], r["content"], r["n"], data[r["start"] : r["start"] + r["windows"] + LENGTH - 1]) for r in runs]
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "content", "n", "bytes"])
+            out += [data[p : p + w + LENGTH - 1] for p, w in zip(start[x:y].tolist(), windows[x:y].tolist(), strict=True)]
+        yield pa.record_batch([pa.array(anchor[a:b]), pa.array(content[a:b]), pa.array(n[a:b]), pa.array(out, pa.binary())], ["anchor", "content", "n", "bytes"])
 
 
 class Collection:
@@ -329,15 +343,14 @@ def joined(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return _key(docs).join(s, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("doc_id", "text", "spans")
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def merged(first: np.ndarray, after: np.ndarray) -> list[tuple[int, int]]:
     """Overlapping and touching spans as one."""
-    out: list[list[int]] = []
-    for a, b in sorted({(s["a"], s["b"]) for s in spans or ()}):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+    if not len(first):
+        return []
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(after[order])
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > reach[:-1]]))
+    return list(zip(first[new].tolist(), reach[np.append(new[1:], len(first)) - 1].tolist(), strict=True))
 
 
 def kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -345,11 +358,11 @@ def kept(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def strip_text(text: str, spans: list[dict] | None) -> str:
-    """The text without the spans; a character that a span cuts stays whole."""
+def strip_text(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the merged spans; a character that a span cuts stays whole."""
     data = text.encode()
     gone = []
-    for a, b in merged(spans):
+    for a, b in spans:
         while a < b and data[a] & 0xC0 == 0x80:
             a += 1
         while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
@@ -365,11 +378,11 @@ def strip(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")
 
     @F.pandas_udf("string")
-    def stripped(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or t is None else strip_text(t, list(s)) for t, s in zip(texts, found, strict=True)], dtype=object)
+    def stripped(texts: pd.Series, first: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([t if a is None or t is None else strip_text(t, merged(np.asarray(a), np.asarray(b))) for t, a, b in zip(texts, first, after, strict=True)], dtype=object)
 
     # a Generate, so that the filter stays above the function
-    rows = rows.select("row", F.col("spans").isNull().alias("whole"), F.explode(F.array(stripped(F.col("row.text"), F.col("spans")))).alias("text"))
+    rows = rows.select("row", F.col("spans").isNull().alias("whole"), F.explode(F.array(stripped(F.col("row.text"), F.col("spans.a"), F.col("spans.b")))).alias("text"))
     rows = rows.filter(F.col("whole") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return rows.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
@@ -379,11 +392,13 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_remove
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts, found in text_rows(batches, ("doc_id", "text", "spans"), 256):
+    for batch in _slices(batches, 256):
+        first, last, (a, b) = _lists(batch, "spans", ("a", "b"))
+        ids, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text"))
         rows = []
-        for doc_id, text, s in zip(ids, texts, found, strict=True):
-            data, gone = text.encode(), merged(s)
-            rows.append((doc_id, len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept(data, gone)).hexdigest()))
+        for doc_id, text, x, y in zip(ids, texts, first, last, strict=True):
+            data, gone = text.encode(), merged(a[x:y], b[x:y])
+            rows.append((doc_id, len(data), sum(q - p for p, q in gone), len(gone), hashlib.sha256(kept(data, gone)).hexdigest()))
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
 
 
