@@ -106,30 +106,42 @@ def _pack(start: np.ndarray, tag: int, windows: np.ndarray) -> np.ndarray:
     return start.astype(np.int64) << 32 | tag << 8 | windows
 
 
-def _start() -> Column:
-    return F.shiftright("place", 32)
+def _start(place: Column) -> Column:
+    return F.shiftright(place, 32)
 
 
-def _tag() -> Column:
-    return F.shiftright("place", 8).bitwiseAND(F.lit((1 << 24) - 1))
+def _tag(place: Column) -> Column:
+    return F.shiftright(place, 8).bitwiseAND(F.lit((1 << 24) - 1))
 
 
-def _windows() -> Column:
-    return F.col("place").bitwiseAND(F.lit(255))
+def _windows(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(255))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's different runs, each with all its places: a passage that fills a document is one row of it."""
     for ids, tags, texts in text_rows(batches, ("doc_id", "tag", "text"), 256):
-        found = []
+        anchors, contents, owners, places, counts = [], [], [], [], []
         for doc_id, tag, text in zip(ids, tags, texts, strict=True):
             data = np.frombuffer(text.encode(), np.uint8)
+            parts = []
             for at in range(0, max(0, len(data) - LENGTH + 1), SEGMENT):
                 start, windows, anchor, content = runs_of(data[at : at + SEGMENT + LENGTH - 1])
-                found.append((anchor, content, doc_id, _pack(start + at, tag, windows)))
-        if found:
-            n = [len(x[0]) for x in found]
-            owner = pa.array([x[2] for x in found], pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
-            yield pa.record_batch([pa.array(np.concatenate([x[k] for x in found]).view(np.int64)) for k in (0, 1)] + [owner, pa.array(np.concatenate([x[3] for x in found]))], ["anchor", "content", "doc_id", "place"])
+                parts.append((anchor, content, _pack(start + at, tag, windows)))
+            if not parts:
+                continue
+            anchor, content, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((place, content, anchor))
+            anchor, content = anchor[order], content[order]
+            new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
+            anchors.append(anchor[new]), contents.append(content[new]), places.append(place[order]), owners.append(doc_id)
+            counts.append(np.diff(np.append(new, len(anchor))))
+        if anchors:
+            n = [len(x) for x in anchors]
+            owner = pa.array(owners, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)))
+            yield pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (anchors, contents)] + [owner, lists], ["anchor", "content", "doc_id", "places"])
 
 
 def _lists(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> tuple[list[int], list[int], list[np.ndarray]]:
@@ -319,22 +331,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, tag and the spans (arrays of first byte, byte after) to remove, of documents that have any."""
     keyed = _key(docs)
-    runs = keyed.filter(F.octet_length("text") >= LENGTH).select("doc_id", "tag", "text").mapInArrow(_runs, "anchor long, content long, doc_id long, place long")
-    seen = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).filter("n > 1")
+    runs = keyed.filter(F.octet_length("text") >= LENGTH).select("doc_id", "tag", "text").mapInArrow(_runs, "anchor long, content long, doc_id long, places array<long>")
+    seen = runs.groupBy("anchor").agg(F.sum(F.size("places")).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).filter("n > 1")
     shared = materialize(spark, runs.join(seen.select("anchor", (F.col("low") != F.col("high")).alias("many")), "anchor"), "runs")
     release(spark)
-    many = shared.filter("many").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "place")).alias("one"))
+    many = shared.filter("many").groupBy("anchor", "content").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("doc_id", F.col("places")[0].alias("place"))).alias("one"))
     many = materialize(spark, many.select("anchor", "content", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.place").alias("place")), "contents")
-    wanted = many.groupBy(F.col("doc_id").alias("of"), _tag().alias("of_tag")).agg(F.collect_list(F.struct("anchor", "content", "n", _start().alias("start"), _windows().alias("windows"))).alias("wanted"))
+    place = F.col("place")
+    wanted = many.groupBy(F.col("doc_id").alias("of"), _tag(place).alias("of_tag")).agg(F.collect_list(F.struct("anchor", "content", "n", _start(place).alias("start"), _windows(place).alias("windows"))).alias("wanted"))
     contents = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag"))).select("text", "wanted").mapInArrow(_extract, "anchor long, content long, n long, bytes binary")
     verdict = contents.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_compare, "anchor long, content long, first long, last long")
     verdict = materialize(spark, verdict, "verdicts")
     release(spark)
     twice = many.filter("n > 1").select("anchor", "content", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
-    found = shared.filter("many").join(twice.unionByName(verdict), ["anchor", "content"]).select("doc_id", "place", "first", "last")
-    found = found.unionByName(shared.filter("not many").select("doc_id", "place", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))
-    ends = F.struct((_start() + F.col("first")).alias("a"), (_start() + F.coalesce("last", _windows() - 1) + LENGTH).alias("b"))
-    return found.groupBy("doc_id", _tag().alias("tag")).agg(F.collect_list(ends).alias("spans"))
+    found = shared.filter("many").join(twice.unionByName(verdict), ["anchor", "content"]).select("doc_id", "places", "first", "last")
+    found = found.unionByName(shared.filter("not many").select("doc_id", "places", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))
+    ends = F.transform("places", lambda p: F.struct((_start(p) + F.col("first")).alias("a"), (_start(p) + F.coalesce("last", _windows(p) - 1) + LENGTH).alias("b")))
+    found = found.select("doc_id", _tag(F.col("places")[0]).alias("tag"), ends.alias("ends"))
+    return found.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("ends")).alias("spans"))
 
 
 def joined(spark: SparkSession, docs: DataFrame) -> DataFrame:
