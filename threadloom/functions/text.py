@@ -94,7 +94,7 @@ def between(text: Column | str, tag: str) -> Column:
     t = _c(text)
     start = F.locate(f"<{tag}>", t)
     end = F.length(t) - F.locate(f">{tag[::-1]}/<", F.reverse(t)) - len(tag) - 1
-    return F.when((start > 0) & (F.locate(f"</{tag}>", t) > 0) & (end >= start + len(tag) + 2), t.substr(start + len(tag) + 2, end - start - len(tag) - 1))
+    return F.when((start > 0) & (F.locate(f"</{tag}>", t) > 0) & (end >= start + len(tag) + 2), t.substr(start + len(tag) + 2, end - start - len(tag) - 2))
 
 
 def redact(text: Column | str, secret: str | None) -> Column:
