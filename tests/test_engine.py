@@ -241,3 +241,33 @@ def test_readers(spark, tmp_path):
     assert readers.parse_env("# c\nexport A='1'\nB=2 # x\n") == {"A": "1", "B": "2"}
     m = spark.createDataFrame([("c", 0, '{"role":"assistant","text":"t","toolUses":[{"tool_use_id":"i","tool":"f","input":{"a":1}}]}')], "conv_id string, idx int, message_json string")
     assert json.loads(readers.tool_uses_shape(m).first().message_json)["content"][1] == {"type": "tool_use", "id": "i", "name": "f", "input": {"a": 1}}
+
+
+def test_to_openai_and_back(spark):
+    from threadloom.sources.shapes import append_system, to_openai
+
+    out = to_openai(messages(spark, SHAPES))
+    f = {(r.conv_id, r.idx): r for r in normalize(out, "openai").collect()}
+    assert f["anthropic", 1].kind == "tool_call" and f["anthropic", 2].kind == "tool_result" and f["langchain", 1].tool_call_ids == ["l1"] and f["legacy", 1].kind == "tool_result"
+    assert sum(len(h) for h in SHAPES.values()) == out.count()
+    r = spark.range(1).select(append_system(F.lit('"a"'), F.lit("b")).alias("s"), append_system(F.lit('[{"type":"text","text":"a"}]'), F.lit("b")).alias("l"), append_system(F.lit(None).cast("string"), F.lit("b")).alias("n")).first()
+    assert json.loads(r.s) == "a\n\nb" and len(json.loads(r.l)) == 2 and json.loads(r.n) == "b"
+
+
+def test_ladder(spark):
+    from threadloom.operators.skeleton import ladder
+
+    f = normalize(generated(spark, 3, 60))
+    opts = Options(keep_recent=2, state_tokens=4000)
+    pre = prepass(group_units(f), default_goals(f), opts)
+    got = ladder(pre, opts, lambda sk: sk.filter("state_tokens > 900")).groupBy("conv_id").agg(F.first("attempt").alias("k"), F.first("state_tokens").alias("t")).collect()
+    assert len(got) == 3 and all(r.k > 0 for r in got)
+
+
+def test_custom_tokens_reasoning_and_cost(spark):
+    m = messages(spark, {"c": [{"role": "assistant", "content": [{"type": "thinking", "text": "x"}, {"type": "text", "text": "y"}]}, {"role": "assistant", "content": [{"type": "thinking", "text": "z"}]}]})
+    assert normalize(m, count_tokens=T.tokens_by_bytes).filter("tokens > 0").count() == 2
+    assert [json.loads(r.message_json)["content"] for r in B.drop_reasoning(m).orderBy("idx").collect()] == [[{"type": "text", "text": "y"}], [{"type": "thinking", "text": "z"}]]
+    assert B.drop_reasoning(m, False).count() == 1
+    u = spark.createDataFrame([("c", 10, 1), ("c", 20, 2)], "conv_id string, input_tokens int, output_tokens int")
+    assert B.cost(u, 0.5, 2.0).first().usd == 21.0

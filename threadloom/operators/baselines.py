@@ -227,6 +227,33 @@ def serialize_turns(frames: DataFrame) -> DataFrame:
     return frames.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["x"]), "\n\n").alias("serialized"))
 
 
+def drop_reasoning(messages: DataFrame, before_last: bool = True) -> DataFrame:
+    """Messages (conv_id, idx, message_json) without their reasoning blocks, all or all but the last message's; a message of nothing else goes."""
+    blocks = F.from_json(F.get_json_object("message_json", "$.content"), "array<string>")
+    keep = F.filter(blocks, lambda b: ~F.coalesce(F.get_json_object(b, "$.type"), F.lit("")).isin("reasoning", "thinking", "redacted_thinking"))
+    last = F.col("idx") == F.max("idx").over(_BY())
+    touched = F.coalesce(F.size(keep) < F.size(blocks), F.lit(False)) & (~last if before_last else F.lit(True))
+    role = F.to_json(F.struct(F.get_json_object("message_json", "$.role").alias("role")))
+    made = F.concat(F.regexp_replace(role, r"\}\z", ""), F.lit(',"content":['), F.array_join(keep, ","), F.lit("]}"))
+    return messages.withColumn("_t", touched).filter(~F.col("_t") | (F.size(keep) > 0)).withColumn("message_json", F.when(F.col("_t"), made).otherwise(F.col("message_json"))).drop("_t")
+
+
+def summary_place(head: DataFrame, tail: DataFrame) -> DataFrame:
+    """conv_id, role of a summary between head and tail, and whether it must go into the tail's first message (both neighbours would clash)."""
+    h = head.groupBy("conv_id").agg(F.max_by("role", "idx").alias("before"))
+    t = tail.groupBy("conv_id").agg(F.min_by("role", "idx").alias("after"))
+    df = h.join(t, "conv_id", "full")
+    role = F.when(F.coalesce("before", F.lit("system")).isin("assistant", "tool"), "user").otherwise("assistant")
+    flip = F.when(role == "user", "assistant").otherwise("user")
+    clash = F.coalesce(role == F.col("after"), F.lit(False))
+    return df.select("conv_id", F.when(clash & (flip != F.col("before")), flip).otherwise(role).alias("role"), (clash & F.coalesce(flip == F.col("before"), F.lit(False))).alias("merge_into_tail"))
+
+
+def cost(usage: DataFrame, per_input: float, per_output: float) -> DataFrame:
+    """conv_id and dollars, summed over the iterations of usage(conv_id, input_tokens, output_tokens)."""
+    return usage.groupBy("conv_id").agg((F.sum("input_tokens") * per_input + F.sum("output_tokens") * per_output).alias("usd"))
+
+
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "truncate_oldest": truncate_oldest, "structural_prune": structural_prune, "newest_user_messages": newest_user_messages, "tool_output_budget": tool_output_budget,
     "keep_last": keep_last, "turn_tail": turn_tail, "dedupe_results": dedupe_results, "trim_last": trim_last,

@@ -7,6 +7,7 @@ row markers by conversation, joined back by key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -94,8 +95,8 @@ def call_infos() -> Column:
     return F.concat(F.coalesce(first.cast(info), none), F.coalesce(F.transform(m["tool_calls"], one).cast(info), none))
 
 
-def normalize(messages: DataFrame, fmt: str = "auto", pin: Column | None = None) -> DataFrame:
-    """Frames of messages(conv_id, idx, message_json). ``pin`` is a predicate Column over the messages' columns."""
+def normalize(messages: DataFrame, fmt: str = "auto", pin: Column | None = None, count_tokens: Callable[[Column], Column] = T.est_tokens) -> DataFrame:
+    """Frames of messages(conv_id, idx, message_json). ``pin`` is a predicate Column over the messages' columns, ``count_tokens`` a function of a message's JSON."""
     df = parsed(messages)
     df = df.withColumn("format", F.lit(fmt)) if fmt != "auto" else df.join(detect_format(df), "conv_id")
     df = df.withColumn("role", role_of()).withColumn("calls", call_infos())
@@ -119,7 +120,7 @@ def normalize(messages: DataFrame, fmt: str = "auto", pin: Column | None = None)
     pinned = F.coalesce(m["pin"], F.lit(False)) | (F.coalesce(pin, F.lit(False)) if pin is not None else F.lit(False))
     df = df.withColumn("kind", kind).withColumn("text", text).withColumn("tool_call_ids", ids).withColumn("tool_names", names).withColumn("pinned", pinned)
     return df.select(
-        "conv_id", "idx", "format", "role", "kind", "text", T.u16len("text").alias("chars"), T.est_tokens("message_json").alias("tokens"), T.paths("text").alias("paths"),
+        "conv_id", "idx", "format", "role", "kind", "text", T.u16len("text").alias("chars"), count_tokens(F.col("message_json")).alias("tokens"), T.paths("text").alias("paths"),
         T.has_code("text").alias("has_code"), "tool_call_ids", "tool_names", T.content_hash("role", "text").alias("hash"), "pinned",
     )
 
