@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_rows
+from .common import table, text_rows, tidy
 
 #: Bytes of a piece beyond which the heap is used; pieces remembered by each worker; the longest that is remembered.
-LONG, MEMO, MEMO_LENGTH = 256, 400_000, 64
+LONG, MEMO, MEMO_LENGTH = 256, 100_000, 64
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, LONG)
 NONE = np.iinfo(np.int32).max
 
@@ -198,6 +198,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             values = np.concatenate([*ids, np.empty(0, np.int32)])
             yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["doc_id", "ids"])
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -72,3 +74,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps: it does so when their plans are collected as garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def tidy() -> None:
+    """Give memory that a worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -40,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table, text_rows
+from .common import materialize, release, table, text_rows, tidy
 
 LENGTH, ANCHOR = 200, 48
 #: Window starts that are handled at once; bytes of content compared at once; bytes of one collection.
-SEGMENT, COMPARED, COLLECTION = 1 << 19, 2 << 20, 1 << 20
+SEGMENT, COMPARED, COLLECTION = 1 << 19, 1 << 20, 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240101).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -142,6 +142,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)))
             yield pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (anchors, contents)] + [owner, lists], ["anchor", "content", "doc_id", "places"])
+    tidy()
 
 
 def _lists(batch: pa.RecordBatch, name: str, fields: tuple[str, ...]) -> tuple[list[int], list[int], list[np.ndarray]]:
@@ -326,6 +327,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(row)
             size += len(row[3])
     yield made(held)
+    tidy()
 
 
 def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
