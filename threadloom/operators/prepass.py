@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..options import Options
+from .normalize import GOAL_CHARS
 
 
-def pins(units: DataFrame, goals: DataFrame, opts: Options) -> DataFrame:
-    """Adds pin_reason (null: not pinned): system, caller, recent, goal path, code, in this order."""
-    df = units.join(goals, "conv_id", "left")
+def with_goals(units: DataFrame, goals: DataFrame | None = None) -> DataFrame:
+    """Adds goal: the one given, else the last user message's text. User frames are units of their own, so it is a window over units."""
+    user = F.col("first_kind") == "user"
+    own = F.max_by(F.when(user, F.substring("text", 1, GOAL_CHARS)), F.when(user, F.col("unit_pos"))).over(W.partitionBy("conv_id"))
+    df = units.withColumn("goal", F.coalesce(own, F.lit("")))
+    if goals is None:
+        return df
+    given = goals.select("conv_id", F.col("goal").alias("_given"))
+    return df.join(given, "conv_id", "left").withColumn("goal", F.coalesce("_given", "goal")).drop("_given")
+
+
+def pins(units: DataFrame, goals: DataFrame | None, opts: Options) -> DataFrame:
+    """Adds goal and pin_reason (null: not pinned): system, caller, recent, goal path, code, in this order."""
+    df = with_goals(units, goals)
     df = df.withColumn("n_units", F.count(F.lit(1)).over(W.partitionBy("conv_id")))
     goal = F.lower(F.coalesce("goal", F.lit("")))
     unit_paths = F.array_distinct(F.flatten(F.col("frames")["paths"]))
@@ -37,7 +49,7 @@ def duplicates(units: DataFrame) -> DataFrame:
     return units.withColumn("dup_reason", F.when(free & (last != F.col("unit_pos")), F.concat(F.lit("duplicate of u"), last.cast("string"))))
 
 
-def prepass(units: DataFrame, goals: DataFrame, opts: Options) -> DataFrame:
+def prepass(units: DataFrame, goals: DataFrame | None, opts: Options) -> DataFrame:
     """Adds pin_reason, dup_reason and is_candidate."""
     df = duplicates(pins(units, goals, opts))
     return df.withColumn("is_candidate", F.col("pin_reason").isNull() & F.col("dup_reason").isNull())

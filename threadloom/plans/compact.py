@@ -18,10 +18,11 @@ from ..functions.patterns import PATTERNS
 from ..operators import decide as D
 from ..operators import findings as X
 from ..operators.judge import LexicalJudge, average_signals, average_votes
-from ..operators.normalize import normalize, resolve_goals
+from ..operators.normalize import normalize
 from ..operators.prepass import prepass
 from ..operators.units import group_units, pending_units
 from ..options import Options
+from .store import stored
 
 
 @dataclass(frozen=True)
@@ -35,18 +36,16 @@ class Result:
     units: DataFrame
 
 
-def compact(messages: DataFrame, opts: Options = Options(), judge=None, goals: DataFrame | None = None, pin: Column | None = None, cooling: DataFrame | None = None, escrow: DataFrame | None = None, checkpoint: bool = False) -> Result:
+def compact(messages: DataFrame, opts: Options = Options(), judge=None, goals: DataFrame | None = None, pin: Column | None = None, cooling: DataFrame | None = None, escrow: DataFrame | None = None, store: bool = True) -> Result:
     """Compact the histories of messages(conv_id, idx, message_json).
 
     goals: conv_id, goal. cooling: conv_id of histories whose judge is skipped. escrow: conv_id, approved, a verdict on blocked ones.
-    checkpoint: cut the lineage after grouping, where the plan forks.
+    store: write units, and decisions, to the shared folder once, where the plan forks.
     """
     judge = judge or LexicalJudge()
-    frames = normalize(messages, opts.format, pin)
-    units = group_units(frames)
-    if checkpoint:
-        units = units.checkpoint()
-    goals = resolve_goals(frames, goals)
+    units = group_units(normalize(messages, opts.format, pin))
+    if store:
+        units = stored(units, "units")
     pre = prepass(units, goals, opts)
     w = W.partitionBy("conv_id")
     pre = pre.withColumn("tokens_before", F.sum("tokens").over(w))
@@ -70,6 +69,9 @@ def compact(messages: DataFrame, opts: Options = Options(), judge=None, goals: D
     decided = decided.withColumn("decision", F.when(passed | ((F.col("skipped") == "judge_unavailable") & (F.col("decision") == "duplicate")), F.when(passed & (F.col("decision") != "flagged"), "kept").when(F.col("decision") == "duplicate", "kept").otherwise(F.col("decision"))).otherwise(F.col("decision")))
     if opts.fail_closed:
         decided = decided.withColumn("decision", F.when(F.col("skipped") == "judge_unavailable", F.raise_error(F.lit("judge unavailable")).cast("string")).otherwise(F.col("decision")))
+    if store:
+        decided = stored(decided, "decided")
+    goals = decided.groupBy("conv_id").agg(F.first("goal").alias("goal"))
     addenda = X.corrective_prompts(findings, goals, opts)
     kept = decided.filter(F.col("decision").isin(*D.SURVIVES)).select("conv_id", F.explode("indices").alias("idx"))
     body = messages.join(kept, ["conv_id", "idx"], "left_semi")
@@ -113,7 +115,7 @@ class Compactor:
     judge: object = None
 
     def __call__(self, messages: DataFrame, **changes) -> Result:
-        run = {k: changes.pop(k) for k in ("goals", "pin", "cooling", "escrow", "checkpoint") if k in changes}
+        run = {k: changes.pop(k) for k in ("goals", "pin", "cooling", "escrow", "store") if k in changes}
         return compact(messages, self.opts.merged(**changes), self.judge, **run)
 
 

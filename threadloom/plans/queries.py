@@ -37,8 +37,7 @@ def _units(s, d) -> DataFrame:
 
 
 def _pre(s, d, opts: Options = OPTS) -> DataFrame:
-    f = _frames(s, d)
-    return prepass(group_units(f), N.default_goals(f), opts)
+    return prepass(_units(s, d), None, opts)
 
 
 def answers(units: DataFrame) -> DataFrame:
