@@ -35,7 +35,7 @@ BLOCK = 256
 #: Words asked for, as a share of all words; most often that a word is taken; weights by position of the source.
 SHARE, MOST, WEIGHTS = 1.5, 2, (5, 2, 1)
 #: Rows in a bucket of the lines, and slots in a chunk of the schedule, at about.
-BUCKET_ROWS, CHUNK_SLOTS = 4096, 16384
+BUCKET_ROWS, CHUNK_SLOTS = 1024, 1024
 PHI = (math.sqrt(5) - 1) / 2
 
 
@@ -125,7 +125,8 @@ def mix(spark: SparkSession, sized: DataFrame, block: int = BLOCK) -> DataFrame:
     last = F.least(F.col("at") + F.col("size"), (F.col("block_no") + 1) * block) - F.col("block_no") * block
     taken = F.greatest(F.lit(0), F.least(last, F.coalesce("slot_words", F.lit(0))) - first)
     rows = pieces.join(asked, ["has_source", "source", "block_no"], "left").groupBy("has_source", "source", "bucket", "row", "doc_id", *own, "size").agg(F.sum(taken).cast("long").alias("taken"))
-    out = rows.join(F.broadcast(sources.select("has_source", "source", "source_size", "target")) if _small(sources) else sources.select("has_source", "source", "source_size", "target"), ["has_source", "source"])
+    whole = sources.select("has_source", "source", "source_size", "target")
+    out = rows.join(F.broadcast(whole) if _small(whole) else whole, ["has_source", "source"])
     return out.select("doc_id", *own, F.when(F.col("has_source"), F.col("source")).alias("source"), "size", "source_size", "target", "taken")
 
 
