@@ -32,8 +32,12 @@ def cooldown(calls: DataFrame, turns: int = 1) -> DataFrame:
     return per.select("key", F.explode(F.aggregate("c", start, step)["out"]).alias("o")).select("key", "o.call_no", "o.outcome")
 
 
-def cooldown_stream(calls: DataFrame, turns: int = 1, ttl_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream of calls; a key's state is dropped after ``ttl_ms`` without a call."""
+def cooldown_stream(calls: DataFrame, turns: int = 1, ttl_ms: int | None = None) -> DataFrame:
+    """The same over a stream of calls.
+
+    With ``ttl_ms`` a key's state is dropped after so long without a call. That needs a processing-time trigger:
+    a time-out asks for another batch for ever, so an availableNow run with one would not end.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,10 +55,11 @@ def cooldown_stream(calls: DataFrame, turns: int = 1, ttl_ms: int = 3_600_000) -
                 outcome, left = "compacted", turns
             out.append(outcome)
         state.update((left,))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"key": key[0], "call_no": rows["call_no"].values, "outcome": out})
 
-    return calls.groupBy("key").applyInPandasWithState(run, GATED, "left int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.groupBy("key").applyInPandasWithState(run, GATED, "left int", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def gate(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
