@@ -234,7 +234,7 @@ select conv_id, unit_pos, 'u' || unit_pos as unit_id, idx::varchar as indices, c
     "candidates": _q(PRE, "select conv_id, unit_pos, tokens from pre where is_candidate"),
     "scan_patterns_re2": _q(UNITS + _scan(RE2_SAFE, False), "select conv_id, unit_pos, kind, array_to_string(indices, ',') as indices, evidence from hit"),
     "scan_patterns_full": _q(UNITS + _scan(PATTERNS, True), "select conv_id, unit_pos, kind, array_to_string(indices, ',') as indices, evidence from hit"),
-    "secret_assignments": r"select * from (select doc_id, len(regexp_extract_all(text, '(?i)(?:api[_-]?key|secret|token|passw(?:or)?d|authorization|credentials?)[\w-]*[''""]?\s*[=:]\s*[''""]?(?:bearer\s+)?[^\s''""\x60]{12}'))::int as n from documents) where n > 0".replace('""', '"'),
+    "secret_assignments": r"""select * from (select doc_id, len(regexp_extract_all(text, '(?i)(?:api[_-]?key|secret|token|passw(?:or)?d|authorization|credentials?)[\w-]*[''"]?\s*[=:]\s*[''"]?(?:bearer\s+)?[^\s''"\x60]{12}'))::int as n from documents) where n > 0""",
     "excerpt_text": f"select doc_id, {_excerpt('text', 200)} as excerpt, case when length(text) <= 80 then text else left(text, 80) || ' (' || length(text) || ' chars total)' end as head, 'ok, ' || length(text) || ' chars (omitted)' as omitted from documents",
     "one_line": f"select page_id, {_one('html', 120)} as line from pages",
     "skeleton_stage": _q(SKELETON, "select conv_id, first(fit_stage) as fit_stage, first(state_tokens) as state_tokens, count(*) filter (where omitted) as omitted from k group by conv_id"),
