@@ -13,7 +13,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.llm import byte_bpe, mixing, quality_qda, simhash, suffix_dedup
+from threadloom.llm import byte_bpe, mixing, near_sets, quality_qda, suffix_dedup
 from threadloom.llm.common import materialize, table
 
 
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates."""
-    return simhash.keep_first(spark, docs)
+    """The document of least id of each group of near duplicates: five-word shingles, similarity 0.8, every link verified."""
+    return near_sets.keep_first(spark, docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

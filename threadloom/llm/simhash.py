@@ -43,16 +43,24 @@ BLOCK, SAMPLE, PROBE_COST = 1024, 1024, 100.0
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles in order, none without words."""
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(words)
     spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     starts, ends = [0, *(spaces + 1).tolist()], [*spaces.tolist(), len(flat)]
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[a:b], SEED) for a, b in zip(starts[:n], ends[-n:], strict=True)], np.uint64)
+    return np.array([digest(flat[a:b], SEED) for a, b in zip(starts[:n], ends[-n:], strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     total = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
         total += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -254,9 +262,8 @@ def components(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, shing
     return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows whose doc_id is their component's least, one for each doc_id, and those without a doc_id; columns as they were."""
-    found = components(spark, docs)
+def first_rows(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows whose doc_id is the component_id that ``found`` has for it, one for each doc_id, and those without a doc_id; columns as they were."""
     ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).filter("first")
     ids = materialize(spark, ids.select(F.col("doc_id").alias("_kept_id"), "n"), "kept-ids")
     out = docs.join(ids.select("_kept_id"), docs["doc_id"] == F.col("_kept_id"), "left_semi")
@@ -265,6 +272,11 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.unionAll(docs.filter(docs["doc_id"].isNull()))
 
 
+def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``first_rows`` of the components."""
+    return first_rows(spark, docs, components(spark, docs))
+
+
 def hex_of(column: str):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
