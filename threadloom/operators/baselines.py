@@ -101,6 +101,16 @@ def turn_tail(frames: DataFrame, least: int = 2000, most: int = 15000, share: fl
     return df.join(per.filter(F.col("_sum") <= budget).select("conv_id", "turn"), ["conv_id", "turn"], "left_semi").drop("_t")
 
 
+def turn_tail_partial(frames: DataFrame, least: int = 2000, most: int = 15000, share: float = 0.25, usable: int = 60000) -> DataFrame:
+    """The newest whole user turns within a budget between ``least`` and ``most``, and of the turn that crosses it the newest messages that still fit; the whole history if it fits."""
+    budget = max(least, min(most, int(usable * share)))
+    turn = W.partitionBy("conv_id", "turn")
+    df = turns(frames).withColumn("_t", T.tokens_by_chars("text")).withColumn("_after", F.sum("_t").over(_NEWER().rowsBetween(W.unboundedPreceding, 0)))
+    df = df.withColumn("_sum", F.max("_after").over(turn)).withColumn("_newer", F.col("_sum") - F.sum("_t").over(turn))
+    part = (F.col("turn") > 0) & (F.col("_after") <= budget) & (F.col("_newer") < budget)
+    return df.filter((F.col("_sum") <= budget) | part).select("conv_id", "turn", *[c for c in frames.columns if c not in ("conv_id", "turn")])
+
+
 def old_tool_outputs(frames: DataFrame, protect: int = 40000, least: int = 20000, turns_kept: int = 2) -> DataFrame:
     """conv_id, idx and tokens of tool results to blank: past the newest ``protect`` tokens of results, outside the newest turns, if that frees more than ``least``."""
     df = turns(frames).withColumn("_last", F.max("turn").over(_BY()))
@@ -256,5 +266,5 @@ def cost(usage: DataFrame, per_input: float, per_output: float) -> DataFrame:
 
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "truncate_oldest": truncate_oldest, "structural_prune": structural_prune, "newest_user_messages": newest_user_messages, "tool_output_budget": tool_output_budget,
-    "keep_last": keep_last, "turn_tail": turn_tail, "dedupe_results": dedupe_results, "trim_last": trim_last,
+    "keep_last": keep_last, "turn_tail": turn_tail, "turn_tail_partial": turn_tail_partial, "dedupe_results": dedupe_results, "trim_last": trim_last,
 }
