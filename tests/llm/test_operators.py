@@ -201,6 +201,33 @@ def test_suffix_dedup(spark, docs, none, monkeypatch):
     assert out.columns == docs.columns and {1, 7, 8} <= {r.doc_id for r in out.collect()} and not {11, 12} & {r.doc_id for r in out.collect()}
 
 
+def test_suffix_dedup_shared_ids(spark):
+    """Rows of one id (or none) with different texts, some of which occur elsewhere."""
+    rng = random.Random(8)
+    made = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(150, 700))) for _ in range(40)]
+    texts = [*made, *made[:6], *made[:3], made[7][:450] + made[9], "x" + made[11]]
+    rows = [(k % 3 or None, t) for k, t in enumerate(texts)]
+    rows += rows[:2] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = bag((i, *w) for (i, _), w in zip(rows, brute_repeats([t for _, t in rows]), strict=True))
+    assert bag(suffix_dedup.removed(spark, docs).collect()) == want
+    kept = collections.Counter(r.text for r in suffix_dedup.strip(spark, docs).collect())
+    assert all(kept[t] == 1 for t in made[12:])
+
+
+@pytest.mark.parametrize("hot", [3, 1024])
+def test_suffix_dedup_hot_anchor(spark, hot):
+    """A phrase in very many different surroundings, long and short of the window's length: taken apart or not, the same bytes go."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrases, shared = [say(60), say(190), say(230), say(500)], say(130)
+    texts = [say(rng.randint(0, 200)) + p + (shared if k % 5 == 0 else "") + say(rng.randint(0, 200)) for k in range(40) for p in phrases]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = docs.join(suffix_dedup.spans(spark, docs, hot), suffix_dedup.text_key(F.col("text")) == F.col("key"), "left").select("doc_id", "text", "spans")
+    found = found.mapInArrow(suffix_dedup._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    assert bag(found.collect()) == bag((k, *w) for k, w in enumerate(brute_repeats(texts)))
+
+
 def test_compare_partial_overlaps():
     rng = random.Random(4)
     text = bytes(rng.choice(b"abcdefgh") for _ in range(700))

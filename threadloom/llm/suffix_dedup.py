@@ -13,24 +13,28 @@ stretches of candidates that are equal byte by byte are repeated, and the rest
 goes, bucket by bucket, through the column-wise construction: a collection's
 Burrows-Wheeler transform and common prefixes, into which every string inserts one
 symbol in each round, from its end on. The three columns (symbol, common prefix
-with the suffix before, suffix) are read from and written to sequential files in
-every round. Windows whose common prefix with a neighbour reaches ``LENGTH`` are
-repeated.
-
-Aggregations on anchors are combined before the shuffle; an anchor that very many
-runs share is a few counters there, and one row for each different content later.
-Equality of whole runs is that of 128 bits of hash.
-
-Nulls: a null text is empty (nothing removed). Rows are told apart by doc_id and
-a hash of the text; a null doc_id is a doc_id like others; repeated rows are
-documents of their own, repeat each other, and give equal rows. Texts under
-``LENGTH`` bytes are kept as they are. Extra columns are not read by the query.
+with the suffix before, suffix) are passed through in order once in every round.
+Windows whose common prefix with a neighbour reaches ``LENGTH`` are repeated.
+
+No task holds an unbounded anchor: one with over ``HOT`` different contents is taken
+apart into its windows, which are counted by (anchor, hash of the window), combined
+before the shuffle. Aggregations on anchors are combined before the shuffle too; an
+anchor that very many runs share is a few counters there, and one row for each
+different content later. A collection is at most ``COLLECTION`` bytes and an anchor
+more, so its columns stay in memory: no task writes to a folder of its machine.
+Equality of whole runs, and of the windows of a hot anchor, is that of 128 bits.
+
+Texts are known by their MD5, not by doc_id: rows with one text have one verdict,
+whatever their ids. Nulls: a null text is empty (nothing removed); a null or a
+repeated doc_id changes nothing. Repeated rows are documents of their own, repeat
+each other, and give equal rows. Texts under ``LENGTH`` bytes are kept as they are;
+an empty table gives no rows. Extra columns are not read by the query and are
+carried by ``strip``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,13 +42,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, release, table, text_rows, tidy
 
 LENGTH, ANCHOR = 200, 48
-#: Window starts that are handled at once; bytes of content compared at once; bytes of one collection.
-SEGMENT, COMPARED, COLLECTION = 1 << 19, 1 << 20, 1 << 19
+#: Window starts that are handled at once; bytes of content compared at once; bytes of one collection; different contents from which an anchor is taken apart.
+SEGMENT, COMPARED, COLLECTION, HOT = 1 << 19, 1 << 20, 1 << 19, 1024
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240101).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -95,23 +100,23 @@ def runs_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return start, windows, h[at[start]], _mix(_spans(prefix, start, start + windows + LENGTH - 1))
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (24 bits of a hash of the text, which tells rows of equal doc_id apart) and text."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.withColumn("tag", F.shiftrightunsigned(F.xxhash64("text"), 40))
+def text_key(text: Column) -> Column:
+    """128 bits that tell texts apart; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-#: A run's place: first window, tag of the text, number of windows.
-def _pack(start: np.ndarray, tag: int, windows: np.ndarray) -> np.ndarray:
-    return start.astype(np.int64) << 32 | tag << 8 | windows
+def _key(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and its key."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("key"))
 
 
-def _start(place: Column) -> Column:
-    return F.shiftright(place, 32)
+#: A run's place: first window and number of windows.
+def _pack(start: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    return start.astype(np.int64) << 8 | windows
 
 
-def _tag(place: Column) -> Column:
-    return F.shiftright(place, 8).bitwiseAND(F.lit((1 << 24) - 1))
+def _start(place: Column) -> Column:
+    return F.shiftright(place, 8)
 
 
 def _windows(place: Column) -> Column:
@@ -119,29 +124,29 @@ def _windows(place: Column) -> Column:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A document's different runs, each with all its places: a passage that fills a document is one row of it."""
-    for ids, tags, texts in text_rows(batches, ("doc_id", "tag", "text"), 256):
+    """A text's different runs, each with all its places: a passage that fills a document is one row of it."""
+    for ids, keys, texts in text_rows(batches, ("doc_id", "key", "text"), 256):
         anchors, contents, owners, places, counts = [], [], [], [], []
-        for doc_id, tag, text in zip(ids, tags, texts, strict=True):
+        for k, text in enumerate(texts):
             data = np.frombuffer(text.encode(), np.uint8)
             parts = []
             for at in range(0, max(0, len(data) - LENGTH + 1), SEGMENT):
                 start, windows, anchor, content = runs_of(data[at : at + SEGMENT + LENGTH - 1])
-                parts.append((anchor, content, _pack(start + at, tag, windows)))
+                parts.append((anchor, content, _pack(start + at, windows)))
             if not parts:
                 continue
             anchor, content, place = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((place, content, anchor))
             anchor, content = anchor[order], content[order]
             new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])]))
-            anchors.append(anchor[new]), contents.append(content[new]), places.append(place[order]), owners.append(doc_id)
+            anchors.append(anchor[new]), contents.append(content[new]), places.append(place[order]), owners.append(k)
             counts.append(np.diff(np.append(new, len(anchor))))
         if anchors:
-            n = [len(x) for x in anchors]
-            owner = pa.array(owners, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            owner = pa.array(np.repeat(owners, [len(x) for x in anchors]))
             offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)))
-            yield pa.record_batch([pa.array(np.concatenate(x).view(np.int64)) for x in (anchors, contents)] + [owner, lists], ["anchor", "content", "doc_id", "places"])
+            hashes = [pa.array(np.concatenate(x).view(np.int64)) for x in (anchors, contents)]
+            yield pa.record_batch([*hashes, pa.array(ids, pa.int64()).take(owner), pa.array(keys, pa.binary()).take(owner), lists], ["anchor", "content", "doc_id", "key", "places"])
     tidy()
 
 
@@ -161,13 +166,26 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contents of the runs asked for."""
     for batch in _slices(batches, 128):
-        first, last, (anchor, content, n, start, windows) = _lists(batch, "wanted", ("anchor", "content", "n", "start", "windows"))
+        first, last, (anchor, content, n, hot, start, windows) = _lists(batch, "wanted", ("anchor", "content", "n", "hot", "start", "windows"))
         texts, a, b = batch.column(batch.schema.get_field_index("text")).to_pylist(), first[0], last[-1]
         out = []
         for text, x, y in zip(texts, first, last, strict=True):
             data = text.encode()
             out += [data[p : p + w + LENGTH - 1] for p, w in zip(start[x:y].tolist(), windows[x:y].tolist(), strict=True)]
-        yield pa.record_batch([pa.array(anchor[a:b]), pa.array(content[a:b]), pa.array(n[a:b]), pa.array(out, pa.binary())], ["anchor", "content", "n", "bytes"])
+        yield pa.record_batch([pa.array(anchor[a:b]), pa.array(content[a:b]), pa.array(n[a:b]), pa.array(hot[a:b]), pa.array(out, pa.binary())], ["anchor", "content", "n", "hot", "bytes"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """anchor, content, at and hash of every window of contents."""
+    for anchors, contents, data in text_rows(batches, ("anchor", "content", "bytes"), 512):
+        sizes, hashes = [], []
+        for one in data:
+            prefix, n = _prefix(np.frombuffer(one, np.uint8)), len(one) - LENGTH + 1
+            hashes.append(_mix(_spans(prefix, slice(0, n), slice(LENGTH, LENGTH + n))))
+            sizes.append(n)
+        if data:
+            at = np.concatenate([np.arange(n) for n in sizes])
+            yield pa.record_batch([pa.array(np.repeat(np.array(anchors, np.int64), sizes)), pa.array(np.repeat(np.array(contents, np.int64), sizes)), pa.array(at), pa.array(np.concatenate(hashes).view(np.int64))], ["anchor", "content", "at", "hash"])
 
 
 class Collection:
@@ -185,48 +203,40 @@ class Collection:
     def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Common prefix with the suffix before (at most LENGTH), string and position of all suffixes in order; empty suffixes are left out."""
         m, width = self.m, self.symbols.shape[1]
-        with tempfile.TemporaryFile() as a, tempfile.TemporaryFile() as b:
-            files = [a, b]
-            self._write(files[0], np.zeros(m, np.int16), np.zeros(m, np.uint8), np.arange(m, dtype=np.int64) << 32)
-            where, size = np.arange(m), m  # place of each string's longest suffix so far
-            live = np.arange(m)
-            for t in range(1, width + 1):
-                symbol, common, suffix = self._read(files[0], size)
-                column = self.symbols[:, width - t]
-                live = live[column[live] > 0]
-                if not len(live):
-                    break
-                symbol[where[live]] = column[live]
-                order = np.argsort(symbol, kind="stable")
-                ended = int((symbol == 0).sum())  # no symbol goes before them
-                order = order[ended:]
-                new = np.zeros(size, bool)
-                new[where[live]] = True
-                at = np.flatnonzero(new[order])  # ranks, among all longer suffixes, of those inserted now
-                owner = np.empty(size, np.int64)
-                owner[where[live]] = live
-                owner = owner[order[at]]
-                before = self._joined(symbol, common, order, at - 1, at)
-                after = self._joined(symbol, common, order, at, at + 1)
-                total = m + len(order)
-                fresh = np.zeros(total, bool)
-                fresh[m + at] = True
-                grown = []
-                for old, kind in ((symbol, np.int16), (common, np.uint8), (suffix, np.int64)):
-                    out = np.empty(total, kind)
-                    out[~fresh] = old
-                    grown.append(out)
-                symbol, common, suffix = grown
-                symbol[m + at], suffix[m + at] = 0, owner << 32 | self.lengths[owner] - t
-                follows = m + at + 1
-                inside = follows < total
-                common[follows[inside]] = after[inside]
-                common[m + at] = before
-                where[owner] = m + at
-                size = total
-                self._write(files[1], symbol, common, suffix)
-                files.reverse()
-            symbol, common, suffix = self._read(files[0], size)
+        symbol, common, suffix = np.zeros(m, np.int16), np.zeros(m, np.uint8), np.arange(m, dtype=np.int64) << 32
+        where, live = np.arange(m), np.arange(m)  # place of each string's longest suffix so far; strings that go on
+        for t in range(1, width + 1):
+            column = self.symbols[:, width - t]
+            live = live[column[live] > 0]
+            if not len(live):
+                break
+            size = len(symbol)
+            symbol[where[live]] = column[live]
+            order = np.argsort(symbol, kind="stable")
+            order = order[int((symbol == 0).sum()) :]  # no symbol goes before strings that have ended
+            new = np.zeros(size, bool)
+            new[where[live]] = True
+            at = np.flatnonzero(new[order])  # ranks, among all longer suffixes, of those inserted now
+            owner = np.empty(size, np.int64)
+            owner[where[live]] = live
+            owner = owner[order[at]]
+            before = self._joined(symbol, common, order, at - 1, at)
+            after = self._joined(symbol, common, order, at, at + 1)
+            total = m + len(order)
+            fresh = np.zeros(total, bool)
+            fresh[m + at] = True
+            grown = []
+            for old, kind in ((symbol, np.int16), (common, np.uint8), (suffix, np.int64)):
+                out = np.empty(total, kind)
+                out[~fresh] = old
+                grown.append(out)
+            symbol, common, suffix = grown
+            symbol[m + at], suffix[m + at] = 0, owner << 32 | self.lengths[owner] - t
+            follows = m + at + 1
+            inside = follows < total
+            common[follows[inside]] = after[inside]
+            common[m + at] = before
+            where[owner] = m + at
         return common[m:], (suffix[m:] >> 32).astype(np.int64), suffix[m:] & 0xFFFFFFFF
 
     @staticmethod
@@ -243,18 +253,6 @@ class Collection:
             out[k] = np.minimum(least.astype(np.int16) + 1, LENGTH)
         return out
 
-    @staticmethod
-    def _write(file, *columns) -> None:
-        file.seek(0)
-        for c in columns:
-            c.tofile(file)
-        file.flush()
-
-    @staticmethod
-    def _read(file, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        file.seek(0)
-        return tuple(np.fromfile(file, kind, n) for kind in (np.int16, np.uint8, np.int64))
-
 
 def repeated(strings: list[bytes]) -> list[np.ndarray]:
     """For each string, which of its windows start in at least two places of the collection."""
@@ -330,33 +328,55 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tidy()
 
 
-def spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, tag and the spans (arrays of first byte, byte after) to remove, of documents that have any."""
+def _hot_windows(spark: SparkSession, contents: DataFrame) -> DataFrame:
+    """anchor, content, first and last repeated window of the contents (that occur once) of hot anchors."""
+    windows = contents.mapInArrow(_apart, "anchor long, content long, at long, hash long")
+    recurs = materialize(spark, windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "hash"), "recurring")
+    single = contents.filter("n = 1").select("anchor", "content", "bytes").mapInArrow(_apart, "anchor long, content long, at long, hash long")
+    found = single.join(recurs, ["anchor", "hash"]).withColumn("k", F.row_number().over(W.partitionBy("anchor", "content").orderBy("at")))
+    return found.groupBy("anchor", "content", F.col("at") - F.col("k")).agg(F.min("at").alias("first"), F.max("at").alias("last")).select("anchor", "content", "first", "last")
+
+
+def spans(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """key of texts, and the spans (arrays of first byte, byte after) to remove, of those that have any."""
     keyed = _key(docs)
-    runs = keyed.filter(F.octet_length("text") >= LENGTH).select("doc_id", "tag", "text").mapInArrow(_runs, "anchor long, content long, doc_id long, places array<long>")
+    runs = keyed.filter(F.octet_length("text") >= LENGTH).select("doc_id", "key", "text").mapInArrow(_runs, "anchor long, content long, doc_id long, key binary, places array<long>")
     seen = runs.groupBy("anchor").agg(F.sum(F.size("places")).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).filter("n > 1")
-    shared = materialize(spark, runs.join(seen.select("anchor", (F.col("low") != F.col("high")).alias("many")), "anchor"), "runs")
+    # written, so that both sides of the join are plain exchanges, of which Spark can split a hot anchor's part
+    seen = materialize(spark, seen.select("anchor", (F.col("low") != F.col("high")).alias("many")), "anchors")
     release(spark)
-    many = shared.filter("many").groupBy("anchor", "content").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("doc_id", F.col("places")[0].alias("place"))).alias("one"))
-    many = materialize(spark, many.select("anchor", "content", "n", F.col("one.doc_id").alias("doc_id"), F.col("one.place").alias("place")), "contents")
+    shared = materialize(spark, runs.join(seen, "anchor"), "runs")
+    release(spark)
+    many = shared.filter("many").groupBy("anchor", "content").agg(F.sum(F.size("places")).alias("n"), F.min(F.struct("key", "doc_id", F.col("places")[0].alias("place"))).alias("one"))
+    many = materialize(spark, many.select("anchor", "content", "n", "one.*"), "contents")
+    crowded = materialize(spark, many.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).filter(F.col("contents") > hot).select("anchor", F.lit(True).alias("crowded")), "hot-anchors")
     place = F.col("place")
-    wanted = many.groupBy(F.col("doc_id").alias("of"), _tag(place).alias("of_tag")).agg(F.collect_list(F.struct("anchor", "content", "n", _start(place).alias("start"), _windows(place).alias("windows"))).alias("wanted"))
-    contents = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag"))).select("text", "wanted").mapInArrow(_extract, "anchor long, content long, n long, bytes binary")
-    verdict = contents.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_compare, "anchor long, content long, first long, last long")
+    asked = many.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("crowded", F.lit(False)))
+    wanted = asked.groupBy(F.col("key").alias("of"), F.col("doc_id").alias("of_id")).agg(F.collect_list(F.struct("anchor", "content", "n", "hot", _start(place).alias("start"), _windows(place).alias("windows"))).alias("wanted"))
+    texts = keyed.filter(F.octet_length("text") >= LENGTH).groupBy("key", "doc_id").agg(F.first("text").alias("text"))
+    contents = texts.join(wanted, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).select("text", "wanted").mapInArrow(_extract, "anchor long, content long, n long, hot boolean, bytes binary")
+    any_hot = crowded.limit(1).count() > 0
+    if any_hot:
+        contents = materialize(spark, contents, "extracts")
+    cold = contents.filter("not hot").select("anchor", "content", "n", "bytes")
+    verdict = cold.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(_compare, "anchor long, content long, first long, last long")
+    if any_hot:
+        verdict = verdict.unionByName(_hot_windows(spark, contents.filter("hot")))
     verdict = materialize(spark, verdict, "verdicts")
     release(spark)
     twice = many.filter("n > 1").select("anchor", "content", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last"))
-    found = shared.filter("many").join(twice.unionByName(verdict), ["anchor", "content"]).select("doc_id", "places", "first", "last")
-    found = found.unionByName(shared.filter("not many").select("doc_id", "places", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))
+    found = shared.filter("many").join(twice.unionByName(verdict), ["anchor", "content"]).select("key", "places", "first", "last")
+    found = found.unionByName(shared.filter("not many").select("key", "places", F.lit(0).cast("long").alias("first"), F.lit(None).cast("long").alias("last")))
     ends = F.transform("places", lambda p: F.struct((_start(p) + F.col("first")).alias("a"), (_start(p) + F.coalesce("last", _windows(p) - 1) + LENGTH).alias("b")))
-    found = found.select("doc_id", _tag(F.col("places")[0]).alias("tag"), ends.alias("ends"))
-    return found.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("ends")).alias("spans"))
+    # a set: rows with one text bring the same spans
+    out = materialize(spark, found.select("key", ends.alias("ends")).groupBy("key").agg(F.flatten(F.collect_set("ends")).alias("spans")), "spans")
+    release(spark)
+    return out
 
 
 def joined(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty) and spans (null: none) of every row."""
-    s = spans(spark, docs).select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "spans")
-    return _key(docs).join(s, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left").select("doc_id", "text", "spans")
+    return _key(docs).join(spans(spark, docs), "key", "left").select("doc_id", "text", "spans")
 
 
 def merged(first: np.ndarray, after: np.ndarray) -> list[tuple[int, int]]:
@@ -389,9 +409,7 @@ def strip_text(text: str, spans: list[tuple[int, int]]) -> str:
 
 def strip(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows with repeated passages taken out of ``text`` (and ``n_chars`` counted anew); rows that lose all their words that way are left out."""
-    found = spans(spark, docs).select(F.col("doc_id").alias("of"), F.col("tag").alias("of_tag"), "spans")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 40).alias("tag"))
-    rows = rows.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("tag") == F.col("of_tag")), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_key(F.col("text")).alias("key")).join(spans(spark, docs), "key", "left")
 
     @F.pandas_udf("string")
     def stripped(texts: pd.Series, first: pd.Series, after: pd.Series) -> pd.Series:
