@@ -4,7 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from pyspark.sql import functions as F
+import numpy as np
 
 from threadloom.llm import near_sets
 
@@ -73,9 +73,19 @@ def test_near_duplicates(spark):
 
 
 def test_blocks(spark):
-    rows = [(s, n, 10 + n % 3, 70, n % 5) for s in (1, 2) for n in range(70)]
+    """Groups return forests: with every shingle cut into blocks or not, what they link are the components of all pairs."""
+    rows = [(s, n, 10 + n % 3, 70, n % 35) for s in (1, 2) for n in range(70)]
     met = spark.createDataFrame(rows, "shingle long, node long, size int, n long, comp long")
-    want = {(a, b) for a, b in itertools.combinations(range(70), 2) if a % 5 != b % 5 and 5 * min(10 + a % 3, 10 + b % 3) >= 4 * max(10 + a % 3, 10 + b % 3)}
+    own = lambda n: near_sets.sketch(np.arange(n % 7 * 40, n % 7 * 40 + 10 + n % 3, dtype=np.uint64))
+    nodes = spark.createDataFrame([(n, bytearray(own(n))) for n in range(70)], "node long, sketch binary")
+    none = spark.createDataFrame([], "u long, v long")
     for block in (8, 1024):
-        assert {tuple(r) for r in near_sets.others(met, block).collect()} == want
-        assert near_sets.neighbours(met, block).filter(F.col("u") >= F.col("v")).count() == 0
+        got = [tuple(r) for r in near_sets.others(met, nodes, none, block).collect()]
+        assert len(got) <= 2 * 35 * max(1, 70 // block) ** 2 and all(u % 7 == v % 7 for u, v in got)
+        root = list(range(35))
+        for u, v in got:
+            a, b = root[u % 35], root[v % 35]
+            root = [a if x == b else x for x in root]
+        assert len(set(root)) == 7
+        left = near_sets.others(met, nodes, spark.createDataFrame(got, "u long, v long"), block).collect()
+        assert not set(got) & {tuple(r) for r in left}

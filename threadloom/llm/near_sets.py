@@ -7,13 +7,21 @@ few shingles are met by chance. What meets is sifted by counts of shingles in
 ``CLASSES`` classes, which bound how far two sets differ, and verified on the whole
 sets, so every link is found and no other.
 
-Equal sets are one node. Candidates are first the neighbours by size of each
-shingle's documents, then all pairs of those that are still in different
-components; a shingle of over ``BLOCK`` documents is cut into blocks and every pair
-of blocks is a group of its own. Sets are made again from the texts of candidates
-only. Equality of shingles and of sets is that of 64 bits of hash.
-
-Nulls: a null text is the empty one. Rows with a null doc_id pass unchanged, but link others.
+Equal sets are one node. First come the links that fingerprints show: the simhashes
+of the same shingles, met by the pigeonhole of ``simhash``, and the neighbours by
+size of each shingle's documents. Then documents that are still in different
+components and share a shingle are compared: a shingle of over ``BLOCK`` documents is
+cut into blocks, every pair of blocks is a group of its own, and a group returns a
+spanning forest of what its sketches let pass, one row for each document at most,
+never its pairs. What a forest links is verified and joined to its component, what
+fails is left out of the next round, and rounds end when no group has anything left:
+so every two linked documents end in one component. Sets are made again from the
+texts of candidates only. Equality of shingles and of sets is that of 64 bits of hash.
+
+Nulls: a null text is the empty one. Rows with a null doc_id pass unchanged, but link
+others. Repeated rows are one node; empty texts (and all without a word) are one node
+too; texts of fewer than five words are one shingle. An empty table gives no rows.
+Extra columns are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +37,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release, text_rows
 from .components import roots
-from .simhash import first_rows, shingle_hashes
+from .simhash import fingerprint_of, first_rows, near, shingle_hashes
 
 #: Words of a shingle; the similarity of a link, as a fraction.
 SHINGLE, PART, WHOLE = 5, 4, 5
 #: Documents of a shingle in one group; texts of the sample; shingles of it that are remembered, and in how many of its texts they are.
 BLOCK, SAMPLE, COMMON, OFTEN = 512, 4096, 1 << 17, 2
-#: Classes of shingles that a sketch counts.
-CLASSES = 256
+#: Classes of shingles that a sketch counts; differing bits of fingerprints that are worth a comparison before the exact search (cost only).
+CLASSES, CLOSE = 256, 16
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -101,20 +109,22 @@ def prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray
 
 
 def prints(docs: DataFrame, often: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, node, size, sketch and prefix of every row."""
+    """doc_id, text_hash, node, size, fp (the simhash), sketch and prefix of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hashes, texts in text_rows(batches, ("doc_id", "text_hash", "text")):
-            sets = [shingles(t) for t in texts]
+            every = [shingle_hashes(t, SHINGLE) for t in texts]
+            sets = [np.unique(h) for h in every]
+            prints_ = np.array([fingerprint_of(h) for h in every], np.uint64).view(np.int64)
             first = [prefix(s, often, counts) for s in sets]
             cuts = np.cumsum([0, *map(len, first)]).astype(np.int32)
             flat = np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))],
-                ["doc_id", "text_hash", "node", "size", "sketch", "prefix"],
+                [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints_), pa.array([sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))],
+                ["doc_id", "text_hash", "node", "size", "fp", "sketch", "prefix"],
             )
 
-    return _with_hash(docs).mapInArrow(run, "doc_id long, text_hash long, node long, size int, sketch binary, prefix array<long>")
+    return _with_hash(docs).mapInArrow(run, "doc_id long, text_hash long, node long, size int, fp long, sketch binary, prefix array<long>")
 
 
 def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -141,7 +151,8 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
     pairs = materialize(spark, near.mapInArrow(sift, "u long, v long"), "possible")
     release(spark)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
-    texts = _with_hash(docs).join(wanted, "text_hash").dropDuplicates(["node", "text_hash"]).select("node", "text")
+    one_each = _with_hash(docs).groupBy("text_hash").agg(F.first("text").alias("text"))  # combined before the shuffle, however many copies there are
+    texts = one_each.join(wanted, "text_hash").select("node", "text")
     own = materialize(spark, texts.mapInArrow(sets, "node long, own binary"), "sets")
     left, right = own.select(F.col("node").alias("u"), F.col("own").alias("a")), own.select(F.col("node").alias("v"), F.col("own").alias("b"))
     out = materialize(spark, pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long"), "links")
@@ -154,66 +165,108 @@ def _near() -> Column:
 
 
 def neighbours(met: DataFrame, block: int = BLOCK) -> DataFrame:
-    """u, v: documents next to each other by size among those of a shingle (of a block, where these are many)."""
+    """u, v: documents of a shingle (of a block, where these are many) that stand next to each other, by size and by a hash that differs between shingles, and look close by their fingerprints."""
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block))
-    w = W.partitionBy("shingle", "part").orderBy("size", "node")
-    df = met.withColumn("part", part).select("node", "size", F.lag("node").over(w).alias("other"), F.lag("size").over(w).alias("other_size"))
-    return df.filter(F.col("other").isNotNull() & _near()).select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    df, found = met.withColumn("part", part), None
+    by_size, by_hash = ("size", "node"), (F.xxhash64("shingle", "node"), "node")
+    for order in (by_size, by_hash):
+        w = W.partitionBy("shingle", "part").orderBy(*order)
+        df_ = df.select("node", "size", "fp", *[F.lag(c).over(w).alias(f"other_{c}") for c in ("node", "size", "fp")])
+        close = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= CLOSE
+        df_ = df_.filter(F.col("other_node").isNotNull() & (F.col("node") != F.col("other_node")) & _near() & close)
+        df_ = df_.select(F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v"))
+        found = df_ if found is None else found.unionAll(df_)
+    return found.distinct()
+
+
+def by_fingerprint(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """u, v: a tree of the nodes of each fingerprint, and what the pigeonhole finds of different ones."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    same = nodes.join(first.withColumnRenamed("node", "v"), "fp").filter("node <> v").select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v"))
+    found = near(spark, first.select("fp"))
+    one, two = first.select(F.col("fp").alias("u"), F.col("node").alias("a")), first.select(F.col("fp").alias("v"), F.col("node").alias("b"))
+    return same.unionAll(found.join(one, "u").join(two, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+
+
+def forest(node, size, comp, own, left, sketches, failed) -> list[tuple[int, int]]:
+    """Pairs that connect the components of a group's rows: of those that sizes and sketches allow and that have not failed, one for each merge.
+
+    own, left: a row's block and the group's first one; rows of one block meet in the group of that block with itself.
+    """
+    out, label = [], np.unique(comp, return_inverse=True)[1]
+    step = 1
+    while step < len(node):  # each row with the one so many rows after it
+        x = np.flatnonzero(label[:-step] != label[step:])
+        y = x + step
+        good = ((own[x] != own[y]) | (own[x] == left)) & (np.minimum(size[x], size[y]) * WHOLE >= np.maximum(size[x], size[y]) * PART)
+        x, y = x[good], y[good]
+        if len(x):
+            fits = possible(sketches[x], sketches[y], size[x] + size[y])
+            for a, b in zip(x[fits].tolist(), y[fits].tolist(), strict=True):
+                pair = (min(node[a], node[b]), max(node[a], node[b]))
+                if label[a] != label[b] and pair not in failed:
+                    out.append(pair)
+                    label[label == label[b]] = label[a]
+        step += 1
+    return out
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v of all pairs of each group (shingle, i, j; sorted) that are of different components and near in size."""
-    held: list[np.ndarray] = []
-
-    def groups(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        shingle, i, j, node, size, comp, own = parts
-        cuts = np.flatnonzero((shingle[1:] != shingle[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        ends = np.repeat([*cuts, len(node)], np.diff([0, *cuts, len(node)]))
-        x, step = np.arange(len(node)), 1
-        while len(x := x[x + step < ends[x]]):  # each row with the one so many rows after it
-            y = x + step
-            good = (comp[x] != comp[y]) & ((own[x] != own[y]) | (i[x] == j[x])) & (np.minimum(size[x], size[y]) * WHOLE >= np.maximum(size[x], size[y]) * PART)
-            if good.any():
-                yield pa.record_batch([pa.array(np.minimum(node[x[good]], node[y[good]])), pa.array(np.maximum(node[x[good]], node[y[good]]))], ["u", "v"])
-            step += 1
-
-    for batch in batches:
-        now = [batch.column(k).to_numpy().astype(np.int64) for k in range(7)]
-        now = [np.concatenate([a, b]) for a, b in zip(held, now, strict=True)] if held else now
-        if not len(now[0]):
-            continue
-        open_ = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])  # the last group may go on in the next batch
-        first = int(np.flatnonzero(open_)[0])
-        if first:
-            yield from groups([x[:first] for x in now])
-        held = [x[first:] for x in now]
-    if held:
-        yield from groups(held)
-
-
-def others(met: DataFrame, block: int = BLOCK) -> DataFrame:
-    """u, v: all pairs of one shingle in different components, of sizes that allow a link."""
+    """u, v of the forests of all groups (shingle, i, j; sorted); a group's rows may span batches."""
+    held, key = [], None
+
+    def made() -> pa.RecordBatch:
+        node, size, comp, own = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:4])
+        sketches = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, CLASSES)
+        failed = {(min(r[0], f), max(r[0], f)) for r in held for f in r[5] or ()}
+        found = forest(node.astype(np.int64), size, comp, own, key[1], sketches, failed)
+        return pa.record_batch([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+
+    for shingle, i, j, *rows in text_rows(batches, ("shingle", "i", "j", "node", "size", "comp", "own", "sketch", "failed"), 512):
+        for k, row in zip(zip(shingle, i, j, strict=True), zip(*rows, strict=True), strict=True):
+            if k != key and len(held) > 1:
+                yield made()
+            if k != key:
+                held, key = [], k
+            held.append(row)
+    if len(held) > 1:
+        yield made()
+
+
+def others(met: DataFrame, nodes: DataFrame, failed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """u, v: for each shingle's documents in different components (met: shingle, node, size, n, comp), a forest of the pairs that may be linked. failed: u, v of pairs that are not."""
     mixed = met.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("shingle")
+    not_with = failed.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("failed"))
+    own = nodes.select("node", "sketch").join(not_with, "node", "left")
     df = met.join(mixed, "shingle").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    df = df.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    df = df.select("shingle", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "size", "comp", "own")
-    return df.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j").mapInArrow(_pairs, "u long, v long").distinct()
+    df = df.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(own, "node")
+    df = df.select("shingle", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "size", "comp", "own", "sketch", "failed")
+    return df.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node").mapInArrow(_pairs, "u long, v long").distinct()
 
 
 def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the least id of its component) of every row."""
     rows = materialize(spark, prints(docs, *common(docs)), "shingle-prints")
-    per = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("size", "sketch", "prefix")])
+    per = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_hash").alias("text_hash"), F.min("fp").alias("fp"), *[F.first(c).alias(c) for c in ("size", "sketch", "prefix")])
     nodes = materialize(spark, per, "nodes")
     release(spark)
-    dealt = nodes.select("node", "size", F.explode("prefix").alias("shingle"))
+    dealt = nodes.select("node", "size", "fp", F.explode("prefix").alias("shingle"))
     met = materialize(spark, dealt.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("shingle"))).filter("n > 1"), "met")
     release(spark)
-    edges = verified(spark, docs, nodes, materialize(spark, neighbours(met), "neighbours"))
-    root = roots(spark, edges)
-    placed = met.join(root, "node", "left").select("shingle", "node", "size", "n", F.coalesce("root", "node").alias("comp"))
-    edges = edges.unionAll(verified(spark, docs, nodes, materialize(spark, others(placed), "others")))
-    root = roots(spark, edges)
+    first = neighbours(met).unionAll(by_fingerprint(spark, nodes)).distinct()
+    edges = verified(spark, docs, nodes, materialize(spark, first, "neighbours"))
+    root, failed = roots(spark, edges), edges.limit(0)
+    while True:
+        placed = met.join(root, "node", "left").select("shingle", "node", "size", "n", F.coalesce("root", "node").alias("comp"))
+        asked = materialize(spark, others(placed, nodes, failed), "others")
+        release(spark)
+        if not asked.limit(1).count():
+            break
+        good = verified(spark, docs, nodes, asked)
+        failed = materialize(spark, failed.unionAll(asked.join(good, ["u", "v"], "left_anti")), "failed")
+        if good.limit(1).count():
+            edges = edges.unionAll(good)
+            root = roots(spark, edges)
     placed = nodes.join(root, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "node").join(placed.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

@@ -57,7 +57,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    hashes = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bits that over half of the hashes set; 0 without any."""
     n = len(hashes)
     if not n:
         return 0
@@ -248,15 +252,19 @@ def links(rows: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFram
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def near(spark: SparkSession, nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u, v: edges that connect distinct fingerprints (fp) at ``radius`` or fewer differing bits."""
+    count = nodes.count()
+    parts = partition_bits(correlations(nodes, count), count_parts(count, radius))
+    sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    return links(materialize(spark, probe_rows(nodes, sample, count, parts, radius), "probes"), radius)
+
+
 def components(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     prints = materialize(spark, fingerprints(docs, shingle), "fingerprints")
     nodes = materialize(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    count = nodes.count()
-    parts = partition_bits(correlations(nodes, count), count_parts(count, radius))
-    sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    rows = materialize(spark, probe_rows(nodes, sample, count, parts, radius), "probes")
-    root = roots(spark, links(rows, radius))
+    root = roots(spark, near(spark, nodes, radius))
     placed = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
