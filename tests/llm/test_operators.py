@@ -97,12 +97,25 @@ def test_quality_rules(spark, docs, none):
         lines = [x for x in (text or "").split("\n") if WORDS.search(x)]
         return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
 
-    got = quality_rules.apply(docs).collect()
+    plan = quality_rules.plan_cascade(spark, docs)
+    assert {x.name for x in plan} == set(quality_rules.RULES) and all(0 <= x.rejects <= 1 and x.seconds > 0 for x in plan)
+    got = quality_rules.apply(docs, plan).collect()
     assert bag((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == bag((i, *count(t)) for i, t, _, _ in ROWS)
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed) for r in got)
-    back = quality_rules.apply(docs, list(reversed(quality_rules.plan_cascade(docs)))).collect()
+    back = quality_rules.apply(docs, plan[::-1]).collect()
     assert bag((r.doc_id, r.kept) for r in got) == bag((r.doc_id, r.kept) for r in back)
-    assert quality_rules.apply(none).filter("kept").count() == 0
+    assert bag((r.doc_id, r.kept) for r in got) == bag((r.doc_id, r.kept) for r in quality_rules.verdicts(spark, docs).collect())
+    assert quality_rules.apply(none, quality_rules.plan_cascade(spark, none)).filter("kept").count() == 0
+
+
+def test_rules_are_ordered_by_what_is_left(spark):
+    """Two rules reject the same half and a third one a quarter of the rest: after the cheaper of the two, the other has nothing left."""
+    texts = spark.range(400).select(F.col("id").cast("string").alias("text"), "id")
+    same = lambda m: m["id"] % 2 == 0
+    dear = lambda m: (m["id"] % 2 == 0) & (F.length(F.repeat(F.sha2(F.col("text"), 512), 2000)) > 0)
+    plan = quality_rules.plan(texts, {"dear": dear, "same": same, "rest": lambda m: m["id"] % 8 == 1}, {"id": F.col("id")})
+    at = {x.name: (k, x.rejects) for k, x in enumerate(plan)}
+    assert at["dear"][0] > at["same"][0] and at["dear"][1] == 0 and at["same"][1] in (0.5, 200 / 350)
 
 
 def test_token_files(spark, docs, none):
@@ -251,13 +264,21 @@ def test_byte_bpe(spark, docs, none):
 
 
 def test_media(spark, docs, none):
-    got = media_ts.load(media_ts.store(docs)).collect()
-    by = {r[0]: (r[1] or "").encode() for r in ROWS if r[0] is not None}
-    for r in got:
-        if r.doc_id is not None:
-            p = media_ts.padded(by[r.doc_id])
-            assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(by[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:])) and r.media_bytes % 188 == 0
-    assert len(got) == len(ROWS) and media_ts.load(media_ts.store(none)).count() == 0
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = media_ts.digests(media_ts.load(media_ts.store(docs))).collect()
+    want = []
+    for i, text, _, _ in ROWS:
+        data = (text or "").encode()
+        p = media_ts.padded(data)
+        m = media_ts.mux(p)
+        found = media_ts.demux(m)
+        pts = found["pts"]
+        feature = f"type=6;packets={len(m) // 188};units={len(pts)};pts={pts[0]}-{pts[-1]};rap=" + ",".join(f"{k}@{pts[k]}" for k in found["rap"])
+        want.append((i, len(data), len(p), sha(p), zlib.crc32(p[-32:]), len(m), sha(m), feature))
+    assert bag(got) == bag(want)
+    rows = media_ts.load(media_ts.store(docs)).collect()
+    assert bag(r.payload for r in rows) == bag(media_ts.padded((t or "").encode()) for _, t, _, _ in ROWS) and all(r.pts == [9000 + 3600 * k for k in range(len(r.pts))] and r.random_access == list(range(0, len(r.pts), media_ts.GROUP)) for r in rows)
+    assert media_ts.digests(media_ts.load(media_ts.store(none))).count() == 0
     for n in (576, 11520, 11521 + 575, 576 * 300):
         data = random.Random(n).randbytes(n)
         found = media_ts.demux(media_ts.mux(data))
@@ -268,6 +289,22 @@ def test_media(spark, docs, none):
         media_ts.demux(bytes(broken))
 
 
+def test_media_of_others():
+    """A network entry before the program, a program map that spans packets, and elementary packets of open length."""
+    pat = media_ts._section(0, 1, (0).to_bytes(2, "big") + (0xE010).to_bytes(2, "big") + (3).to_bytes(2, "big") + (0xE000 | 0x500).to_bytes(2, "big"))
+    streams = b"".join(bytes([6]) + (0xE000 | media_ts.PID_ES + k).to_bytes(2, "big") + b"\xf0\x06" + b"\x05\x04TEST" for k in range(30))
+    pmt = b"\x00" + media_ts._section(2, 3, (0xE000 | media_ts.PID_ES).to_bytes(2, "big") + b"\xf0\x00" + streams)
+    maps = [b"\x47" + ((0x4000 if k == 0 else 0) | 0x500).to_bytes(2, "big") + bytes([0x10 | k]) + pmt[at : at + 184].ljust(184, b"\xff") for k, at in enumerate(range(0, len(pmt), 184))]
+    data = random.Random(1).randbytes(5760)
+    own = bytearray(media_ts.mux(data)[2 * 188 :])
+    at = own.index(b"\x00\x00\x01\xbd") + 4
+    own[at : at + 2] = b"\x00\x00"
+    found = media_ts.demux(media_ts._table_packet(0, pat, 0) + b"".join(maps) + bytes(own))
+    assert len(maps) == 2 and found["payload"] == data and found["stream_type"] == 6
+    with pytest.raises(ValueError, match="bad section"):
+        media_ts.demux(media_ts._table_packet(0, pat, 0) + maps[0] + bytes(own))
+
+
 def test_warc(spark):
     page = "<p>" + "x" * 200 + "</p>"
     rows = [(1, "http://a/\r\nb", page), (2, None, page), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (None, "u", page), (7, "u", "é" * 5000), (2, "u", page)]
@@ -287,12 +324,70 @@ def test_quality_qda(spark, docs, none):
     model = quality_qda.train(table, table.select("doc_id", "quality"))
     rows = quality_qda.scored(table, model).collect()
     assert sum((r.score >= 0.7) == (r.quality == 1) for r in rows) >= 0.99 * len(rows)
-    assert all(0 <= r.score <= 1 for r in quality_qda.scored(docs.drop("score"), model).collect())
+    got = quality_qda.scored(docs, model)
+    assert got.columns == [*docs.columns, "_score"] and all(0 <= r._score <= 1 and r.score == "s" for r in got.collect())
     kept = quality_qda.keep(spark, docs, table.select("doc_id", "quality"))
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and quality_qda.keep(spark, none, table.select("doc_id", "quality")).count() == 0
+    odd = table.select("doc_id", F.lit(2).alias("quality")).unionAll(table.select("doc_id", F.lit(None).cast("int")))
+    assert {r.score for r in quality_qda.scored(table, quality_qda.train(table, odd)).collect()} == {1.0}
     assert quality_qda.train(none, table.select("doc_id", "quality")).score(np.zeros((2, quality_qda.N_STATISTICS))).tolist() == [1.0, 1.0]
 
 
+def test_quality_qda_is_the_density(spark):
+    """Scores against the two normal densities written out with determinants and inverses, and the shrinkage with loops."""
+    rng = np.random.default_rng(3)
+    d = quality_qda.N_STATISTICS
+    x = np.concatenate([rng.normal(0, 1, (70, d)) @ rng.normal(0, 1, (d, d)), rng.normal(1, 2, (40, d))])
+    y = np.array([0] * 70 + [1] * 40)
+    model = quality_qda.fit(x, y)
+    z = quality_qda.CLIP * np.tanh((x - x.mean(0)) / x.std(0) / quality_qda.CLIP)
+    log = []
+    for c in (0, 1):
+        own = z[y == c]
+        n, mean = len(own), own.mean(0)
+        above = below = 0.0
+        for i in range(d):
+            for j in range(d):
+                if i != j:
+                    w = (own[:, i] - mean[i]) * (own[:, j] - mean[j])
+                    above += ((w - w.mean()) ** 2).sum() / (n - 1) ** 2
+                    below += (w.sum() / (n - 1)) ** 2
+        shrink = min(1.0, max(quality_qda.SHRINK, above / below))
+        assert abs(shrink - quality_qda.shrinkage(own)) < 1e-9
+        cov = (1 - shrink) * np.cov(own.T) + shrink * np.diag(z.var(0)) + quality_qda.FLOOR * np.eye(d)
+        far = np.array([(v - mean) @ np.linalg.inv(cov) @ (v - mean) for v in z])
+        log.append(np.log(n / len(z)) - 0.5 * (far + np.log(np.linalg.det(cov))))
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500))), atol=1e-8)
+
+
+def test_lexicon_is_the_naive_search(docs):
+    """Sums of weights against a search of every entry at every place, exception phrases left out."""
+    rng = random.Random(6)
+    entries = tuple((p, rng.random()) for p in (" gru", " bad ", " ba", "ash", " trash ", " zwo", " naiv"))
+    lexicon = toxicity.Lexicon(entries, (0.0, 1.0, 1.0), ("trash can", "bad luck"))
+    say = lambda: " ".join(rng.choice(["grumpf", "bad", "luck", "trash", "can", "b4d", "bás", "Zwölf", "NAÏVE", "tr@sh", "x", "gruppe,can"]) for _ in range(rng.randint(0, 30)))
+    for text in [*(say() for _ in range(200)), "", " \n", *[r[1] or "" for r in ROWS]]:
+        folded = toxicity.fold(text)
+        spared = {k for phrase in lexicon.exceptions for at in range(len(folded)) if folded.startswith(f" {phrase} ", at) for k in range(at, at + len(phrase) + 2)}
+        spans = [(at, at + len(p), w) for p, w in entries for at in range(len(folded)) if folded.startswith(p, at)]
+        phrases = [(at, at + len(q) + 2) for q in lexicon.exceptions for at in range(len(folded)) if folded.startswith(f" {q} ", at)]
+        total = sum(w for a, b, w in spans if not any(x <= a and b <= y for x, y in phrases))
+        assert np.allclose(lexicon.statistics([text])[0], np.log1p([total, len(folded.split())])) and (spared or not phrases)
+
+
+def test_toxicity_awkward_rows(spark, docs, none):
+    lexicon = toxicity.Lexicon(((" word", 2.0),), (-1.0, 2.0, -0.5))
+    got = toxicity.scored(docs, lexicon)
+    assert got.columns == [*docs.columns, "_score"] and got.count() == len(ROWS)
+    by = collections.defaultdict(set)
+    for r in got.collect():
+        assert 0 <= r._score <= 1 and r.score == "s"
+        by[r.text].add(r._score)
+    assert all(len(v) == 1 for v in by.values()) and toxicity.scored(none, lexicon).count() == 0
+    odd = docs.select("doc_id", F.lit(2).alias("toxic")).unionAll(docs.select("doc_id", F.lit(None).cast("int")))
+    assert toxicity.train(docs, odd).score(["word"]).tolist() == [0.0]
+
+
 def test_toxicity(spark, none):
     rng = random.Random(1)
     say = lambda n: [rng.choice(["wald", "haus", "rot", "lauf", "baum", "stein", "fluss"]) + str(rng.randint(1, 40)) for _ in range(n)]

@@ -24,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; where that is unset (tests,
-    local mode) a temporary folder is made once and set for the session.
+    It is the session's ``spark.checkpoint.dir``; where that is unset, a temporary folder
+    serves a local master (tests), and a cluster gets an error: its executors would each
+    write to a disk of their own.
     """
     sc = spark.sparkContext
     uri = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not uri:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         uri = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set("spark.checkpoint.dir", uri)
     if sc.getCheckpointDir() is None:
@@ -47,19 +50,29 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_via_rename(fs: pafs.FileSystem, final: str, write) -> None:
-    """Write a file under a temporary name and move it into place when complete."""
-    part = f"{final}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as out:
-        write(out)
-    fs.move(part, final)
-
-
-def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """Write a frame to the shared folder and reread it: a cut of lineage that outlives executors."""
+def materialize(spark: SparkSession, df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+    """Write a frame to the shared folder and reread it: a cut of lineage that outlives executors. ``discard`` removes it."""
     path = fresh_dir(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove what ``materialize`` wrote: for steps whose frames nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores before it until no column has it (columns' case doesn't count)."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
 
 
 def text_rows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], rows: int = 512) -> Iterator[list[list]]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def roots(spark: SparkSession, edges: DataFrame) -> DataFrame:
     now = materialize(spark, edges.select("u", "v").filter("u <> v").distinct(), "edges")
     mark = _mark(now)
     while True:
-        now = materialize(spark, _small_star(_large_star(now)), "edges")
+        last, now = now, materialize(spark, _small_star(_large_star(now)), "edges")
         before, mark = mark, _mark(now)
+        discard(last)
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -4,9 +4,10 @@
 program map tables, then packetized elementary packets of ``UNIT`` bytes with a
 presentation time stamp each; every ``GROUP``-th access unit is a random-access
 point, announced by the tables, the random-access indicator and a clock
-reference. ``load`` parses the tables, checks sync bytes, checksums and
-continuity counters, reassembles the elementary packets and returns the payload
-with its time stamps and random-access points.
+reference. ``load`` parses the tables (sections may span packets; the first program that is none
+of network information, its first stream), checks sync bytes, checksums and
+continuity counters, reassembles the elementary packets (of given or open length) and
+returns the payload with its time stamps and random-access points as columns.
 
 Each row is handled alone and packets are built and parsed as numpy matrices, so
 memory is bounded by a few copies of the longest text. Nulls: a null text is the
@@ -17,7 +18,6 @@ equal rows. Other columns of the input are not read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_rows
+from .common import materialize, table, text_rows
 
 PAD = 576
 PACKET = 188
@@ -120,13 +120,24 @@ def mux(payload: bytes) -> bytes:
 
 
 def _section_of(rows: np.ndarray, pid: np.ndarray, want: int, table_id: int) -> bytes:
-    found = np.flatnonzero((pid == want) & (rows[:, 1] & 0x40 > 0))
+    """What the first section on a PID holds, which may span packets."""
+    own = rows[pid == want]
+    found = np.flatnonzero(own[:, 1] & 0x40)
     if not len(found):
         raise ValueError(f"no section on PID {want}")
-    body = rows[found[0], 4:].tobytes()
-    body = body[1 + body[0] :]
+    body = b""
+    for row in own[found[0] :]:
+        data = row[5 + row[4] if row[3] & 0x20 else 4 :].tobytes()
+        if row[1] & 0x40:  # a pointer says where a new section starts; what is before it ends the old one
+            if body:
+                body += data[1 : 1 + data[0]]
+                break
+            data = data[1 + data[0] :]
+        body += data
+        if len(body) >= 3 and len(body) >= 3 + (int.from_bytes(body[1:3], "big") & 0xFFF):
+            break
     size = 3 + (int.from_bytes(body[1:3], "big") & 0xFFF)
-    if body[0] != table_id or crc_mpeg(body[:size]):
+    if len(body) < size or body[0] != table_id or crc_mpeg(body[:size]):
         raise ValueError(f"bad section on PID {want}")
     return body[8 : size - 4]
 
@@ -138,7 +149,10 @@ def demux(stream: bytes) -> dict:
         raise ValueError("lost sync")
     pid = (rows[:, 1].astype(np.int32) & 0x1F) << 8 | rows[:, 2]
     pat = _section_of(rows, pid, PID_PAT, 0)
-    pmt_pid = int.from_bytes(pat[2:4], "big") & 0x1FFF
+    programs = [(int.from_bytes(pat[k : k + 2], "big"), int.from_bytes(pat[k + 2 : k + 4], "big") & 0x1FFF) for k in range(0, len(pat), 4)]
+    pmt_pid = next((p for n, p in programs if n), None)  # program 0 is network information
+    if pmt_pid is None:
+        raise ValueError("no program")
     pmt = _section_of(rows, pid, pmt_pid, 2)
     skip = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF)
     es_pid = int.from_bytes(pmt[skip + 1 : skip + 3], "big") & 0x1FFF
@@ -156,7 +170,7 @@ def demux(stream: bytes) -> dict:
     payload, pts = [], []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         head = data[a : a + PES_HEADER].tobytes()
-        if head[:4] != b"\x00\x00\x01" + bytes([STREAM_ID]) or int.from_bytes(head[4:6], "big") != b - a - 6:
+        if head[:4] != b"\x00\x00\x01" + bytes([STREAM_ID]) or int.from_bytes(head[4:6], "big") not in (0, b - a - 6):
             raise ValueError("bad elementary packet")
         pts.append(_unstamp(head[9:14]))
         payload.append(data[a + 9 + head[8] : b].tobytes())
@@ -164,7 +178,7 @@ def demux(stream: bytes) -> dict:
 
 
 _STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-_LOADED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+_LOADED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("pts", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int32())), ("packets", pa.int64()), ("stream_type", pa.int32()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,18 +187,12 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(list(map(len, data)), pa.int64()), pa.array([mux(padded(d)) for d in data], pa.binary())], schema=_STORED)
 
 
-def feature_of(found: dict) -> str:
-    pts, rap = found["pts"], found["rap"]
-    return f"type={found['stream_type']};packets={found['packets']};units={len(pts)};pts={pts[0]}-{pts[-1]};rap=" + ",".join(f"{k}@{pts[k]}" for k in rap)
-
-
 def _load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, sizes, media in text_rows(batches, ("doc_id", "n_bytes", "media"), 256):
+    for ids, sizes, media in text_rows(batches, ("doc_id", "n_bytes", "media"), 64):
         rows = []
         for i, n, m in zip(ids, sizes, media, strict=True):
             found = demux(m)
-            p = found["payload"]
-            rows.append((i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(found)))
+            rows.append((i, n, found["payload"], found["pts"], found["rap"], found["packets"], found["stream_type"], len(m), hashlib.sha256(m).hexdigest()))
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LOADED, strict=True)], schema=_LOADED)
 
 
@@ -195,12 +203,25 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def load(stored: DataFrame) -> DataFrame:
-    """Digests and features of the payload read back from each stream."""
-    return stored.mapInArrow(_load, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """The payload read back from each stream, with its time stamps (pts, of each access unit) and random-access points (places among them)."""
+    kind = "doc_id long, n_bytes long, payload binary, pts array<long>, random_access array<int>, packets long, stream_type int, media_bytes long, media_sha256 string"
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_load, kind)
+
+
+def digests(loaded: DataFrame) -> DataFrame:
+    """Digests of loaded payloads, and a feature: stream type, packets, units, first and last time stamp, access points with theirs."""
+    text = lambda c: c.cast("string")
+    access = F.array_join(F.transform("random_access", lambda k: F.concat(text(k), F.lit("@"), text(F.get(F.col("pts"), k)))), ",")
+    feature = F.concat(
+        F.lit("type="), text(F.col("stream_type")), F.lit(";packets="), text(F.col("packets")), F.lit(";units="), text(F.size("pts")), F.lit(";pts="), text(F.get(F.col("pts"), F.lit(0))), F.lit("-"),
+        text(F.element_at("pts", -1)), F.lit(";rap="), access,
+    )
+    p = F.col("payload")
+    return loaded.select("doc_id", "n_bytes", F.octet_length(p).cast("long").alias("payload_bytes"), F.sha2(p, 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def op9_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(store(table(spark, sf_dir, "documents")))
+    return digests(load(materialize(spark, store(table(spark, sf_dir, "documents")), "media", "zstd")))
 
 
 QUERIES = {"op9_media_ts": op9_media_ts}

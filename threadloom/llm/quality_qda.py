@@ -4,16 +4,19 @@ A document's statistics (length, word length, shares of capitals, digits, symbol
 punctuation, exclamation marks and space, repeated neighbours, distinct words, line
 length, repeated lines) are transformed (logarithms, arc-sines of shares), put on a
 common scale and squashed by ``CLIP * tanh(z / CLIP)``. Each class has a mean and a
-covariance shrunk towards the pooled diagonal; a score is the logistic function of
-the difference of the Mahalanobis log densities, from Cholesky factors that are
-made once and travel with the model.
+covariance, shrunk towards the pooled diagonal by the amount that the sampling error of its
+entries asks for (at least ``SHRINK``); a score is the logistic function of the
+difference of the Mahalanobis log densities, by the inverse of the Cholesky factors,
+which is made once and travels with the model.
 
 Only the fit is on a sample: at most ``TRAIN_ROWS`` labelled rows, those of least
 hash of their id. Labels, lang, source and doc_id never enter a score. Nulls: a
-null text scores as the empty one; a null doc_id is never held out; null labels
-and labels without a document are left out of the fit. With one class or none to
-learn from, every score is that class's share (1 without labels). Repeated rows
-score alike; other columns are not read by the query and are kept by ``keep``.
+null text scores as the empty one; a null doc_id is never held out; labels other than
+0 and 1 and labels without a document are left out of the fit. With one class or none
+to learn from, every score is that class's share (1 without labels). Repeated rows
+score alike; other columns are not read by the query and are kept by ``scored``,
+whose new column gets underscores where its name is taken, and by ``keep``. An empty
+table gives no rows. A text is taken whole, in memory linear in its length.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_rows
+from .common import free_name, table, text_rows
 
 TRAIN_ROWS = 50_000
 SHRINK, CLIP, FLOOR = 0.1, 3.0, 1e-3
@@ -59,7 +62,7 @@ N_STATISTICS = 12
 
 @dataclass(frozen=True)
 class Qda:
-    """centre, scale: of the statistics. classes: for 0 and 1 mean, Cholesky factor, log determinant, log prior; None if only share is known."""
+    """centre, scale: of the statistics. classes: for 0 and 1 mean, inverse Cholesky factor, log determinant, log prior; None if only share is known."""
 
     centre: np.ndarray
     scale: np.ndarray
@@ -73,13 +76,24 @@ class Qda:
         if self.classes is None:
             return np.full(len(x), self.share)
         z, density = self.squash(x), []
-        for mean, factor, log_det, log_prior in self.classes:
-            y = np.linalg.solve(factor, (z - mean).T)
+        for mean, inverse, log_det, log_prior in self.classes:
+            y = inverse @ (z - mean).T
             density.append(log_prior - 0.5 * ((y * y).sum(0) + log_det))
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, shrink: float = SHRINK) -> Qda:
+def shrinkage(z: np.ndarray, least: float = SHRINK) -> float:
+    """How far a covariance goes towards its diagonal: the summed variance of its entries over their summed squares, off the diagonal."""
+    n, d = z.shape
+    c = z - z.mean(0)
+    products = c[:, :, None] * c[:, None, :]
+    off = ~np.eye(d, dtype=bool)
+    spread = products.var(0)[off].sum() * n / max(1, n - 1) ** 2
+    size = (np.cov(z.T)[off] ** 2).sum()
+    return float(min(1.0, max(least, spread / size if size > 0 else 1.0)))
+
+
+def fit(x: np.ndarray, y: np.ndarray, least: float = SHRINK) -> Qda:
     share = float(y.mean()) if len(y) else 1.0
     centre, scale = (x.mean(0), np.maximum(x.std(0), 1e-6)) if len(x) else (np.zeros(N_STATISTICS), np.ones(N_STATISTICS))
     model = Qda(centre, scale, None, share)
@@ -89,9 +103,10 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = SHRINK) -> Qda:
     pooled = np.diag(z.var(0))
     for c in (0, 1):
         own = z[y == c]
+        shrink = shrinkage(own, least)
         cov = (1 - shrink) * np.cov(own.T) + shrink * pooled + FLOOR * np.eye(z.shape[1])
         factor = np.linalg.cholesky(cov)
-        classes.append((own.mean(0), factor, 2 * float(np.log(np.diag(factor)).sum()), float(np.log(len(own) / len(z)))))
+        classes.append((own.mean(0), np.linalg.inv(factor), 2 * float(np.log(np.diag(factor)).sum()), float(np.log(len(own) / len(z)))))
     return Qda(centre, scale, tuple(classes), share)
 
 
@@ -106,7 +121,7 @@ def fold(doc_id: str, folds: int):
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Qda:
     """Fit on at most ``most`` labelled rows that are not held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (fold("doc_id", FOLDS) != HELD_OUT))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)  # so many rows at most are broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     got = rows.mapInArrow(_statistics_of, "doc_id long, label int, x array<double>").orderBy("doc_id", "label", "x").limit(2 * most).toPandas()
@@ -115,22 +130,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Qda:
 
 
 def scored(docs: DataFrame, model: Qda) -> DataFrame:
-    """The rows with their score."""
+    """The rows with their score, in a column ``score`` (see ``free_name``)."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         x = np.array([statistics(t or "") for t in texts], float).reshape(len(texts), N_STATISTICS)
         return pd.Series(model.score(x))
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(free_name("score", docs.columns), score("text"))
 
 
 def keep(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that the classifier accepts, with the columns they had."""
-    column = "_score" if "score" in docs.columns else "score"
-    model = train(docs, labels)
-    texts = scored(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return texts.withColumnRenamed("score", column).filter(F.col(column) >= threshold).select("row.*")
+    texts = scored(docs.select(F.struct(*docs.columns).alias("row"), "text"), train(docs, labels))
+    return texts.filter(F.col("score") >= threshold).select("row.*")
 
 
 def op6_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

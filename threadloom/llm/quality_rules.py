@@ -1,118 +1,185 @@
 """Quality rules as a short-circuit cascade (operator 2), DataFrame functions only.
 
-Counts of the whole text come first: words, code points in words, symbols,
-repeated lines, and words in 5-word windows that the text holds twice or more.
-Windows are compared by their 64-bit hash inside the row (sorted with their
-positions, so the work is n log n and nothing is shuffled).
-
-Then ``RULES`` are applied as one CASE expression, which stops at the first rule
-that rejects. Their order comes from a bounded sample: each rule's rejection rate,
-divided by its cost, in characters and words that it still has to scan. The order
-decides only how much is evaluated, never the verdict.
+Measures of the whole text are words, code points in words, symbols, repeated lines,
+and words in 5-word windows that the text holds twice or more. Windows are compared
+by their 64-bit hash inside the row (sorted with their positions, so the work is
+n log n and nothing is shuffled).
+
+``RULES`` are applied as one CASE expression, which stops at the first rule that
+rejects. Their order comes from a bounded sample, drawn over the whole frame: rules
+are timed on it, and the next rule is always the one that rejects most, of what the
+rules before it let pass, for its time. The order decides only how much is evaluated,
+never the verdict. ``verdicts`` leaves the measures inside the CASE, so a text that an
+early rule rejects is spared the dear ones; ``apply`` gives all measures of every row
+and cannot spare any.
 
 Nulls: a null text has no words, all counts zero, and fails the base rule. A null
-doc_id stays null; repeated rows give equal rows; further columns are not read.
+doc_id stays null; repeated rows give equal rows; further columns are not read, so
+their names may clash. An empty table gives no rows (the rules keep their order). A
+text is measured whole, within one row, in memory linear in its length.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, table
+from .common import WORD_PATTERN, discard, materialize, table
 
-#: Rows of the sample on which cost and selectivity are estimated.
-SAMPLE_ROWS = 500
+#: Rows of the sample, at about; how often it is run through for a time; runs, of which the shortest counts; seed of the draw.
+SAMPLE_ROWS, REPEATS, RUNS, SEED = 500, 4, 2, 7
 WINDOW = 5
 
+Measures = dict[str, Column]
 
-@dataclass(frozen=True)
-class Rule:
-    """rejects: a Column over text and the counts. chars, words: how often the rule scans the text's characters or words."""
-
-    name: str
-    rejects: Column
-    chars: float
-    words: float
 
-    def cost(self, mean_chars: float, mean_words: float) -> float:
-        return 1.0 + self.chars * mean_chars + self.words * mean_words
+def n_repeat_words(h: Column) -> Column:
+    """Words in windows that an array of words' hashes holds twice or more."""
+    get = F.get
+    places = F.when(F.size(h) >= WINDOW, F.sequence(F.lit(0), F.size(h) - WINDOW)).otherwise(F.array().cast("array<int>"))
+    windows = F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(*[get(h, i + k) for k in range(WINDOW)]).alias("w"), i.alias("at"))))
+
+    def covered(s: Column) -> Column:
+        twice = F.filter(s, lambda x, k: F.coalesce(get(s, k - 1)["w"] == x["w"], F.lit(False)) | F.coalesce(get(s, k + 1)["w"] == x["w"], F.lit(False)))
+        return F.sort_array(F.transform(twice, lambda x: x["at"]))
+
+    def words(at: Column) -> Column:
+        return F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(get(at, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
+
+    # each step is bound once, as the only element of an array
+    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return bind(windows, lambda s: bind(covered(s), words)).cast("long")
+
+
+def measures(text: Column) -> Measures:
+    """Expressions over a text (not null)."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    long = lambda c: c.cast("long")
+    return {
+        "n_words": long(F.regexp_count(text, F.lit(WORD_PATTERN))), "word_chars": long(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", F.lit("")))),
+        "n_symbols": long(F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", F.lit("")))), "n_lines": long(F.size(lines)), "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
+        "n_repeat_words": n_repeat_words(F.transform(F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0), lambda w: F.xxhash64(w))),
+        "n_upper": F.length(F.regexp_replace(text, "[^A-Z]+", F.lit(""))), "n_lower": F.length(F.regexp_replace(text, "[^a-z]+", F.lit(""))),
+        "n_lettered": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*")),
+    }
+
+
+#: Whether a text is rejected, by rule, from its measures.
+RULES: dict[str, Callable[[Measures], Column]] = {
+    "word_length": lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
+    "symbols": lambda m: 10 * m["n_symbols"] > m["n_words"],
+    "duplicate_lines": lambda m: (m["n_dup_lines"] >= 3) & (10 * m["n_dup_lines"] > 3 * m["n_lines"]),
+    "capitals": lambda m: m["n_upper"] > m["n_lower"],
+    "few_letters": lambda m: 10 * m["n_lettered"] < 5 * m["n_words"],
+}
+#: The contract's own rule, always first where the measures are given; its parts are rules like others where they are not.
+BASE: dict[str, Callable[[Measures], Column]] = {"few_words": lambda m: m["n_words"] < 10, "repeats": lambda m: 100 * m["n_repeat_words"] > 20 * m["n_words"]}
+OUTPUT = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def rules() -> list[Rule]:
-    n = F.col("n_words")
-    upper = F.length(F.regexp_replace("text", "[^A-Z]+", F.lit("")))
-    lower = F.length(F.regexp_replace("text", "[^a-z]+", F.lit("")))
-    return [
-        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n), 0, 0),
-        Rule("symbols", 10 * F.col("n_symbols") > n, 0, 0),
-        Rule("duplicate_lines", (F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")), 0, 0),
-        Rule("capitals", upper > lower, 2, 0),
-        Rule("few_letters", 10 * F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*")) < 5 * n, 1, 3),
-    ]
+def _text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and the counts."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(F.col("doc_id"), text.alias("text"))
-    df = df.select(
-        "*",
-        F.transform(F.regexp_extract_all("text", F.lit(WORD_PATTERN), 0), lambda w: F.xxhash64(w)).alias("h"),
-        F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", F.lit(""))).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", F.lit(""))).cast("long").alias("n_symbols"),
-        F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-    )
-    get = F.get
-    window = F.transform(
-        F.expr(f"case when size(h) >= {WINDOW} then sequence(0, size(h) - {WINDOW}) else array() end"),
-        lambda i: F.struct(F.xxhash64(*[get("h", i + k) for k in range(WINDOW)]).alias("w"), i.alias("at")),
-    )
-    df = df.select("doc_id", "text", F.size("h").cast("long").alias("n_words"), "word_chars", "n_symbols", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.sort_array(window).alias("s"))
-    twice = F.filter("s", lambda x, k: F.coalesce(get("s", k - 1)["w"] == x["w"], F.lit(False)) | F.coalesce(get("s", k + 1)["w"] == x["w"], F.lit(False)))
-    df = df.withColumn("s", F.sort_array(F.transform(twice, lambda x: x["at"])))
-    covered = F.aggregate(F.transform("s", lambda x, k: F.least(F.lit(WINDOW), F.coalesce(get("s", k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
+    """doc_id, text (null: empty) and the measures of OUTPUT."""
+    df = docs.select(F.col("doc_id"), _text().alias("text"))
     # a Generate, so that no later filter is pushed below it with these expressions written out inside one another
-    made = F.struct("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
-    return df.select("doc_id", "text", F.inline(F.array(made)))
-
+    made = measures(F.col("text"))
+    return df.select("doc_id", "text", F.inline(F.array(F.struct(*[made[k].alias(k) for k in OUTPUT]))))
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
+def _given() -> Measures:
+    """Measures of ``counts`` as columns, and the rest as expressions over its text."""
+    return measures(F.col("text")) | {k: F.col(k) for k in OUTPUT}
 
-def _sample(docs: DataFrame, rows: int, files: int = 2) -> DataFrame:
-    """At most so many rows, from a few of the table's files where it has files: a limit alone would read every partition."""
-    names = sorted(docs.inputFiles())
-    if names:
-        some = docs.sparkSession.read.parquet(*names[:: -(-len(names) // files)])
-        if {"doc_id", "text"} <= set(some.columns):
-            return some.select("doc_id", "text").limit(rows)
-    return docs.select("doc_id", "text").limit(rows)
 
+def base_failed(m: Measures | None = None) -> Column:
+    m = _given() if m is None else m
+    return BASE["few_words"](m) | BASE["repeats"](m)
 
-def plan_cascade(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules, by falling rejection per cost on a sample of at most ``sample_rows`` rows (ties: by name)."""
-    every = rules()
-    sample = counts(_sample(docs, sample_rows)).filter(~base_failed())
-    row = sample.agg(F.avg(F.length("text")).alias("c"), F.avg("n_words").alias("w"), *[F.avg(r.rejects.cast("double")).alias(r.name) for r in every]).first()
-    return sorted(every, key=lambda r: (-(row[r.name] or 0.0) / r.cost(row["c"] or 0.0, row["w"] or 0.0), r.name))
 
+@dataclass(frozen=True)
+class Step:
+    """A rule of the cascade, with what the sample showed: the share that it rejects of what came to it, and seconds for the sample."""
 
-def apply(docs: DataFrame, cascade: list[Rule] | None = None) -> DataFrame:
+    name: str
+    rejects: float
+    seconds: float
+
+
+def sample(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """About so many of the frame's texts, drawn over all of it with a fixed seed, written out."""
+    n = docs.count()
+    some = docs.select(_text().alias("text")).sample(min(1.0, rows / max(1, n)), seed=SEED).limit(4 * rows)
+    return materialize(spark, some.filter(F.length("text") >= 0), "rules-sample")
+
+
+def plan(texts: DataFrame, rules: dict[str, Callable[[Measures], Column]], m: Measures) -> list[Step]:
+    """The rules by rejection of what is left for their time, both from a sample (with the columns that m refers to)."""
+    patterns = texts.groupBy(*[r(m).alias(k) for k, r in rules.items()]).count().collect()  # at most 2 ** rules rows
+    many = texts.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+
+    def seconds(rejects: Column | None) -> float:
+        took = []
+        for _ in range(RUNS):
+            began = time.perf_counter()
+            (many if rejects is None else many.filter(rejects)).agg(F.count(F.lit(1))).collect()
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    idle = seconds(None)
+    cost = {k: max(1e-4, seconds(r(m)) - idle) for k, r in rules.items()}
+    out, left = [], [(r.asDict(), r["count"]) for r in patterns]
+    while len(out) < len(rules):
+        total = sum(n for _, n in left)
+        share = {k: sum(n for p, n in left if p[k]) / max(1, total) for k in rules if k not in {s.name for s in out}}
+        best = max(sorted(share), key=lambda k: share[k] / cost[k])
+        out.append(Step(best, share[best], cost[best]))
+        left = [(p, n) for p, n in left if not p[best]]
+    return out
+
+
+def plan_cascade(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[Step]:
+    """The order of RULES behind the base rule, for rows that have their measures."""
+    drawn = sample(spark, docs, rows)
+    measured = materialize(spark, counts(drawn.withColumn("doc_id", F.lit(0))), "rules-measured")
+    try:
+        return plan(measured.filter(~base_failed()), RULES, _given())
+    finally:
+        discard(drawn, measured)
+
+
+def apply(docs: DataFrame, cascade: list[Step]) -> DataFrame:
     """Counts, base_failed, kept and rejected_by (the first rule of the cascade that rejects) of every row."""
-    cascade = plan_cascade(docs) if cascade is None else cascade
+    m = _given()
     df = counts(docs).withColumn("base_failed", base_failed())
     first = F.when(F.col("base_failed"), F.lit("base"))
-    for r in cascade:
-        first = first.when(r.rejects, F.lit(r.name))
+    for step in cascade:
+        first = first.when(RULES[step.name](m), F.lit(step.name))
     return df.withColumn("rejected_by", first).withColumn("kept", F.col("rejected_by").isNull()).drop("text")
 
 
+def verdicts(spark: SparkSession, docs: DataFrame, cascade: list[Step] | None = None) -> DataFrame:
+    """doc_id, rejected_by and kept of every row, with every rule's measures inside its branch: what an early rule rejects costs no more."""
+    rules = BASE | RULES
+    if cascade is None:
+        drawn = sample(spark, docs)
+        cascade = plan(drawn, rules, measures(F.col("text")))
+        discard(drawn)
+    m, first = measures(F.col("text")), F.when(F.lit(False), F.lit(""))
+    for step in cascade:
+        first = first.when(rules[step.name](m), F.lit(step.name))
+    return docs.select("doc_id", _text().alias("text")).select("doc_id", first.alias("rejected_by")).withColumn("kept", F.col("rejected_by").isNull())
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    docs = table(spark, sf_dir, "documents")
+    return apply(docs, plan_cascade(spark, docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES = {"op2_quality_rules": op2_quality_rules}

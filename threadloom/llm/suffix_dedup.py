@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table, text_rows, tidy
+from .common import discard, materialize, release, table, text_rows, tidy
 
 LENGTH, ANCHOR = 200, 48
 #: Window starts that are handled at once; bytes of content compared at once; bytes of one collection; different contents from which an anchor is taken apart.
@@ -370,6 +370,7 @@ def spans(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> DataFrame:
     ends = F.transform("places", lambda p: F.struct((_start(p) + F.col("first")).alias("a"), (_start(p) + F.coalesce("last", _windows(p) - 1) + LENGTH).alias("b")))
     # a set: rows with one text bring the same spans
     out = materialize(spark, found.select("key", ends.alias("ends")).groupBy("key").agg(F.flatten(F.collect_set("ends")).alias("spans")), "spans")
+    discard(seen, shared, many, crowded, verdict, *[contents] * any_hot)
     release(spark)
     return out
 

@@ -1,11 +1,13 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick (operator 8).
 
 Texts are folded first: compatibility forms, look-alike letters of other scripts,
-lower case, and digits or signs that stand for letters inside a word. The lexicon
-is learned from labels: beginnings of words and whole words that toxic documents
-use far more than others, counted by document at the word's first place in it, and
-once for each context (the words beside), so copies of a text count once; the shortest beginning that is significant stands for
-all words under it, which reaches forms that no labelled row has. One automaton
+lower case, accents taken off, and digits or signs that stand for letters inside a
+word. The lexicon
+is learned from labels: beginnings of words and whole words that toxic documents use
+far more than others, counted by document at the word's first place in it, and once
+for each context (the words beside), so copies of a text count once; the shortest
+beginning that is significant stands for all words under it, which reaches forms that
+no labelled row has. One automaton
 finds all entries and the exception phrases in a pass; a match inside an exception
 phrase doesn't count. The score is a logistic function of the log of the summed
 weights and of the text's length.
@@ -13,8 +15,10 @@ weights and of the text's length.
 Only the fit is on a sample: at most ``TRAIN_ROWS`` labelled rows of either class,
 those of least hash of their id. Labels, lang, source and doc_id never enter a
 score. Nulls: a null text scores as the empty one; a null doc_id is never held
-out; null labels are left out. Without labels of both classes nothing is learned
-and every score is 0. Repeated rows score alike; other columns are not read.
+out; labels other than 0 and 1 are left out. Without labels of both classes nothing is
+learned and every score is 0. Repeated rows score alike; other columns are kept by
+``scored``, whose new column gets underscores where its name is taken. An empty table
+gives no rows. A text is taken whole, in memory linear in its length.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_rows
+from .common import free_name, table, text_rows
 
 TRAIN_ROWS = 10_000
 FOLDS, HELD_OUT = 5, 0
@@ -45,12 +50,15 @@ _HOMOGLYPHS = str.maketrans("авсеһіјкмнорѕтухԁԛԝαβεικν
 _SIGNS = str.maketrans("0134579@$!", "oieastgasi")
 _INSIDE = re.compile(r"(?<=[^\W\d_])[0134579@$!]+(?=[^\W\d_])|(?<![\w@$])[0134579@$]+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
+#: Combining marks, which decomposition parts from their letters.
+_MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def fold(text: str) -> str:
     """The folded words of a text, with one space before, between and after them."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).lower().translate(_HOMOGLYPHS)
+        text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).lower().translate(_HOMOGLYPHS))
+        text = _MARKS.sub("", text)
     else:
         text = text.lower()
     return " " + " ".join(_WORD.findall(_INSIDE.sub(lambda m: m[0].translate(_SIGNS), text))) + " "
@@ -66,6 +74,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([],) * 4, (pa.int64(), pa.int32(), pa.string(), pa.string()), strict=True)], ["doc_id", "label", "word", "beside"])
 
 
+@lru_cache(4)
+def automaton(entries: tuple[tuple[str, float], ...], exceptions: tuple[str, ...]) -> ahocorasick.Automaton:
+    """One automaton for a worker's life: entries bring their weight, exceptions none."""
+    a = ahocorasick.Automaton()
+    for pattern, weight in entries:
+        a.add_word(pattern, (len(pattern), weight))
+    for phrase in exceptions:
+        a.add_word(p := f" {phrase} ", (len(p), None))
+    a.make_automaton()
+    return a
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """entries: pattern (a leading space is a word's start, a trailing one its end) and weight. beta: of 1, log1p(sum), log1p(words)."""
@@ -74,22 +94,13 @@ class Lexicon:
     beta: tuple[float, float, float] | None
     exceptions: tuple[str, ...] = EXCEPTIONS
 
-    def automaton(self) -> ahocorasick.Automaton:
-        a = ahocorasick.Automaton()
-        for pattern, weight in self.entries:
-            a.add_word(pattern, (len(pattern), weight))
-        for phrase in self.exceptions if self.entries else ():
-            a.add_word(p := f" {phrase} ", (len(p), None))
-        a.make_automaton()
-        return a
-
     def statistics(self, texts: list[str]) -> np.ndarray:
         """log1p of the summed weights and of the words of each text."""
         out = np.zeros((len(texts), 2))
-        a = self.automaton() if self.entries else None
+        a = automaton(self.entries, self.exceptions) if self.entries else None
         for k, text in enumerate(texts):
             folded = fold(text)
-            out[k, 1] = folded.count(" ") - 1
+            out[k, 1] = folded.count(" ") - 1 if len(folded) > 2 else 0  # without a word: two spaces
             if a is None:
                 continue
             hits, spared = [], []
@@ -165,7 +176,7 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(lexicon.score([t or "" for t in texts]))
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(free_name("score", docs.columns), score("text"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
