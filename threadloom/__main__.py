@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.out:
         readers.write_json(got.messages, f"{a.out}/messages")
         readers.write_json(got.results, f"{a.out}/results")
-    lines = render.summary_line(got.results) if a.command == "compact" else render.inspect(got.units).orderBy("conv_id", "unit_pos")
+    lines = render.summary_line(got.results) if a.command == "compact" else render.inspect(got).orderBy("conv_id", "line_no")
     for row in lines.toLocalIterator():
         print(row["line"])
     return 2 if got.results.filter("blocked").limit(1).count() else 0

@@ -21,5 +21,9 @@ class BlockedError(CompactionError):
         self.finding = finding
 
 
+class AbortedError(CompactionError):
+    """The caller cancelled the run."""
+
+
 class StateTooLargeError(CompactionError):
     """The abridged state is over the limit of a request even at the last stage."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..options import EPSILON, Options
+from ..options import EPSILON, Options, finite
 
 SURVIVES = ("kept", "pinned", "flagged")
 
@@ -23,14 +23,20 @@ def _p(p: Column) -> Column:
     return F.format_string("%.2f", p)
 
 
-def initial(units: DataFrame, judgements: DataFrame | None) -> DataFrame:
-    """Adds p_keep, confidence and ``answered`` (whether the history has any answer). judgements: one row per unit."""
+def initial(units: DataFrame, judgements: DataFrame | None, answered: DataFrame | None = None) -> DataFrame:
+    """Adds p_keep, confidence and ``answered`` (whether the history has any answer). judgements: one row per unit.
+
+    Answers count for candidates only, and for units that were asked about where there is a column ``asked``; one that isn't finite is none.
+    answered: conv_id of the histories that were answered, if not those with any row of judgements.
+    """
     if judgements is None:
         return units.withColumns({"p_keep": F.lit(None).cast("double"), "confidence": F.lit(None).cast("double"), "answered": F.lit(False)})
     j = judgements.select("conv_id", "unit_id", "p_keep", "confidence")
-    any_ = j.select("conv_id").distinct().withColumn("answered", F.lit(True))
+    any_ = (j if answered is None else answered).select("conv_id").distinct().withColumn("answered", F.lit(True))
     df = units.join(j, ["conv_id", "unit_id"], "left").join(any_, "conv_id", "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
-    fine = F.col("is_candidate") & F.col("p_keep").isNotNull() & ~F.isnan("p_keep")
+    fine = F.col("is_candidate") & finite(F.col("p_keep"))
+    if "asked" in units.columns:
+        fine = fine & F.col("asked")
     return df.withColumns({"confidence": F.when(fine, F.col("confidence")), "p_keep": F.when(fine, F.col("p_keep"))})
 
 
@@ -79,11 +85,15 @@ def flag(df: DataFrame, implicated: DataFrame) -> DataFrame:
     return df.withColumn("reason", F.when(on, why).otherwise(F.col("reason"))).withColumn("decision", F.when(on, "flagged").otherwise(F.col("decision"))).drop("finding")
 
 
-def keep_everything(df: DataFrame) -> DataFrame:
-    """Fail-open: nothing but pins and flags is told apart, duplicates are kept."""
-    return df.withColumn("decision", F.when(F.col("decision") == "duplicate", "kept").otherwise(F.col("decision")))
+def keep_everything(df: DataFrame, where: Column) -> DataFrame:
+    """Fail-open: the duplicates of these histories are kept, with the reason they had; flags come after."""
+    back = where & (F.col("decision") == "duplicate")
+    return df.withColumn("reason", F.when(back, F.concat(F.lit("judge:unavailable (was "), "reason", F.lit(")"))).otherwise(F.col("reason"))).withColumn("decision", F.when(back, "kept").otherwise(F.col("decision")))
 
 
-def decide(units: DataFrame, judgements: DataFrame | None, implicated: DataFrame | None, opts: Options) -> DataFrame:
-    df = within_budget(keep_least(by_threshold(initial(units, judgements), opts), opts), opts)
+def decide(units: DataFrame, judgements: DataFrame | None, implicated: DataFrame | None, opts: Options, unavailable: Column | None = None, answered: DataFrame | None = None) -> DataFrame:
+    """unavailable: the histories that were asked about in vain (a predicate that may use ``answered``)."""
+    df = within_budget(keep_least(by_threshold(initial(units, judgements, answered), opts), opts), opts)
+    if unavailable is not None:
+        df = keep_everything(df, unavailable)
     return flag(df, implicated) if implicated is not None else df

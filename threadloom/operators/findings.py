@@ -7,26 +7,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.patterns import EVIDENCE_CHARS, PATTERNS, Pattern
-from ..options import EPSILON, Options
+from ..options import EPSILON, Options, finite
 from ..schema import GATED, SIGNAL_KINDS
 
 
 def scan_patterns(units: DataFrame, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
     """One row per unit and pattern that matches: conv_id, unit_pos, kind, source, probability, level, indices, evidence, ord.
 
-    The patterns are literals of one projection over the units; only hits are exploded.
+    First every pattern is held against the unit's text once (and against its frames, where there are several:
+    one may match alone), as literals of one projection. Frames are told apart for the hits only.
     """
+    frames = F.when(F.size("frames") > 1, F.col("frames")["text"])
+    hit = lambda p: F.col("text").rlike(p.regex) | F.coalesce(F.exists(frames, lambda t: t.rlike(p.regex)), F.lit(False))
+    which = F.filter(F.array(*[F.when(hit(p), F.lit(k)) for k, p in enumerate(patterns)]), lambda k: k.isNotNull())
+    df = units.select("conv_id", "unit_pos", "indices", "text", "frames", F.explode(which).alias("k"))
 
-    def hit(k: int, p: Pattern) -> Column:
+    def found(k: int, p: Pattern) -> Column:
         own = F.filter("frames", lambda f: f["text"].rlike(p.regex))
         text = F.when(F.size(own) > 0, F.get(own, F.lit(0))["text"]).otherwise(F.col("text"))
         match = F.substring(F.regexp_extract(text, p.regex, 0), 1, EVIDENCE_CHARS)
         where = F.when(F.size(own) > 0, own["idx"]).otherwise(F.col("indices"))
-        made = F.struct(F.lit(k).alias("ord"), F.lit(p.kind).alias("kind"), where.alias("indices"), F.concat(F.lit(f"{p.name}: "), match).alias("evidence"))
-        return F.when(F.col("text").rlike(p.regex) | F.exists("frames", lambda f: f["text"].rlike(p.regex)), made)
+        return F.when(F.col("k") == k, F.struct(F.lit(k).alias("ord"), F.lit(p.kind).alias("kind"), where.alias("indices"), F.concat(F.lit(f"{p.name}: "), match).alias("evidence")))
 
-    hits = F.filter(F.array(*[hit(k, p) for k, p in enumerate(patterns)]), lambda h: h.isNotNull())
-    df = units.select("conv_id", "unit_pos", F.explode(hits).alias("h"))
+    df = df.withColumn("h", F.coalesce(*[found(k, p) for k, p in enumerate(patterns)]))
     return df.select("conv_id", "unit_pos", "h.kind", F.lit("pattern").alias("source"), F.lit(1.0).alias("probability"), F.lit("action").alias("level"), "h.indices", "h.evidence", (F.col("unit_pos") * len(patterns) + F.col("h.ord")).alias("ord"))
 
 
@@ -34,7 +37,7 @@ def signal_findings(signals: DataFrame, pending: DataFrame, opts: Options) -> Da
     """Findings of the history-level signals (conv_id and a probability for each kind)."""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("probability"), F.lit(i).alias("o")) for i, k in enumerate(SIGNAL_KINDS)])
     df = signals.select("conv_id", F.explode(kinds).alias("s")).select("conv_id", "s.*")
-    df = df.filter(F.col("probability").isNotNull() & ~F.isnan("probability") & (F.col("probability") >= opts.review_threshold - EPSILON))
+    df = df.filter(finite(F.col("probability")) & (F.col("probability") >= opts.review_threshold - EPSILON))
     level = F.when(F.col("probability") >= opts.action_threshold - EPSILON, "action").otherwise("review")
     df = df.join(pending.select("conv_id", "pending_indices"), "conv_id", "left")
     none = F.array().cast("array<int>")
@@ -76,13 +79,31 @@ CORRECTIVE = {
 }
 
 
-def corrective_prompts(findings: DataFrame, goals: DataFrame, opts: Options) -> DataFrame:
-    """conv_id and the corrective text for action-level signals of thrashing and drift, once each."""
+def per_history(findings: DataFrame) -> DataFrame:
+    """conv_id and found, the findings of a history in order."""
+    return findings.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("rank", "kind", "source", "level", "probability", "indices", "evidence"))).alias("found"))
+
+
+def blocks(finding: Column, actions: Column) -> Column:
+    """Whether a finding blocks an action that consists of these messages."""
+    return (finding["level"] == "action") & finding["kind"].isin(*GATED) & F.coalesce(F.arrays_overlap(finding["indices"], actions), F.lit(False))
+
+
+def corrective_text(found: Column, goal: Column, opts: Options) -> Column:
+    """The corrective text for action-level signals of thrashing and drift among the findings, once each; null for none."""
     templates = CORRECTIVE | {k: v for k, v in (opts.corrective or {}).items() if isinstance(v, str)} if opts.corrective is not False else {}
-    df = findings.filter((F.col("source") == "judge") & (F.col("level") == "action") & F.col("kind").isin(*templates or ["-"]))
-    df = df.groupBy("conv_id", "kind").agg(F.min("rank").alias("rank")).join(goals, "conv_id")
-    part = F.lit(None).cast("string")
-    for k, t in templates.items():
-        part = F.when(F.col("kind") == k, F.replace(F.lit(t), F.lit("{goal}"), "goal")).otherwise(part)
-    parts = F.array_sort(F.collect_list(F.struct("rank", part.alias("text"))))
-    return df.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("addendum"))
+    ask = F.filter(found, lambda f: (f["source"] == "judge") & (f["level"] == "action") & f["kind"].isin(*templates or ["-"]))
+
+    def text(f: Column) -> Column:
+        part = F.lit(None).cast("string")
+        for k, t in templates.items():
+            part = F.when(f["kind"] == k, F.replace(F.lit(t), F.lit("{goal}"), goal)).otherwise(part)
+        return part
+
+    return F.when(F.size(ask) > 0, F.array_join(F.transform(ask, text), "\n\n"))
+
+
+def corrective_prompts(findings: DataFrame, goals: DataFrame, opts: Options) -> DataFrame:
+    """conv_id and the corrective text of the histories that need one."""
+    df = per_history(findings).join(goals, "conv_id")
+    return df.select("conv_id", corrective_text(F.col("found"), F.col("goal"), opts).alias("addendum")).filter("addendum is not null")

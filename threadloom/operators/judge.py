@@ -1,24 +1,33 @@
-"""Relevance answers as tables: questions, batches, folding, votes, and three judges.
-
-The engine holds no model: a judge is anything that turns candidates into rows of
-(conv_id, unit_id, vote, p_keep, confidence). ``TableJudge`` takes recorded
-answers, ``LexicalJudge`` is our own stand-in (the share of the goal's words in a
-unit), ``HttpJudge`` asks a service from the executors and is off by default.
+"""Relevance answers as tables: questions, batches, requests, folding, votes, and the judges.
+
+The engine holds no model. A judge has one of two forms. A simple one turns the
+candidates into rows of (conv_id, unit_id, vote, p_keep, confidence): ``TableJudge``
+takes recorded answers, ``LexicalJudge`` is our own stand-in (the share of the goal's
+words in a unit). One with ``requests`` is asked by the whole protocol: batches of
+questions over an abridged state, as many votes as the options say, a state that is
+too large abridged again, and failures told apart: ``HttpJudge`` asks a service from
+the executors and is off without a client.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import AbortedError, StateTooLargeError
 from ..functions import text as T
-from ..options import Options
-from ..schema import JUDGEMENTS, SIGNAL_KINDS
+from ..options import Options, finite
+from ..schema import SIGNAL_KINDS
+from .skeleton import NOTE
 
 #: Dollars for a token put in.
 PRICE = 0.042 / 1e6
@@ -46,17 +55,54 @@ def history_questions(pending_position: Column) -> Column:
 def plan_batches(asked: DataFrame, opts: Options, state: Column | str = "state_tokens", question: Column | None = None, first_cost: Column | None = None) -> DataFrame:
     """conv_id, unit_id and batch_no of candidates in order (conv_id, unit_pos, unit_id, position, state tokens).
 
-    A batch's cost restarts with every batch, so the fill is a fold over a history's costs, inside its row.
+    A batch's cost restarts with every batch, so the fill is a fold over a history's costs, inside its row; it keeps
+    only where batches begin. A question too large for any batch gets one of its own. ``first_cost`` is what the history's
+    questions take of the first batch; without any, its first candidate never opens another.
     """
     state = F.col(state) if isinstance(state, str) else state
     cost = T.est_tokens(question if question is not None else candidate_question(F.col("position")))
     rows = asked.filter("position is not null").select("conv_id", "unit_pos", "unit_id", cost.alias("cost"), state.alias("state"), (first_cost if first_cost is not None else F.lit(0)).cast("int").alias("first_cost"))
-    per = rows.groupBy("conv_id").agg(F.first("state").cast("int").alias("state"), F.first("first_cost").alias("first_cost"), F.array_sort(F.collect_list(F.struct("unit_pos", "unit_id", "cost"))).alias("q"))
-    start = F.struct(F.lit(0).alias("batch"), (F.col("state") + F.col("first_cost")).cast("int").alias("used"), F.lit(True).alias("some"), F.array().cast("array<int>").alias("out"))
-    over = lambda a, x: a["some"] & (a["used"] + x["cost"] > opts.request_tokens)
-    step = lambda a, x: F.struct((a["batch"] + over(a, x).cast("int")).alias("batch"), (F.when(over(a, x), F.col("state")).otherwise(a["used"]) + x["cost"]).cast("int").alias("used"), F.lit(True).alias("some"), F.concat(a["out"], F.array(a["batch"] + over(a, x).cast("int"))).alias("out"))
-    df = per.select("conv_id", "q", F.aggregate("q", start, step)["out"].alias("batches"))
-    return df.select("conv_id", F.explode(F.arrays_zip(F.col("q")["unit_id"].alias("unit_id"), F.col("batches").alias("batch_no"))).alias("z")).select("conv_id", F.col("z.unit_id").alias("unit_id"), F.col("z.batch_no").alias("batch_no"))
+    per = rows.groupBy("conv_id").agg(F.first("state").cast("int").alias("state"), F.first("first_cost").alias("first_cost"), F.sort_array(F.collect_list(F.struct("unit_pos", "unit_id", "cost"))).alias("q"))
+    start = F.struct(F.lit(0).alias("k"), (F.col("state") + F.col("first_cost")).cast("int").alias("used"), (F.col("first_cost") > 0).alias("some"), F.array().cast("array<int>").alias("cuts"))
+
+    def step(a: Column, x: Column) -> Column:
+        over = a["some"] & (a["used"] + x["cost"] > opts.request_tokens)
+        used = (F.when(over, F.col("state")).otherwise(a["used"]) + x["cost"]).cast("int")
+        return F.struct((a["k"] + 1).alias("k"), used.alias("used"), F.lit(True).alias("some"), F.when(over, F.concat(a["cuts"], F.array(a["k"]))).otherwise(a["cuts"]).alias("cuts"))
+
+    df = per.select("conv_id", "q", F.aggregate("q", start, step)["cuts"].alias("cuts"))
+    df = df.select("conv_id", "cuts", F.posexplode("q").alias("k", "x"))
+    return df.select("conv_id", F.col("x.unit_id").alias("unit_id"), F.size(F.filter("cuts", lambda c: c <= F.col("k"))).alias("batch_no"))
+
+
+def batches(view: DataFrame, pending: DataFrame, opts: Options) -> DataFrame:
+    """conv_id, batch_no, state (JSON) and questions (name, JSON) of the requests for abridged histories (skeleton rows).
+
+    The history's own questions ride in batch 0, which every history has, even without a candidate.
+    """
+    at = view.join(pending.select("conv_id", F.col("pending_unit").alias("unit_id")), ["conv_id", "unit_id"]).select("conv_id", F.col("position").alias("pending_position"))
+    entries = F.sort_array(F.collect_list(F.when(F.col("position").isNotNull(), F.struct("position", "entry"))))
+    per = view.groupBy("conv_id").agg(F.first("goal").alias("goal"), F.first("state_tokens").alias("state_tokens"), entries.alias("entries")).join(at, "conv_id", "left")
+    quoted = F.regexp_replace(F.to_json(F.struct("goal", F.lit(NOTE).alias("note"))), r"\}\z", "")
+    per = per.withColumn("state", F.concat(quoted, F.lit(',"messages":['), F.array_join(F.transform("entries", lambda e: e["entry"]), ","), F.lit("]}")))
+    names = (*SIGNAL_KINDS, "progress")
+    per = per.withColumn("own", history_questions(F.col("pending_position"))).withColumn("own", F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), F.col("own").alias("question")))
+    first = F.aggregate("own", F.lit(0), lambda a, q: a + T.est_tokens(q["question"]))
+    asked = view.filter("is_candidate and position is not null").join(per.select("conv_id", first.alias("first_cost")), "conv_id")
+    plan = plan_batches(asked, opts, first_cost=F.col("first_cost")).join(asked.select("conv_id", "unit_id", "unit_pos", "position"), ["conv_id", "unit_id"])
+    plan = plan.groupBy("conv_id", "batch_no").agg(F.sort_array(F.collect_list(F.struct("unit_pos", F.col("unit_id").alias("name"), candidate_question(F.col("position")).alias("question")))).alias("q"))
+    plan = plan.unionByName(per.select("conv_id", F.lit(0).alias("batch_no"), F.array().cast(plan.schema["q"].dataType).alias("q"))).groupBy("conv_id", "batch_no").agg(F.flatten(F.collect_list("q")).alias("q"))
+    kind = "array<struct<name:string,question:string>>"
+    questions = F.concat(F.when(F.col("batch_no") == 0, F.col("own").cast(kind)).otherwise(F.array().cast(kind)), F.transform("q", lambda x: F.struct(x["name"].alias("name"), x["question"].alias("question"))))
+    return plan.join(per.select("conv_id", "state", "own"), "conv_id").select("conv_id", "batch_no", "state", questions.alias("questions"))
+
+
+#: What a request brought, one row for each batch and vote.
+REQUESTS = (
+    "conv_id string, vote int, batch_no int, ok boolean, error_type string, error string, input_tokens long, output_tokens long, latency_ms long, "
+    "answers array<struct<unit_id:string,p_keep_raw:double,p_drop_raw:double,choice:string,confidence_raw:double>>, "
+    "destructive double, exfiltration double, thrashing double, goal_drift double, progress double"
+)
 
 
 def clamp(p: Column) -> Column:
@@ -75,8 +121,9 @@ def fold_signals(answers: DataFrame) -> DataFrame:
 
 
 def average_votes(judgements: DataFrame) -> DataFrame:
-    """Means over the votes that answered a unit."""
-    return judgements.groupBy("conv_id", "unit_id").agg(F.avg("p_keep").alias("p_keep"), F.avg("confidence").alias("confidence"), F.count(F.lit(1)).alias("votes"))
+    """Means over the votes that answered a unit; a vote that is no number counts for nothing, and without any other p_keep is null."""
+    mean = lambda c: F.avg(F.when(finite(F.col(c)), F.col(c))).alias(c)
+    return judgements.groupBy("conv_id", "unit_id").agg(mean("p_keep"), mean("confidence"), F.count(F.lit(1)).alias("votes"))
 
 
 def average_signals(signals: DataFrame) -> DataFrame:
@@ -91,13 +138,20 @@ def telemetry(requests: DataFrame) -> DataFrame:
 
 def run_failed(requests: DataFrame) -> DataFrame:
     """conv_id and whether a run failed: no vote's first batch was answered, or any batch was rejected for its size."""
-    return requests.groupBy("conv_id").agg((~F.bool_or((F.col("batch_no") == 0) & F.col("ok")) | F.bool_or(F.col("error_type") == "too_large")).alias("failed"))
+    return requests.groupBy("conv_id").agg((~F.bool_or((F.col("batch_no") == 0) & F.col("ok")) | F.bool_or(F.coalesce(F.col("error_type") == "too_large", F.lit(False)))).alias("failed"))
+
+
+#: Kinds of failed requests, by words of an error's name or message; anything else is a fault of our own.
+ERROR_WORDS = {"too_large": "max.?tokens|too large|context length|413", "aborted": "abort|cancel", "judge": "judge|timeout|connect|http|unavailable"}
 
 
 def error_type(error: Column | str) -> Column:
     """too_large, aborted, judge or other, by an error's name or message."""
     e = F.lower(F.col(error) if isinstance(error, str) else error)
-    return F.when(e.isNull(), None).when(e.rlike("max.?tokens|too large|context length|413"), "too_large").when(e.rlike("abort|cancel"), "aborted").when(e.rlike("judge|timeout|connect|http|unavailable"), "judge").otherwise("other")
+    out = F.when(e.isNull(), None)
+    for kind, words in ERROR_WORDS.items():
+        out = out.when(e.rlike(words), kind)
+    return out.otherwise("other")
 
 
 @dataclass(frozen=True)
@@ -128,36 +182,95 @@ class LexicalJudge:
         return None
 
 
+class RequestError(Exception):
+    """A service that did not answer: it could not be reached, was too slow, or said no."""
+
+
+def classify(error: BaseException) -> str:
+    """The kind of a failed request, by its class and then its text, as ``error_type`` does for tables."""
+    if isinstance(error, StateTooLargeError):
+        return "too_large"
+    if isinstance(error, AbortedError | KeyboardInterrupt):
+        return "aborted"
+    if isinstance(error, RequestError | ConnectionError | TimeoutError):
+        return "judge"
+    text = f"{type(error).__name__} {error}".lower()
+    for kind, words in ERROR_WORDS.items():
+        if re.search(words, text):
+            return kind
+    return "other"
+
+
 @dataclass(frozen=True)
 class HttpJudge:
-    """Asks a service through ``client(list of questions) -> list of (p_keep, confidence)``, one client for each worker.
+    """Asks a service: ``client()`` is made once for each worker and takes a request (state as JSON, questions by name).
 
-    ``concurrency`` bounds the partitions that ask at once. Rows of a request that fails are left out: their units count as unjudged.
+    Its reply has ``answers`` by name: of a unit a dict with p_keep, p_drop or choice, and confidence; of a signal a number;
+    and may have input_tokens and output_tokens. ``concurrency`` bounds the partitions that ask at once. A history's requests
+    stop at the first one that is rejected for its size; a cancellation, or an error that is no failure to answer, ends the run.
     """
 
-    client: Callable[[], Callable[[list[dict]], list[tuple[float, float]]]] | None = None
+    client: Callable[[], Callable[[dict], dict]] | None = None
     concurrency: int = 8
-    votes: int = 1
-    batch: int = 64
 
-    def ask(self, candidates: DataFrame) -> DataFrame:
+    def requests(self, asked: DataFrame, votes: int) -> DataFrame:
+        """REQUESTS rows of batches."""
         if self.client is None:
             raise ValueError("no client: the judge over HTTP is off")
-        make, votes, size = self.client, self.votes, self.batch
+        make, names = self.client, (*SIGNAL_KINDS, "progress")
+
+        def one(ask, conv_id, batch_no, state, questions, vote) -> dict:
+            row = {"conv_id": conv_id, "vote": vote, "batch_no": int(batch_no), "ok": False, "error_type": None, "error": None, "input_tokens": 0, "output_tokens": 0, "answers": [], **dict.fromkeys(names)}
+            began = time.monotonic()
+            try:
+                reply = ask({"state": state, "questions": {q["name"]: json.loads(q["question"]) for q in questions}})
+                got = dict(reply["answers"])
+                row |= {k: float(got.pop(k)) for k in names if got.get(k) is not None}
+                number = lambda x: None if x is None else float(x)
+                row["answers"] = [{"unit_id": k, "p_keep_raw": number(v.get("p_keep")), "p_drop_raw": number(v.get("p_drop")), "choice": v.get("choice"), "confidence_raw": number(v.get("confidence", 1.0))} for k, v in got.items()]
+                row |= {"ok": True, "input_tokens": int(reply.get("input_tokens", 0)), "output_tokens": int(reply.get("output_tokens", 0))}
+            except Exception as error:  # noqa: BLE001  told apart here; what is no failure to answer goes on
+                kind = classify(error)
+                if kind in ("aborted", "other"):
+                    raise
+                row |= {"error_type": kind, "error": str(error)}
+            return row | {"latency_ms": int((time.monotonic() - began) * 1000)}
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ask = make()
+            ask, rejected = make(), None
             for part in parts:
-                for at in range(0, len(part), size):
-                    rows = part.iloc[at : at + size]
+                rows = []
+                for r in part.itertuples(index=False):
                     for vote in range(votes):
-                        try:
-                            got = ask(rows.to_dict("records"))
-                        except Exception:  # noqa: BLE001  a failed request leaves its units unjudged
-                            continue
-                        yield pd.DataFrame({"conv_id": rows["conv_id"].values, "unit_id": rows["unit_id"].values, "vote": vote, "p_keep": [g[0] for g in got], "confidence": [g[1] for g in got]})
+                        if r.conv_id != rejected:
+                            rows.append(one(ask, r.conv_id, r.batch_no, r.state, r.questions, vote))
+                            rejected = r.conv_id if rows[-1]["error_type"] == "too_large" else None
+                if rows:
+                    yield pd.DataFrame(rows)[REQUEST_COLUMNS]
 
-        return candidates.select("conv_id", "unit_id", "goal", "text").repartition(self.concurrency, "conv_id").mapInPandas(run, JUDGEMENTS)
+        dealt = asked.select("conv_id", "batch_no", "state", "questions").repartition(self.concurrency, "conv_id").sortWithinPartitions("conv_id", "batch_no")
+        return dealt.mapInPandas(run, REQUESTS)
 
-    def signals(self, candidates: DataFrame) -> DataFrame | None:
-        return None
+
+REQUEST_COLUMNS = [c.split()[0] for c in re.sub(r"<.*?>+", "", REQUESTS).split(", ")]
+
+
+class Asked(NamedTuple):
+    """What a judge's requests come to: answers of units, signals, histories that were answered, sums of the requests."""
+
+    judgements: DataFrame
+    signals: DataFrame
+    answered: DataFrame
+    telemetry: DataFrame
+
+
+def collected(requests: DataFrame) -> Asked:
+    """Folds REQUESTS rows (with ``attempt``): the last attempt of each history counts, if the run as a whole did not fail; all attempts cost."""
+    last = requests.withColumn("_last", F.max("attempt").over(W.partitionBy("conv_id"))).filter(F.col("attempt") == F.col("_last"))
+    fine = run_failed(last).filter("not failed").select("conv_id")
+    good = last.filter("ok").join(fine, "conv_id", "left_semi")
+    answers = good.select("conv_id", "vote", F.explode("answers").alias("a")).select("conv_id", "vote", "a.*")
+    signals = average_signals(fold_signals(good.select("conv_id", "vote", "batch_no", *SIGNAL_KINDS, "progress")))
+    costs = telemetry(requests.select("conv_id", "input_tokens", "output_tokens", "latency_ms", "ok"))
+    errors = last.groupBy("conv_id").agg(F.min_by("error", F.struct("batch_no", "vote")).alias("error"))
+    return Asked(average_votes(fold_answers(answers)), signals, fine, costs.join(errors, "conv_id", "left"))

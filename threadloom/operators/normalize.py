@@ -1,8 +1,9 @@
 """Messages to frames: format, role, kind, text, paths, code, tool calls, hash, tokens.
 
 A message is raw JSON text; it is parsed once, into a fixed struct, and everything
-after is columns. The format is that of a whole history: it is one aggregation of
-row markers by conversation, joined back by key.
+after is columns (content that is an array is parsed as blocks). The format is that
+of a whole history: the greatest of its rows' marks, a window over the conversation
+whose exchange serves all that follows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,22 +30,27 @@ def _lookup(names: dict[str, str], key: Column) -> Column:
     return F.create_map(*[F.lit(x) for x in chain(*names.items())])[key]
 
 
+def _blocks() -> Column:
+    return F.when(F.col("is_list"), F.from_json(F.col("m.content"), f"array<{_BLOCK}>"))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds ``m`` (the message's fields) and ``blocks`` (its content, where that is an array)."""
+    """Adds ``m`` (the message's fields), ``is_list`` (whether its content is an array) and ``blocks`` (that array)."""
     j = F.col("message_json")
     df = messages.withColumn("m", F.from_json(j, _SHAPE))
-    blocks = F.from_json(j, f"content array<{_BLOCK}>")["content"]
-    return df.withColumn("blocks", F.when(j.rlike(r'"content"\s*:\s*\['), blocks))
+    a_list = j.rlike(r'"content"\s*:\s*\[') & F.coalesce(F.col("m.content").startswith("["), F.lit(False))
+    return df.withColumn("is_list", a_list).withColumn("blocks", _blocks())
 
 
 def format_markers() -> dict[str, Column]:
     """Whether a row shows one of the formats."""
     m, j = F.col("m"), F.col("message_json")
-    lang = m["type"].isin(*LANGCHAIN_TYPES) | F.get_json_object(j, "$.lc_kwargs").isNotNull()
+    lang = m["type"].isin(*LANGCHAIN_TYPES) | (j.contains('"lc_kwargs"') & F.get_json_object(j, "$.lc_kwargs").isNotNull())
     lang = F.coalesce(lang, F.lit(False))
-    # presence counts, even of null: keys are looked for in the object, not values
-    keys = F.coalesce(F.json_object_keys(j), F.array().cast("array<string>"))
-    open_ai = F.arrays_overlap(keys, F.array(*map(F.lit, ("tool_calls", "tool_call_id", "function_call")))) | F.coalesce(m["role"].isin("tool", "function"), F.lit(False))
+    # presence counts, even of null: keys are looked for in the object, not values; most rows don't have the words at all
+    keys = F.when(j.rlike('"(?:tool_calls|tool_call_id|function_call)"'), F.json_object_keys(j))
+    called = F.coalesce(F.arrays_overlap(keys, F.array(*map(F.lit, ("tool_calls", "tool_call_id", "function_call")))), F.lit(False))
+    open_ai = called | F.coalesce(m["role"].isin("tool", "function"), F.lit(False))
     return {
         "anthropic": F.coalesce(F.exists("blocks", lambda b: b["type"].isin("tool_use", "tool_result")), F.lit(False)),
         "openai": open_ai & ~lang,
@@ -51,11 +58,28 @@ def format_markers() -> dict[str, Column]:
     }
 
 
+#: Formats from the weakest to the strongest mark.
+FORMATS = ("plain", "langchain", "openai", "anthropic")
+
+
+def format_mark() -> Column:
+    """The strongest mark of a row, as a place in FORMATS."""
+    marks = format_markers()
+    return F.when(marks["anthropic"], 3).when(marks["openai"], 2).when(marks["langchain"], 1).otherwise(0)
+
+
 def detect_format(df: DataFrame) -> DataFrame:
     """conv_id and format of each history; needs ``m`` and ``blocks``."""
-    marks = df.groupBy("conv_id").agg(*[F.bool_or(c).alias(k) for k, c in format_markers().items()])
-    chain_ = F.when(F.col("anthropic"), "anthropic").when(F.col("openai"), "openai").when(F.col("langchain"), "langchain").otherwise("plain")
-    return marks.select("conv_id", chain_.alias("format"))
+    return df.groupBy("conv_id").agg(F.max(format_mark()).alias("mark")).select("conv_id", _format(F.col("mark")).alias("format"))
+
+
+def _format(mark: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, FORMATS)), mark + 1)
+
+
+def with_format(df: DataFrame) -> DataFrame:
+    """Adds the format of the row's history; needs ``m`` and ``blocks``."""
+    return df.withColumn("_mark", format_mark()).withColumn("format", _format(F.max("_mark").over(W.partitionBy("conv_id")))).drop("_mark")
 
 
 def role_of(fmt: Column | str = "format") -> Column:
@@ -79,8 +103,7 @@ def content_text() -> Column:
         .otherwise(F.concat(F.lit("["), F.coalesce(b["type"], F.lit("unknown")), F.lit("]")))
     )
     plain = F.col("m.content")
-    object_text = F.get_json_object("message_json", "$.content.text")
-    return F.when(F.col("blocks").isNotNull(), F.array_join(F.transform("blocks", block), "\n")).otherwise(F.coalesce(object_text, plain, F.lit("")))
+    return F.when(F.col("blocks").isNotNull(), F.array_join(F.transform("blocks", block), "\n")).otherwise(F.coalesce("object_text", plain, F.lit("")))
 
 
 def call_infos() -> Column:
@@ -98,7 +121,12 @@ def call_infos() -> Column:
 def normalize(messages: DataFrame, fmt: str = "auto", pin: Column | None = None, count_tokens: Callable[[Column], Column] = T.est_tokens) -> DataFrame:
     """Frames of messages(conv_id, idx, message_json). ``pin`` is a predicate Column over the messages' columns, ``count_tokens`` a function of a message's JSON."""
     df = parsed(messages)
-    df = df.withColumn("format", F.lit(fmt)) if fmt != "auto" else df.join(detect_format(df), "conv_id")
+    own = F.coalesce(F.col("m.pin"), F.lit(False)) | (F.coalesce(pin, F.lit(False)) if pin is not None else F.lit(False))
+    # before the exchange: what needs the raw message; blocks are made again after it
+    df = df.withColumn("object_text", F.when(~F.col("is_list") & F.col("m.content").startswith("{"), F.get_json_object("message_json", "$.content.text")))
+    df = df.withColumns({"pinned": own, "tokens": count_tokens(F.col("message_json")), "_mark": format_mark() if fmt == "auto" else F.lit(0)}).select("conv_id", "idx", "m", "is_list", "object_text", "pinned", "tokens", "_mark")
+    fmt_ = _format(F.max("_mark").over(W.partitionBy("conv_id"))) if fmt == "auto" else F.lit(fmt)
+    df = df.withColumn("format", fmt_).withColumn("blocks", _blocks())
     df = df.withColumn("role", role_of()).withColumn("calls", call_infos())
     m, blocks = F.col("m"), F.coalesce("blocks", F.array().cast(f"array<{_BLOCK}>"))
     some = lambda a: F.filter(a, lambda x: F.coalesce(x, F.lit("")) != "")
@@ -117,10 +145,9 @@ def normalize(messages: DataFrame, fmt: str = "auto", pin: Column | None = None,
     )
     body = content_text()
     text = F.when(F.size("calls") == 0, body).otherwise(F.array_join(F.concat(F.when(body == "", F.array().cast("array<string>")).otherwise(F.array(body)), F.transform("calls", lambda c: c["line"])), "\n"))
-    pinned = F.coalesce(m["pin"], F.lit(False)) | (F.coalesce(pin, F.lit(False)) if pin is not None else F.lit(False))
-    df = df.withColumn("kind", kind).withColumn("text", text).withColumn("tool_call_ids", ids).withColumn("tool_names", names).withColumn("pinned", pinned)
+    df = df.withColumn("kind", kind).withColumn("text", text).withColumn("tool_call_ids", ids).withColumn("tool_names", names)
     return df.select(
-        "conv_id", "idx", "format", "role", "kind", "text", T.u16len("text").alias("chars"), count_tokens(F.col("message_json")).alias("tokens"), T.paths("text").alias("paths"),
+        "conv_id", "idx", "format", "role", "kind", "text", T.u16len("text").alias("chars"), "tokens", T.paths("text").alias("paths"),
         T.has_code("text").alias("has_code"), "tool_call_ids", "tool_names", T.content_hash("role", "text").alias("hash"), "pinned",
     )
 

@@ -33,11 +33,11 @@ def pins(units: DataFrame, goals: DataFrame | None, opts: Options) -> DataFrame:
     of_goal = F.get(F.filter(T.paths(F.coalesce("goal", F.lit(""))), lambda p: F.contains(text, F.lower(p))), F.lit(0))
     path = F.when(goal != "", F.coalesce(own, of_goal))
     reason = F.coalesce(
-        F.when(F.exists("frames", lambda f: f["kind"] == "system"), F.lit("system")),
-        F.when(F.exists("frames", lambda f: f["pinned"]), F.lit("caller")),
-        F.when(F.col("unit_pos") >= F.col("n_units") - opts.keep_recent, F.lit("recent")),
-        F.concat(F.lit("goal-path "), path),
-        F.when(F.exists("frames", lambda f: f["has_code"]) & (F.col("unit_pos") >= F.col("n_units") - opts.pin_code_within), F.lit("code")),
+        F.when(F.exists("frames", lambda f: f["kind"] == "system"), F.lit("pinned:system")),
+        F.when(F.exists("frames", lambda f: f["pinned"]), F.lit("pinned:caller")),
+        F.when(F.col("unit_pos") >= F.col("n_units") - opts.keep_recent, F.lit("pinned:recent")),
+        F.concat(F.lit("pinned:goal-path "), path),
+        F.when(F.exists("frames", lambda f: f["has_code"]) & (F.col("unit_pos") >= F.col("n_units") - opts.pin_code_within), F.lit("pinned:code")),
     )
     return df.withColumn("pin_reason", reason)
 

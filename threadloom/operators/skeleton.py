@@ -6,11 +6,9 @@ the last stage's omissions are a running sum over the old candidates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -46,19 +44,30 @@ def entry(stage: int, opts: Options) -> Column:
     return F.when(F.col("is_tool"), tool).otherwise(plain)
 
 
-def skeleton(units: DataFrame, opts: Options, min_stage: int | Column = 0) -> DataFrame:
-    """Units with fit_stage, state_tokens, omitted, entry (its JSON at the chosen stage) and position (null: omitted). Needs goal."""
+def most_size(goal_chars: Column, over: WindowSpec | None = None) -> Column:
+    """Characters of a history's view at most, as an aggregate over its units: six of JSON for each of text, and some for each entry."""
+    names = F.length(F.array_join(F.flatten(F.col("frames")["tool_names"]), ","))
+    one = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    return one(F.sum(6 * (F.length("text") + names) + 200)) + 6 * (one(goal_chars) if over is not None else F.first(goal_chars)) + 200
+
+
+def skeleton(units: DataFrame, opts: Options, min_stage: int | Column = 0, limit: Column | None = None, where: Column | None = None) -> DataFrame:
+    """Units with fit_stage, state_tokens, omitted, entry (its JSON at the chosen stage) and position (null: omitted). Needs goal.
+
+    limit: tokens of a history's view, where these differ. where: histories to abridge; of the others nothing is omitted, and entry is null.
+    """
+    most = F.lit(opts.state_tokens) if limit is None else limit
     start = F.least(F.lit(LAST), F.greatest(F.lit(0), min_stage if isinstance(min_stage, Column) else F.lit(int(min_stage))))
     df = views(units, opts)
     entries = F.array(*[entry(s, opts) for s in range(LAST + 1)])
-    df = df.withColumn("entries", entries)
+    df = df.withColumn("entries", entries if where is None else F.when(where, entries))
     w = W.partitionBy("conv_id")
     sizes = F.transform("entries", lambda e: T.u16len(e))
     df = df.withColumn("sizes", sizes).withColumn("frame_size", T.u16len(F.to_json(F.struct("goal", F.lit(NOTE).alias("note"), F.array().cast("array<string>").alias("messages")))))
     df = df.withColumn("n", F.count(F.lit(1)).over(w))
     for s in range(LAST + 1):
         df = df.withColumn(f"total_{s}", F.col("frame_size") + F.sum(F.col("sizes")[s]).over(w) + F.col("n") - 1)
-    fits = lambda size: F.ceil(size / T.CHARS_PER_TOKEN) <= opts.state_tokens
+    fits = lambda size: F.ceil(size / T.CHARS_PER_TOKEN) <= most
     stage = F.lit(LAST)
     for s in range(LAST, -1, -1):
         stage = F.when((F.lit(s) >= start) & fits(F.col(f"total_{s}")), s).otherwise(stage)
@@ -71,24 +80,3 @@ def skeleton(units: DataFrame, opts: Options, min_stage: int | Column = 0) -> Da
     kept_before = F.sum(F.when(F.col("omitted"), 0).otherwise(1)).over(w.orderBy("unit_pos").rowsBetween(W.unboundedPreceding, 0)) - 1
     df = df.withColumn("position", F.when(~F.col("omitted"), kept_before.cast("int"))).withColumn("entry", F.element_at("entries", F.col("fit_stage") + 1))
     return df.drop("entries", "sizes", "n", "frame_size", *[f"total_{s}" for s in range(LAST + 1)])
-
-
-def ladder(units: DataFrame, opts: Options, rejected: Callable[[DataFrame], DataFrame], attempts: int = 8, shrink: float = 0.6) -> DataFrame:
-    """Abridge again what a judge rejects for its size: a stage higher and with a smaller limit each time.
-
-    ``rejected`` takes a skeleton and returns the conv_id of rejected histories. Only those go on, until none is left,
-    the attempts are used up, or a view no longer shrinks. Adds ``attempt``; histories that never fit keep their last view.
-    """
-    left, stage, done = units, F.lit(0), None
-    for k in range(attempts):
-        made = skeleton(left, replace(opts, state_tokens=max(1, int(opts.state_tokens * shrink**k))), stage).withColumn("attempt", F.lit(k)).checkpoint()
-        back = rejected(made).select("conv_id").distinct().checkpoint()
-        smaller = made.withColumn("_was", F.col("_state")).filter(F.col("_was").isNull() | (F.col("state_tokens") < F.col("_was"))) if k else made
-        again = back.join(smaller.select("conv_id").distinct(), "conv_id", "left_semi") if k < attempts - 1 else back.limit(0)
-        out = made.join(again, "conv_id", "left_anti").drop("_state", "_stage")
-        done = out if done is None else done.unionByName(out)
-        if not again.limit(1).count():
-            break
-        state = made.join(again, "conv_id", "left_semi").groupBy("conv_id").agg(F.first("state_tokens").alias("_state"), (F.first("fit_stage") + 1).alias("_stage"))
-        left, stage = units.join(state, "conv_id"), F.col("_stage")
-    return done

@@ -24,7 +24,7 @@ def group_units(frames: DataFrame) -> DataFrame:
     """One row per unit, with its frames in order."""
     own = F.struct("idx", "role", "kind", "text", "tokens", "paths", "has_code", "tool_call_ids", "tool_names", "hash", "pinned")
     df = unit_heads(frames).groupBy("conv_id", "unit_head").agg(
-        F.first("format").alias("format"), F.array_sort(F.collect_list(own), lambda a, b: a["idx"] - b["idx"]).alias("frames"), F.sum("tokens").cast("int").alias("tokens"),
+        F.first("format").alias("format"), F.sort_array(F.collect_list(own)).alias("frames"), F.sum("tokens").cast("int").alias("tokens"),
         F.bool_or(F.col("kind").isin("tool_call", "tool_result")).alias("is_tool"),
     )
     f = F.col("frames")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.sql import Column
+
 
 @dataclass(frozen=True)
 class Options:
@@ -29,6 +32,8 @@ class Options:
     #: None: the built-in patterns. Corrective templates are merged over the built-in ones; False disables them.
     patterns: tuple | None = None
     corrective: dict | bool | None = None
+    #: Tokens of a message's JSON, as a function of Columns; None: the estimate by characters.
+    count_tokens: Callable[[Column], Column] | None = None
 
     def __post_init__(self) -> None:
         if self.trigger not in ("always", "auto"):
@@ -45,5 +50,10 @@ class Options:
         return replace(self, **{k: v for k, v in changes.items() if v is not None})
 
 
+def finite(p: Column) -> Column:
+    """Whether a number is one: neither null nor NaN nor infinite."""
+    return p.isNotNull() & (p > float("-inf")) & (p < float("inf"))
+
+
 #: Slack for probabilities that sit on a threshold.
 EPSILON = 1e-9

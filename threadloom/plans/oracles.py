@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.patterns import PATTERNS, RE2_SAFE
 from ..functions.text import FILE_NAME, PATH_LIKE, URL
+from . import branches
 
 
 def _paths(t: str) -> str:
@@ -65,7 +66,7 @@ PRE = UNITS + GOALS + rf"""
 , p0 as (
   select u.*, gl.goal, coalesce(list_filter(paths, lambda p: contains(lower(goal), lower(p)))[1], list_filter({_paths("goal")}, lambda p: contains(lower(text), lower(p)))[1]) as gp from u join gl using (conv_id)
 ), p1 as (
-  select *, case when has_system then 'system' when unit_pos >= n_units - 2 then 'recent' when goal <> '' and gp is not null then 'goal-path ' || gp when has_code and unit_pos >= n_units - 6 then 'code' end as pin_reason from p0
+  select *, case when has_system then 'pinned:system' when unit_pos >= n_units - 2 then 'pinned:recent' when goal <> '' and gp is not null then 'pinned:goal-path ' || gp when has_code and unit_pos >= n_units - 6 then 'pinned:code' end as pin_reason from p0
 ), p2 as (
   select *, max(unit_pos) filter (where pin_reason is null) over (partition by conv_id, unit_hash) as last_same from p1
 ), pre as (
@@ -74,11 +75,11 @@ PRE = UNITS + GOALS + rf"""
 _P = "case when unit_pos % 13 <> 5 then ((unit_pos * 37 + tokens * 11) % 101) / 100.0::double end"
 
 
-def decided(name: str = "d", max_tokens: int = 900, min_keep: int = 2, threshold: float = 0.7, where: str = "true", p: str = _P) -> str:
+def decided(name: str = "d", max_tokens: int = 900, min_keep: int = 2, threshold: float = 0.7, where: str = "true", p: str = _P, src: str = "pre") -> str:
     ok = "('kept', 'pinned', 'flagged')"
     return f"""
 , {name}0 as (
-  select *, case when is_candidate then {p} end as p_keep from pre where {where}
+  select *, case when is_candidate then {p} end as p_keep from {src} where {where}
 ), {name}1 as (
   select *, case when pin_reason is not null then 'pinned' when dup_reason is not null then 'duplicate' when p_keep is not null and 1 - p_keep >= {threshold} - 1e-9 then 'dropped' else 'kept' end as dec0,
     coalesce(pin_reason, dup_reason, case when p_keep is null then 'unjudged' end, case when 1 - p_keep >= {threshold} - 1e-9 then 'judge:drop p=' || printf('%.2f', 1 - p_keep) end, 'judge:keep p=' || printf('%.2f', p_keep)) as why0
@@ -163,8 +164,9 @@ _OK = "('kept', 'pinned', 'flagged')"
 FLAGGED = FINDINGS + decided() + """
 , im as (select conv_id, idx, arg_min({'kind': kind, 'evidence': evidence}, rank) as fi from (select conv_id, kind, evidence, rank, unnest(indices) as idx from fd where level = 'action') group by conv_id, idx)
 , fl as (select conv_id, unit_pos, arg_min(fi, idx) as fi from (select conv_id, unit_pos, unnest(indices) as idx from d) join im using (conv_id, idx) group by conv_id, unit_pos)"""
-#: A run flags by patterns alone, and only candidates are answered for.
-RUN = PRE + _scan(PATTERNS, True) + PENDING + decided() + """
+#: A run flags by patterns alone; candidates that the abridged view has are asked about.
+_P_RUN = _P.replace("unit_pos % 13 <> 5", "unit_pos % 13 <> 5 and not omitted")
+RUN = SKELETON + _scan(PATTERNS, True) + PENDING + decided(p=_P_RUN, src="k") + """
 , im as (select conv_id, idx, arg_min({'kind': kind, 'evidence': evidence}, ord) as fi from (select conv_id, kind, evidence, ord, unnest(indices) as idx from hit) group by conv_id, idx)
 , fl as (select conv_id, unit_pos, arg_min(fi, idx) as fi from (select conv_id, unit_pos, unnest(indices) as idx from d) join im using (conv_id, idx) group by conv_id, unit_pos)
 , r as (
@@ -256,8 +258,8 @@ select conv_id, unit_pos, 'u' || unit_pos as unit_id, idx::varchar as indices, c
     "corrective_prompt": _q(FINDINGS, "select conv_id, string_agg(t, chr(10) || chr(10) order by rank) as addendum from (select conv_id, rank, case kind when 'thrashing' then 'Notice: the last attempts repeat one failed step. Say what was tried and why it failed, then take another way.' else 'Notice: the last turns left the goal \"' || goal || '\". Come back to it, or say why the detour is needed.' end as t from fd join gl using (conv_id) where source = 'judge' and level = 'action' and kind in ('thrashing', 'goal_drift')) group by conv_id"),
     "reassemble_kept": _q(RUN, f"select m.conv_id, m.idx, m.message_json from m join (select conv_id, unnest(indices) as idx from r where decision in {_OK}) using (conv_id, idx)"),
     "compaction_report": _q(RUN, "select conv_id, 'openai' as format, tokens_before, tokens_after, messages_before, messages_after, conv_id in (select conv_id from bl) as blocked, unjudged, true as compacted from rs"),
-    "fail_open": _q(RUN, "select case when dec is not null then dec end as decision, 'judge_unavailable' as skipped, count(*) as n, sum(tokens)::bigint as tokens from (select pre.tokens, case when fi is not null and pre.dup_reason is null then 'flagged' when pin_reason is not null then 'pinned' else 'kept' end as dec from pre left join fl using (conv_id, unit_pos)) group by 1, 2"),
-    "trigger_auto": _q(PRE + _scan(PATTERNS, True) + PENDING + decided(max_tokens=1900), f"select conv_id, case when sum(tokens) <= 1900 then 'below_threshold' end as skipped, sum(tokens)::bigint as tokens_before, case when sum(tokens) <= 1900 then sum(tokens) else sum(case when decision in {_OK} then tokens else 0 end) end::bigint as tokens_after from d group by conv_id"),
+    "fail_open": _q(RUN, "select case when dec is not null then dec end as decision, 'judge_unavailable' as skipped, count(*) as n, sum(tokens)::bigint as tokens from (select pre.tokens, case when fi is not null then 'flagged' when pin_reason is not null then 'pinned' else 'kept' end as dec from pre left join fl using (conv_id, unit_pos)) group by 1, 2"),
+    "trigger_auto": _q(SKELETON + _scan(PATTERNS, True) + PENDING + decided(max_tokens=1900, p=_P_RUN, src="k"), f"select conv_id, case when sum(tokens) <= 1900 then 'below_threshold' end as skipped, sum(tokens)::bigint as tokens_before, case when sum(tokens) <= 1900 then sum(tokens) else sum(case when decision in {_OK} then tokens else 0 end) end::bigint as tokens_after from d group by conv_id"),
     "path_fidelity": _q(FRAMES, f"select conv_id, coalesce(n, 0) as total, coalesce(n, 0) - coalesce(stray, 0) as present, round(case when coalesce(n, 0) = 0 then 1.0 else (n - stray) / n::double end, 9) as ratio from (select distinct conv_id from f where idx % 3 = 0) left join (select conv_id, count(*) as n, count(*) filter (where not known) as stray from (select conv_id, ref, bool_or(known) as known from (select distinct conv_id, ref, false as known from (select conv_id, unnest(list_concat(paths, case when idx % 6 = 0 then ['made/up' || idx || '.ts'] else [] end)) as ref from f where idx % 3 = 0) union all select distinct conv_id, ref, true from (select conv_id, unnest(paths) as ref from f) where (conv_id, ref) in (select conv_id, unnest(paths) from f where idx % 3 = 0)) where regexp_matches(ref, '{_REF}') group by conv_id, ref) group by conv_id) using (conv_id)"),
     "evidence_retention": _q(FRAMES, "select conv_id, n, found, round(case when n = 0 then 1.0 else found / n::double end, 9) as retention from (select t.conv_id, count(s) as n, count(*) filter (where contains(t.x, s)) as found from (select conv_id, string_agg('[' || role || '] ' || text, chr(10) || chr(10) order by idx) as x from f where idx % 2 = 0 group by conv_id) t left join (select distinct conv_id, regexp_extract(text, 'src/mod\\d+') as s from f where kind = 'user') using (conv_id) group by t.conv_id)"),
     "run_stability": _q(PRE + decided() + decided("b", max_tokens=600, threshold=0.5), "select conv_id, unit_id, 2::bigint as decisions from d join b using (conv_id, unit_id) where d.decision <> b.decision"),
@@ -286,3 +288,4 @@ select conv_id, unit_pos, 'u' || unit_pos as unit_id, idx::varchar as indices, c
     "wrapper_status": COOLDOWN + " select key, count(*) as calls, count(*) filter (where outcome in ('blocked', 'compacted')) as compactions, count(*) filter (where outcome = 'below_threshold') as skipped_below_threshold, count(*) filter (where outcome = 'cooldown') as skipped_cooldown, 0::bigint as skipped_nothing_to_judge, 0::bigint as skipped_judge_unavailable, count(*) filter (where outcome = 'blocked') as blocked from st group by key",
     "summary_line": _q(RUN, "select conv_id, 'kept ' || messages_after || '/' || messages_before || ' messages · ' || format('{:,}', tokens_before) || ' → ' || format('{:,}', tokens_after) || ' tokens' as line from rs"),
 }
+ORACLES |= branches.ORACLES

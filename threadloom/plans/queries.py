@@ -21,7 +21,7 @@ from ..operators.units import group_units, kind_label, pending_units
 from ..options import Options
 from ..sources.transcripts import agent_messages, conversations
 from ..streaming.gate import cooldown
-from . import render
+from . import branches, render
 from .compact import Result, compact
 
 #: Tight limits, so that short histories exercise every rule.
@@ -166,12 +166,6 @@ def scan_patterns_full(s, d):
     return _scan(_units(s, d), X.PATTERNS)
 
 
-def scan_documents(s, d):
-    """The patterns over documents, each a history of one message."""
-    docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("conv_id"), F.lit(0).alias("idx"), F.to_json(F.struct(F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("content"))).alias("message_json"))
-    return _scan(group_units(N.normalize(docs, "plain")), X.PATTERNS)
-
-
 def secret_assignments(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", F.regexp_count("text", F.lit(r"""(?i)(?:api[_-]?key|secret|token|passw(?:or)?d|authorization|credentials?)[\w-]*['"]?\s*[=:]\s*['"]?(?:bearer\s+)?[^\s'"\x60]{12}""")).alias("n")).filter("n > 0")
@@ -201,7 +195,7 @@ def skeleton_entries(s, d):
 
 def plan_batches(s, d):
     sk = _skeleton(s, d).filter("is_candidate").withColumn("question", F.concat(F.lit("keep messages["), F.col("position").cast("string"), F.lit("]?")))
-    return J.plan_batches(sk, OPTS, F.lit(600), F.col("question"), F.lit(120)).select("conv_id", "unit_id", "batch_no")
+    return J.plan_batches(sk, OPTS, "state_tokens", F.col("question"), F.lit(120)).select("conv_id", "unit_id", "batch_no")
 
 
 def lexical_judge(s, d):
@@ -440,7 +434,7 @@ def summary_line(s, d):
 
 
 def inspect_view(s, d):
-    return render.inspect(_run(s, d).units, 90)
+    return render.inspect(_run(s, d), 90)
 
 
 def stream_gate(s: SparkSession, d: str) -> DataFrame:
@@ -449,9 +443,10 @@ def stream_gate(s: SparkSession, d: str) -> DataFrame:
 
     from ..streaming.gate import CALLS, cooldown_stream
 
-    base = s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    _calls(s, d).select("key", "call_no", "below", "blocked").repartition(1).write.parquet(f"{at}/calls")
+    from .store import base_dir
+
+    at = f"{base_dir(s)}/threadloom/stream-{uuid.uuid4().hex}"
+    _calls(s, d).select("key", "call_no", "below", "blocked").repartition("key").write.parquet(f"{at}/calls")  # one batch reads all files, and sorts each key's calls
     stream = s.readStream.schema(CALLS).parquet(f"{at}/calls")
     out = cooldown_stream(stream, 2).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     out.awaitTermination()
@@ -462,10 +457,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.rstrip("_"): f
     for f in (
         compact_conversations, detect_format, role_resolution, flatten_content, frame_kinds, extract_paths, has_code, content_hash, token_estimate, history_tokens, default_goal, transcript_text,
-        group_units_, kind_labels, pin_units, dedup_units, candidates, scan_patterns_re2, scan_patterns_full, scan_documents, secret_assignments, excerpt_text, one_line, skeleton_stage, skeleton_entries,
+        group_units_, kind_labels, pin_units, dedup_units, candidates, scan_patterns_re2, scan_patterns_full, secret_assignments, excerpt_text, one_line, skeleton_stage, skeleton_entries,
         plan_batches, lexical_judge, fold_answers, average_votes, fold_signals, judge_telemetry, run_failures, decide_threshold, decide_min_keep, decide_budget, finding_levels, flag_units, pending_action,
         blocking_finding, blocked_by, corrective_prompt, reassemble_kept, compaction_report, fail_open, trigger_auto, path_fidelity, evidence_retention, run_stability, same_selection, strategy_compare,
         truncate_oldest, structural_prune, split_point_70, keep_last_20, turn_tail, tool_output_prune, tool_output_budget, newest_user_messages, trim_last, merge_same_role, system_text, tool_stubs,
         tool_pair_sanitize, result_lookup, dedupe_results, last_user_query, serialize_xml, assemble_summary, conversation_key, cooldown_gate, wrapper_status, summary_line, inspect_view, stream_gate,
     )
 }
+QUERIES |= branches.QUERIES

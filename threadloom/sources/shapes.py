@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.normalize import detect_format, parsed, role_of
+from ..operators.normalize import parsed, role_of, with_format
 
 
 def quote(c: Column) -> Column:
@@ -16,14 +16,14 @@ def quote(c: Column) -> Column:
 
 def to_openai(messages: DataFrame) -> DataFrame:
     """Messages with tool_calls and tool messages: each result block is a tool message of its own, and comes before the text beside it. Messages are numbered anew."""
-    df = parsed(messages)
-    df = df.join(detect_format(df), "conv_id").withColumn("role", role_of())
+    df = with_format(parsed(messages)).withColumn("role", role_of())
     m, b = F.col("m"), F.col("blocks")
     of = lambda *kinds: F.filter(b, lambda x: F.coalesce(x["type"], F.lit("text")).isin(*kinds))
-    text = F.when(b.isNotNull(), F.array_join(F.transform(of("text"), lambda x: x["text"]), "\n")).otherwise(F.coalesce(m["content"], F.lit("")))
+    text = F.when(b.isNotNull(), F.array_join(F.transform(of("text"), lambda x: x["text"]), "\n")).otherwise(F.coalesce(F.when(m["content"].startswith("{"), F.get_json_object("message_json", "$.content.text")), m["content"], F.lit("")))
+    legacy = F.when(F.coalesce(m["function_call"]["name"], F.lit("")) != "", F.array(F.struct(F.concat(F.lit("function:"), m["function_call"]["name"]).alias("id"), m["function_call"]["name"].alias("name"), m["function_call"]["arguments"].alias("args"))))
     from_blocks = F.transform(of("tool_use"), lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"), x["input"].alias("args")))
     from_calls = F.transform(m["tool_calls"], lambda x: F.struct(x["id"].alias("id"), F.coalesce(x["function"]["name"], x["name"]).alias("name"), F.coalesce(x["function"]["arguments"], x["args"]).alias("args")))
-    calls = F.coalesce(F.when(F.size(of("tool_use")) > 0, from_blocks), from_calls, F.array().cast("array<struct<id:string,name:string,args:string>>"))
+    calls = F.coalesce(F.when(F.size(of("tool_use")) > 0, from_blocks), from_calls, legacy, F.array().cast("array<struct<id:string,name:string,args:string>>"))
     call = lambda x: F.concat(F.lit('{"id":'), quote(x["id"]), F.lit(',"type":"function","function":{"name":'), quote(x["name"]), F.lit(',"arguments":'), quote(F.coalesce(x["args"], F.lit("{}"))), F.lit("}}"))
     with_calls = F.concat(F.lit('{"role":"assistant","content":'), F.when(text == "", F.lit("null")).otherwise(quote(text)), F.lit(',"tool_calls":['), F.array_join(F.transform(calls, call), ","), F.lit("]}"))
     tool = lambda id_, content: F.concat(F.lit('{"role":"tool","tool_call_id":'), quote(id_), F.lit(',"content":'), quote(F.coalesce(content, F.lit(""))), F.lit("}"))

@@ -47,9 +47,9 @@ def agent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated(spark: SparkSession, histories: int, messages: int, seed: int = 1) -> DataFrame:
-    """Made-up long sessions: every pick is a hash of seed, history and position, so any size is the same data."""
+    """Made-up long sessions: every pick is an MD5 of seed, history and position, so any size is the same data."""
     rows = spark.range(histories * messages).select((F.col("id") / messages).cast("long").alias("h"), (F.col("id") % messages).cast("int").alias("idx"))
-    pick = lambda n, salt: F.pmod(F.xxhash64(F.lit(seed), "h", "idx", F.lit(salt)), F.lit(n))
+    pick = lambda n, salt: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("h").cast("string"), F.col("idx").cast("string"), F.lit(salt))), 1, 7), 16, 10).cast("long") % n
     act = F.pmod(F.col("idx"), F.lit(5))
     user = F.format_string('{"role":"user","content":"Ticket T-%d: check app/part%d.py, the limit must stay below %d"}', pick(9000, "t"), pick(40, "p"), pick(500, "l"))
     say = F.format_string('{"role":"assistant","content":"Looking at step %d of %d"}', pick(9, "a"), pick(20, "b"))

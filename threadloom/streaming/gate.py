@@ -1,4 +1,4 @@
-"""Cooldown of calls by conversation: a fold for tables, state for streams.
+"""Cooldown of calls by conversation: a pass over sorted rows for tables, state for streams.
 
 A call of a conversation that is cooling down is skipped and counts down; any
 other call runs, and cools its conversation down unless it was below the
@@ -18,18 +18,32 @@ CALLS = "key string, call_no long, below boolean, blocked boolean"
 GATED = "key string, call_no long, outcome string"
 
 
+def _outcome(left: int, below: bool, blocked: bool, turns: int) -> tuple[str, int]:
+    if left > 0:
+        return "cooldown", left - 1
+    if below or blocked:
+        return ("below_threshold" if below else "blocked"), 0
+    return "compacted", turns
+
+
 def cooldown(calls: DataFrame, turns: int = 1) -> DataFrame:
-    """key, call_no and outcome (cooldown, below_threshold, blocked, compacted) of calls in order of call_no."""
-    per = calls.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("call_no", "below", "blocked"))).alias("c"))
-    none = "array<struct<call_no:bigint,outcome:string>>"
-    start = F.struct(F.lit(0).alias("left"), F.array().cast(none).alias("out"))
+    """key, call_no and outcome (cooldown, below_threshold, blocked, compacted) of calls in order of call_no.
+
+    One pass over the calls sorted by key: a key's calls may span batches, and nothing of them is held but what is left of its cooldown.
+    """
 
-    def step(a, x):
-        outcome = F.when(a["left"] > 0, "cooldown").when(x["below"], "below_threshold").when(x["blocked"], "blocked").otherwise("compacted")
-        left = F.when(a["left"] > 0, a["left"] - 1).when(x["below"] | x["blocked"], 0).otherwise(turns)
-        return F.struct(left.cast("int").alias("left"), F.concat(a["out"], F.array(F.struct(x["call_no"].cast("bigint").alias("call_no"), outcome.alias("outcome")))).alias("out"))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, left = None, 0
+        for part in parts:
+            out = []
+            for own, below, blocked in zip(part["key"], part["below"], part["blocked"], strict=True):
+                outcome, left = _outcome(left if own == key else 0, below, blocked, turns)
+                key = own
+                out.append(outcome)
+            yield pd.DataFrame({"key": part["key"], "call_no": part["call_no"], "outcome": out})
 
-    return per.select("key", F.explode(F.aggregate("c", start, step)["out"]).alias("o")).select("key", "o.call_no", "o.outcome")
+    dealt = calls.select("key", F.col("call_no").cast("long").alias("call_no"), "below", "blocked").repartition("key").sortWithinPartitions("key", "call_no")
+    return dealt.mapInPandas(run, GATED)
 
 
 def cooldown_stream(calls: DataFrame, turns: int = 1, ttl_ms: int | None = None) -> DataFrame:
@@ -47,12 +61,7 @@ def cooldown_stream(calls: DataFrame, turns: int = 1, ttl_ms: int | None = None)
         rows = pd.concat(list(parts)).sort_values("call_no", kind="stable")
         out = []
         for call in rows.itertuples():
-            if left > 0:
-                outcome, left = "cooldown", left - 1
-            elif call.below or call.blocked:
-                outcome = "below_threshold" if call.below else "blocked"
-            else:
-                outcome, left = "compacted", turns
+            outcome, left = _outcome(left, call.below, call.blocked, turns)
             out.append(outcome)
         state.update((left,))
         if ttl_ms is not None:
