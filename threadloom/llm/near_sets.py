@@ -188,60 +188,94 @@ def by_fingerprint(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     return same.unionAll(found.join(one, "u").join(two, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
 
-def forest(node, size, comp, own, left, sketches, failed) -> list[tuple[int, int]]:
-    """Pairs that connect the components of a group's rows: of those that sizes and sketches allow and that have not failed, one for each merge.
+def candidates(group, node, size, comp, own, left, sketches) -> tuple[np.ndarray, np.ndarray]:
+    """Rows x, y of one group that may be linked, of all groups (sorted) at once: of different components, and allowed by sizes and sketches.
 
-    own, left: a row's block and the group's first one; rows of one block meet in the group of that block with itself.
+    own, left: a row's block and its group's first one; rows of one block meet in the group of that block with itself.
     """
-    out, label = [], np.unique(comp, return_inverse=True)[1]
-    step = 1
-    while step < len(node):  # each row with the one so many rows after it
-        x = np.flatnonzero(label[:-step] != label[step:])
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    ends = np.repeat([*cuts, len(group)], np.diff([0, *cuts, len(group)]))
+    x, step, found = np.arange(len(group)), 1, []
+    while len(x := x[x + step < ends[x]]):  # each row with the one so many rows after it
         y = x + step
-        good = ((own[x] != own[y]) | (own[x] == left)) & (np.minimum(size[x], size[y]) * WHOLE >= np.maximum(size[x], size[y]) * PART)
-        x, y = x[good], y[good]
-        if len(x):
-            fits = possible(sketches[x], sketches[y], size[x] + size[y])
-            for a, b in zip(x[fits].tolist(), y[fits].tolist(), strict=True):
-                pair = (min(node[a], node[b]), max(node[a], node[b]))
-                if label[a] != label[b] and pair not in failed:
-                    out.append(pair)
-                    label[label == label[b]] = label[a]
+        good = (comp[x] != comp[y]) & ((own[x] != own[y]) | (own[x] == left[x])) & (np.minimum(size[x], size[y]) * WHOLE >= np.maximum(size[x], size[y]) * PART)
+        a, b = x[good], y[good]
+        fits = [possible(sketches[a[k : k + 4096]], sketches[b[k : k + 4096]], size[a[k : k + 4096]] + size[b[k : k + 4096]]) for k in range(0, len(a), 4096)]
+        if fits:
+            fits = np.concatenate(fits)
+            found.append((a[fits], b[fits]))
         step += 1
+    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+
+
+def forest(x, y, group, node, comp, failed) -> list[int]:
+    """Which candidates connect components of their group that none before them connects; failed pairs connect nothing."""
+    root: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def top(k):
+        while (above := root.get(k, k)) != k:
+            k = root[k] = root.get(above, above)
+        return k
+
+    out = []
+    for k in np.argsort(group[x], kind="stable").tolist():
+        a, b = int(x[k]), int(y[k])
+        if failed and (min(node[a], node[b]), max(node[a], node[b])) in failed:
+            continue
+        g = int(group[a])
+        u, v = top((g, int(comp[a]))), top((g, int(comp[b])))
+        if u != v:
+            root[u] = v
+            out.append(k)
     return out
 
 
+#: Rows that are compared at once; a group's rows stay together.
+ROWS = 1 << 14
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v of the forests of all groups (shingle, i, j; sorted); a group's rows may span batches."""
-    held, key = [], None
-
-    def made() -> pa.RecordBatch:
-        node, size, comp, own = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:4])
-        sketches = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(-1, CLASSES)
-        failed = {(min(r[0], f), max(r[0], f)) for r in held for f in r[5] or ()}
-        found = forest(node.astype(np.int64), size, comp, own, key[1], sketches, failed)
-        return pa.record_batch([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
-
-    for shingle, i, j, *rows in text_rows(batches, ("shingle", "i", "j", "node", "size", "comp", "own", "sketch", "failed"), 512):
-        for k, row in zip(zip(shingle, i, j, strict=True), zip(*rows, strict=True), strict=True):
-            if k != key and len(held) > 1:
-                yield made()
-            if k != key:
-                held, key = [], k
-            held.append(row)
-    if len(held) > 1:
-        yield made()
+    """u, v, shingle of the forests of all groups (shingle, i, j; sorted); a group's rows may span batches."""
+
+    def made(t: pa.Table) -> pa.RecordBatch:
+        shingle, i, j, node, size, comp, own = (t.column(c).to_numpy().astype(np.int64) for c in ("shingle", "i", "j", "node", "size", "comp", "own"))
+        group = np.cumsum(np.concatenate([[0], (np.diff(shingle) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, CLASSES)
+        failed, lists = set(), t.column("failed")
+        if lists.null_count < len(lists):
+            failed = {(min(n, f), max(n, f)) for n, own_failed in zip(node.tolist(), lists.to_pylist(), strict=True) for f in own_failed or ()}
+        x, y = candidates(group, node, size, comp, own, i, sketches)
+        k = forest(x, y, group, node, comp, failed)
+        a, b = node[x[k]], node[y[k]]
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shingle[x[k]])], ["u", "v", "shingle"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        while held.num_rows > ROWS:
+            last = [held.column(c)[-1].as_py() for c in ("shingle", "i", "j")]
+            same = np.ones(held.num_rows, bool)  # the last group may go on in the next batch
+            for c, value in zip(("shingle", "i", "j"), last, strict=True):
+                same &= held.column(c).to_numpy() == value
+            n = int(np.flatnonzero(same)[0])
+            if not n:
+                break
+            yield made(held.slice(0, n).combine_chunks())
+            held = held.slice(n).combine_chunks()
+    if held is not None and held.num_rows:
+        yield made(held.combine_chunks())
 
 
 def others(met: DataFrame, nodes: DataFrame, failed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """u, v: for each shingle's documents in different components (met: shingle, node, size, n, comp), a forest of the pairs that may be linked. failed: u, v of pairs that are not."""
+    """u, v, shingle: for each shingle's documents in different components (met: shingle, node, size, n, comp), a forest of the pairs that may be linked. failed: u, v of pairs that are not."""
     mixed = met.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("shingle")
     not_with = failed.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("failed"))
     own = nodes.select("node", "sketch").join(not_with, "node", "left")
     df = met.join(mixed, "shingle").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     df = df.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(own, "node")
     df = df.select("shingle", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "size", "comp", "own", "sketch", "failed")
-    return df.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node").mapInArrow(_pairs, "u long, v long").distinct()
+    return df.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node").mapInArrow(_pairs, "u long, v long, shingle long")
 
 
 def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -260,13 +294,17 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         placed = met.join(root, "node", "left").select("shingle", "node", "size", "n", F.coalesce("root", "node").alias("comp"))
         asked = materialize(spark, others(placed, nodes, failed), "others")
         release(spark)
-        if not asked.limit(1).count():
-            break
-        good = verified(spark, docs, nodes, asked)
-        failed = materialize(spark, failed.unionAll(asked.join(good, ["u", "v"], "left_anti")), "failed")
+        pairs = asked.select("u", "v").distinct()
+        good = verified(spark, docs, nodes, pairs)
+        bad = materialize(spark, pairs.join(good, ["u", "v"], "left_anti"), "failed")
         if good.limit(1).count():
             edges = edges.unionAll(good)
             root = roots(spark, edges)
+        # where every pair of a shingle's forest is a link, its documents have nothing left to compare
+        if not bad.limit(1).count():
+            break
+        failed = failed.unionAll(bad)
+        met = materialize(spark, met.join(asked.join(bad, ["u", "v"], "left_semi").select("shingle").distinct(), "shingle", "left_semi"), "met")
     placed = nodes.join(root, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "node").join(placed.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
