@@ -40,8 +40,12 @@ Measures = dict[str, Column]
 def n_repeat_words(h: Column) -> Column:
     """Words in windows that an array of words' hashes holds twice or more."""
     get = F.get
-    places = F.when(F.size(h) >= WINDOW, F.sequence(F.lit(0), F.size(h) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    windows = F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(*[get(h, i + k) for k in range(WINDOW)]).alias("w"), i.alias("at"))))
+    # each step is bound once, as the only element of an array: what a lambda refers to is then a value, not worked out again
+    bind = lambda value, body: get(F.transform(F.array(value), body), F.lit(0))
+
+    def windows(v: Column) -> Column:
+        places = F.when(F.size(v) >= WINDOW, F.sequence(F.lit(0), F.size(v) - WINDOW)).otherwise(F.array().cast("array<int>"))
+        return F.sort_array(F.transform(places, lambda i: F.struct(F.xxhash64(*[get(v, i + k) for k in range(WINDOW)]).alias("w"), i.alias("at"))))
 
     def covered(s: Column) -> Column:
         twice = F.filter(s, lambda x, k: F.coalesce(get(s, k - 1)["w"] == x["w"], F.lit(False)) | F.coalesce(get(s, k + 1)["w"] == x["w"], F.lit(False)))
@@ -50,20 +54,24 @@ def n_repeat_words(h: Column) -> Column:
     def words(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(get(at, k + 1) - x, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
 
-    # each step is bound once, as the only element of an array
-    bind = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    return bind(windows, lambda s: bind(covered(s), words)).cast("long")
+    return bind(h, lambda v: bind(windows(v), lambda s: bind(covered(s), words))).cast("long")
+
+
+def hashes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0), lambda w: F.xxhash64(w))
+
+
+def full_lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
 def measures(text: Column) -> Measures:
-    """Expressions over a text (not null)."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    long = lambda c: c.cast("long")
+    """Expressions over a text (not null), each by itself."""
+    lines, long = full_lines(text), lambda c: c.cast("long")
     return {
         "n_words": long(F.regexp_count(text, F.lit(WORD_PATTERN))), "word_chars": long(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", F.lit("")))),
         "n_symbols": long(F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", F.lit("")))), "n_lines": long(F.size(lines)), "n_dup_lines": long(F.size(lines) - F.size(F.array_distinct(lines))),
-        "n_repeat_words": n_repeat_words(F.transform(F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0), lambda w: F.xxhash64(w))),
-        "n_upper": F.length(F.regexp_replace(text, "[^A-Z]+", F.lit(""))), "n_lower": F.length(F.regexp_replace(text, "[^a-z]+", F.lit(""))),
+        "n_repeat_words": n_repeat_words(hashes(text)), "n_upper": F.length(F.regexp_replace(text, "[^A-Z]+", F.lit(""))), "n_lower": F.length(F.regexp_replace(text, "[^a-z]+", F.lit(""))),
         "n_lettered": F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*")),
     }
 
@@ -86,11 +94,13 @@ def _text() -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and the measures of OUTPUT."""
+    """doc_id, text (null: empty) and the measures of OUTPUT, which share the words' hashes and the lines."""
     df = docs.select(F.col("doc_id"), _text().alias("text"))
+    df = df.select("*", hashes(F.col("text")).alias("h"), full_lines(F.col("text")).alias("lines"))
+    shared = {"n_words": F.size("h"), "n_lines": F.size("lines"), "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")), "n_repeat_words": n_repeat_words(F.col("h"))}
+    made = measures(F.col("text")) | shared
     # a Generate, so that no later filter is pushed below it with these expressions written out inside one another
-    made = measures(F.col("text"))
-    return df.select("doc_id", "text", F.inline(F.array(F.struct(*[made[k].alias(k) for k in OUTPUT]))))
+    return df.select("doc_id", "text", F.inline(F.array(F.struct(*[made[k].cast("long").alias(k) for k in OUTPUT]))))
 
 
 def _given() -> Measures:
