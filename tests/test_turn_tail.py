@@ -1,4 +1,4 @@
-"""The newest turns within a budget, with part of the turn that crosses it, against the rule of the reference's select() in plain Python."""
+"""The newest turns within a budget, with part of the turn that crosses it, against the rule in plain Python."""
 
 import random
 
@@ -17,7 +17,7 @@ def select(rows, budget):
         if budget > total:
             keep = next((k for k in range(at + 1, end) if size(k, end) <= budget - total), keep)
         break
-    return {rows[k][0] for k in range(keep, len(rows))}
+    return {rows[k][0] for k in range(keep, len(rows))} if keep else set()
 
 
 def test_partial_turn(spark):
@@ -29,7 +29,7 @@ def test_partial_turn(spark):
     rows = [(f"c{n}", *r) for n, h in enumerate(histories) for r in h]
     frames = spark.createDataFrame(rows, "conv_id string, idx int, kind string, text string")
     got = {}
-    for r in B.turn_tail_partial(frames, 10, 100, 0.25, 800).collect():
+    for r in B.turn_tail(frames, 10, 100, 0.25, 800).collect():
         got.setdefault(r.conv_id, set()).add(r.idx)
     assert {f"c{n}": select(h, 100) for n, h in enumerate(histories)} == {f"c{n}": got.get(f"c{n}", set()) for n in range(len(histories))}
     assert got["c0"] == {2, 3} and "c1" not in got

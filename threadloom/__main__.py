@@ -10,7 +10,7 @@ import sys
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="threadloom")
     p.add_argument("command", choices=("compact", "inspect", "self-test"))
-    p.add_argument("path", nargs="?", help="a .json or .jsonl file, or a folder of them")
+    p.add_argument("path", nargs="?", help="a .json or .jsonl file, a folder of them, or - for standard input")
     p.add_argument("--max-tokens", type=int, default=15000)
     p.add_argument("--format", default="auto", choices=("auto", "openai", "anthropic", "langchain", "plain"))
     p.add_argument("--out", help="folder for the kept messages and results, as JSON")
@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0 if found["ok"] else 1
     if not a.path:
         p.error("a path is needed")
-    messages = readers.read_any(spark, a.path) if a.path.endswith((".json", ".jsonl")) else readers.read_folder(spark, a.path)
+    messages = readers.read_any(spark, a.path) if a.path == "-" or a.path.endswith((".json", ".jsonl")) else readers.read_folder(spark, a.path)
     got = compact(messages, Options(max_tokens=a.max_tokens, format=a.format, safety_gating=True))
     if a.out:
         readers.write_json(got.messages, f"{a.out}/messages")

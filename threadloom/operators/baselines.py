@@ -1,14 +1,7 @@
-"""Other ways to shorten a history: the parts of each that don't need a model, as windows over messages.
-
-Every strategy takes frames and returns rows of them (``text`` may be cut); texts
-that a model writes are input columns. ``STRATEGIES`` is open: a strategy is a
-function from frames to frames.
-"""
+"""Strategies over frames, and their helpers: turns, pairs of calls and results, merged turns, places and costs of summaries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,87 +21,22 @@ def truncate_oldest(frames: DataFrame, max_tokens: int = 15000) -> DataFrame:
     return frames.withColumn("_k", ~rest | (head + after <= max_tokens)).filter("_k").drop("_k")
 
 
-def structural_prune(frames: DataFrame, last: int = 4, keep_tools: tuple[str, ...] = ()) -> DataFrame:
-    """Tool frames outside the last messages go, unless their id is used there or their tool is to be kept."""
-    n = F.count(F.lit(1)).over(_BY())
-    df = frames.withColumn("_recent", F.row_number().over(_BY().orderBy("idx")) > n - last)
-    used = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("_recent"), F.col("tool_call_ids"))).over(_BY())))
-    tool = F.col("kind").isin("tool_call", "tool_result")
-    named = F.arrays_overlap("tool_names", F.array(*map(F.lit, keep_tools))) if keep_tools else F.lit(False)
-    return df.withColumn("_used", used).filter(~tool | F.col("_recent") | F.arrays_overlap("tool_call_ids", "_used") | named).drop("_recent", "_used")
-
-
-def split_point(frames: DataFrame, fraction: float = 0.7) -> DataFrame:
-    """conv_id and the index at which the part to compress ends: the first user turn past the fraction of characters; else all, if the history ends with a plain assistant turn; else the last user turn."""
-    chars = T.u16len("message_json") if "message_json" in frames.columns else F.col("chars")
-    total = F.sum(chars).over(_BY())
-    before = F.coalesce(F.sum(chars).over(_OLDER()), F.lit(0))
-    user = F.col("kind") == "user"
-    df = frames.withColumn("_past", user & (before >= total * fraction))
-    return df.groupBy("conv_id").agg(
-        F.coalesce(F.min(F.when(F.col("_past"), F.col("idx"))), F.when(F.max_by("kind", "idx") == "assistant", F.max("idx") + 1), F.max(F.when(user, F.col("idx"))), F.lit(0)).cast("int").alias("split_idx")
-    )
-
-
-def newest_user_messages(frames: DataFrame, budget: int = 20000) -> DataFrame:
-    """System messages, and the newest user messages within a budget of UTF-8 bytes / 4; the one that crosses it is cut in its middle."""
-    cost = T.tokens_by_bytes("text")
-    before = F.coalesce(F.sum(F.when(F.col("kind") == "user", cost).otherwise(0)).over(_NEWER().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    df = frames.withColumn("_left", F.lit(budget) - before).filter((F.col("kind") == "system") | ((F.col("kind") == "user") & (F.col("_left") > 0)))
-    size, left = F.length("text"), F.col("_left") * 4
-    half = F.floor(left / 2).cast("int")
-    cut = F.concat(F.substring("text", F.lit(1), half), F.lit("…"), (cost - F.col("_left")).cast("string"), F.lit(" tokens truncated…"), F.col("text").substr((size - (left.cast("int") - half) + 1).cast("int"), (left.cast("int") - half).cast("int")))
-    return df.withColumn("text", F.when((F.col("kind") == "user") & (cost > F.col("_left")), cut).otherwise(F.col("text"))).drop("_left")
-
-
-def tool_output_budget(frames: DataFrame, budget: int = 50000, lines: int = 30) -> DataFrame:
-    """Tool results, newest first, as they are while they fit; one that doesn't keeps its last lines, and counts with what it keeps.
-
-    What is kept feeds the count, so it is a fold over a history's results inside one row.
-    """
-    f = frames.filter("kind = 'tool_result'")
-    tail = F.array_join(F.slice(F.split("text", "\n"), F.greatest(F.lit(1), F.size(F.split("text", "\n")) - lines + 1), lines), "\n")
-    f = f.select("conv_id", "idx", T.tokens_by_chars("text").alias("whole"), T.tokens_by_chars(tail).alias("short"))
-    per = f.groupBy("conv_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("idx", "whole", "short")))).alias("r"))
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("cut"))
-    fits = lambda a, x: a["used"] + x["whole"] <= budget
-    step = lambda a, x: F.struct((a["used"] + F.when(fits(a, x), x["whole"]).otherwise(x["short"])).alias("used"), F.when(fits(a, x), a["cut"]).otherwise(F.concat(a["cut"], F.array(x["idx"]))).alias("cut"))
-    cut = per.select("conv_id", F.explode(F.aggregate("r", start, step)["cut"]).alias("idx")).withColumn("_cut", F.lit(True))
-    return frames.join(cut, ["conv_id", "idx"], "left").withColumn("text", F.when(F.col("_cut"), tail).otherwise(F.col("text"))).drop("_cut")
-
-
-def keep_last(frames: DataFrame, n: int = 20) -> DataFrame:
-    """The last n messages; a cut that falls on tool results moves back to the call that they answer, else to the run's start."""
-    k = F.row_number().over(_BY().orderBy("idx"))
-    df = frames.withColumn("_k", k).withColumn("_n", F.count(F.lit(1)).over(_BY()))
-    head = F.last(F.when(F.col("kind") != "tool_result", F.col("_k")), ignorenulls=True).over(_BY().orderBy("idx").rowsBetween(W.unboundedPreceding, 0))
-    cut = F.greatest(F.lit(1), F.col("_n") - n + 1)
-    at = F.max(F.when(F.col("_k") == cut, F.when(F.col("kind") == "tool_result", F.coalesce(F.col("_head"), F.col("_k"))).otherwise(F.col("_k")))).over(_BY())
-    return df.withColumn("_head", head).withColumn("_at", at).filter("_k >= _at").drop("_k", "_n", "_head", "_at")
-
-
 def turns(frames: DataFrame) -> DataFrame:
     """Adds turn: how many user messages there are up to the frame."""
     return frames.withColumn("turn", F.count_if(F.col("kind") == "user").over(_BY().orderBy("idx").rowsBetween(W.unboundedPreceding, 0)))
 
 
 def turn_tail(frames: DataFrame, least: int = 2000, most: int = 15000, share: float = 0.25, usable: int = 60000) -> DataFrame:
-    """The newest whole user turns within a budget between ``least`` and ``most``; the whole history if it fits."""
-    budget = max(least, min(most, int(usable * share)))
-    df = turns(frames).withColumn("_t", T.tokens_by_chars("text"))
-    per = df.groupBy("conv_id", "turn").agg(F.sum("_t").alias("tokens_of_turn"))
-    per = per.withColumn("_sum", F.sum("tokens_of_turn").over(W.partitionBy("conv_id").orderBy(F.desc("turn"))))
-    return df.join(per.filter(F.col("_sum") <= budget).select("conv_id", "turn"), ["conv_id", "turn"], "left_semi").drop("_t")
-
-
-def turn_tail_partial(frames: DataFrame, least: int = 2000, most: int = 15000, share: float = 0.25, usable: int = 60000) -> DataFrame:
-    """The newest whole user turns within a budget between ``least`` and ``most``, and of the turn that crosses it the newest messages that still fit; the whole history if it fits."""
+    """The newest whole user turns within a budget between ``least`` and ``most``, and of the turn that crosses it the newest messages that still fit; no system messages, and no rows where all would be kept."""
     budget = max(least, min(most, int(usable * share)))
     turn = W.partitionBy("conv_id", "turn")
-    df = turns(frames).withColumn("_t", T.tokens_by_chars("text")).withColumn("_after", F.sum("_t").over(_NEWER().rowsBetween(W.unboundedPreceding, 0)))
+    df = turns(frames.filter("kind <> 'system'")).withColumn("_first", F.min("idx").over(_BY()))
+    df = df.withColumn("_t", T.tokens_by_chars("text")).withColumn("_after", F.sum("_t").over(_NEWER().rowsBetween(W.unboundedPreceding, 0)))
     df = df.withColumn("_sum", F.max("_after").over(turn)).withColumn("_newer", F.col("_sum") - F.sum("_t").over(turn))
-    part = (F.col("turn") > 0) & (F.col("_after") <= budget) & (F.col("_newer") < budget)
-    return df.filter((F.col("_sum") <= budget) | part).select("conv_id", "turn", *[c for c in frames.columns if c not in ("conv_id", "turn")])
+    part = (F.col("_after") <= budget) & (F.col("_newer") < budget)
+    df = df.filter((F.col("turn") > 0) & ((F.col("_sum") <= budget) | part))
+    df = df.withColumn("_kept", F.min("idx").over(_BY())).filter("_kept > _first")
+    return df.select("conv_id", "turn", *[c for c in frames.columns if c not in ("conv_id", "turn")])
 
 
 def old_tool_outputs(frames: DataFrame, protect: int = 40000, least: int = 20000, turns_kept: int = 2) -> DataFrame:
@@ -119,31 +47,6 @@ def old_tool_outputs(frames: DataFrame, protect: int = 40000, least: int = 20000
     return df.withColumn("_freed", F.sum("t").over(_BY())).filter(F.col("_freed") > least).select("conv_id", "idx", "t")
 
 
-def tail_cut(frames: DataFrame, budget: int, head: int = 3, slack: float = 1.5, least: int = 3) -> DataFrame:
-    """conv_id, head_end and cut of the middle to summarize: the head is the first messages and the results after them; the tail the newest within budget × slack, at least ``least``, never splitting a call from its results, with the last user message in it."""
-    cost = T.tokens_rough("text")
-    k = F.row_number().over(_BY().orderBy("idx")) - 1
-    df = frames.withColumn("_k", k).withColumn("_n", F.count(F.lit(1)).over(_BY()))
-    df = df.withColumn("_after", F.sum(cost).over(_NEWER().rowsBetween(W.unboundedPreceding, 0)))
-    first_free = F.min(F.when((F.col("_k") >= head) & (F.col("kind") != "tool_result"), F.col("_k")))
-    in_tail = (F.col("_after") <= budget * slack) | (F.col("_k") >= F.col("_n") - least)
-    df = df.withColumn("_start", F.min(F.when(in_tail, F.col("_k"))).over(_BY()))
-    caller = F.last(F.when(F.col("kind") != "tool_result", F.col("_k")), ignorenulls=True).over(_BY().orderBy("idx").rowsBetween(W.unboundedPreceding, 0))
-    df = df.withColumn("_caller", caller)
-    cut = F.max(F.when(F.col("_k") == F.col("_start"), F.when(F.col("kind") == "tool_result", F.coalesce("_caller", "_k")).otherwise(F.col("_k"))))
-    last_user = F.max(F.when(F.col("kind") == "user", F.col("_k")))
-    out = df.groupBy("conv_id").agg(F.coalesce(first_free, F.max("_n")).cast("int").alias("head_end"), F.least(cut, F.coalesce(last_user, cut)).cast("int").alias("cut"))
-    return out.withColumn("cut", F.greatest("cut", "head_end"))
-
-
-def dedupe_results(frames: DataFrame, least: int = 200) -> DataFrame:
-    """Identical tool results of at least ``least`` characters: all but the newest become a note."""
-    long = (F.col("kind") == "tool_result") & (F.length("text") >= least)
-    w = W.partitionBy("conv_id", long, F.substring(F.md5("text"), 1, 12)).orderBy(F.desc("idx"))
-    df = frames.withColumn("_copy", long & (F.row_number().over(w) > 1))
-    return df.withColumn("text", F.when(F.col("_copy"), F.lit("[duplicate output; a newer copy follows]")).otherwise(F.col("text"))).drop("_copy")
-
-
 def sanitize_pairs(frames: DataFrame) -> DataFrame:
     """conv_id, idx, action: results without a call are dropped, calls without a result get a stub."""
     calls = frames.filter("kind = 'tool_call'").select("conv_id", "idx", F.explode("tool_call_ids").alias("id"))
@@ -161,22 +64,6 @@ def result_lookup(frames: DataFrame) -> DataFrame:
     return calls.join(results, ["conv_id", "id"], "left")
 
 
-def trim_last(frames: DataFrame, budget: int = 4000) -> DataFrame:
-    """The newest messages within a budget of approximate tokens, then from the first user turn on."""
-    after = F.sum(T.tokens_per_message("text")).over(_NEWER().rowsBetween(W.unboundedPreceding, 0))
-    df = frames.withColumn("_a", after).filter(F.col("_a") <= budget)
-    return df.withColumn("_u", F.min(F.when(F.col("kind") == "user", F.col("idx"))).over(_BY())).filter("idx >= _u").drop("_a", "_u")
-
-
-def half_split(frames: DataFrame, limit: int = 8192) -> DataFrame:
-    """conv_id and where the head ends: the tail is the newest half of the limit, and the head ends on an assistant turn; 0: the history fits."""
-    cost = T.tokens_by_chars("text")
-    df = frames.withColumn("_c", cost).withColumn("_sum", F.sum("_c").over(_BY())).withColumn("_after", F.sum("_c").over(_NEWER().rowsBetween(W.unboundedPreceding, 0)))
-    head_ok = (F.col("kind") == "assistant") & (F.col("_after") - F.col("_c") <= F.lit(limit) / 2 + F.col("_c")) | (F.col("_after") > F.lit(limit) / 2) & (F.col("role") == "assistant")
-    cut = F.max(F.when((F.col("_after") > limit / 2) & head_ok, F.col("idx") + 1))
-    return df.groupBy("conv_id").agg(F.when(F.max("_sum") <= limit, 0).otherwise(F.coalesce(cut, F.lit(0))).cast("int").alias("split_idx"))
-
-
 def merge_same_role(frames: DataFrame) -> DataFrame:
     """conv_id, turn_no, role and text of turns: systems aside, neighbours of one role are one, their texts a blank line apart."""
     role = F.when(F.col("role").isin("user", "tool"), "user").otherwise("assistant")
@@ -201,42 +88,12 @@ def last_user_query(frames: DataFrame) -> DataFrame:
     return frames.filter("kind = 'user'").groupBy("conv_id").agg(F.max_by("text", "idx").alias("query"))
 
 
-def clean_summary(summary):
-    """A written summary without scratch parts and control tags, blank lines collapsed; null under 500 characters (degenerate)."""
-    c = F.regexp_replace(summary, r"(?s)<analysis>.*?</analysis>", "")
-    c = F.regexp_replace(c, r"</?(?:summary|analysis|system|user_query)[^>]*>", "")
-    c = F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
-    return F.when(F.length(c) >= 500, c)
-
-
 def structured_summary(text):
     """The last fenced JSON after an analysis, as text; null without one."""
     found = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(\{.*?\})\s*```"), 1)
     return F.get(found, F.size(found) - 1)
 
 
-def assemble(head: DataFrame, summary: DataFrame, tail: DataFrame, role: str = "user") -> DataFrame:
-    """System messages and head, the summary (conv_id, summary) in a role, then the tail, numbered anew."""
-    part = lambda df, o: df.select("conv_id", F.lit(o).alias("part"), "idx", "role", "text")
-    mid = summary.select("conv_id", F.lit(1).alias("part"), F.lit(0).alias("idx"), F.lit(role).alias("role"), F.col("summary").alias("text"))
-    all_ = part(head, 0).unionByName(mid).unionByName(part(tail, 2))
-    return all_.select("conv_id", (F.row_number().over(W.partitionBy("conv_id").orderBy("part", "idx")) - 1).alias("idx"), "role", "text")
-
-
-def serialize_xml(frames: DataFrame) -> DataFrame:
-    """conv_id and its messages as XML elements."""
-    line = F.concat(F.lit('<message role="'), "role", F.lit('">'), T.xml_escape("text"), F.lit("</message>"))
-    lines = F.array_sort(F.collect_list(F.struct("idx", line.alias("x"))))
-    return frames.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["x"]), "\n").alias("xml"))
-
-
-def serialize_turns(frames: DataFrame) -> DataFrame:
-    """conv_id and its turns as text for a summary, long ones clipped in the middle."""
-    line = F.concat(F.lit("["), F.upper("role"), F.lit("]: "), T.clip_middle("text"))
-    lines = F.array_sort(F.collect_list(F.struct("idx", line.alias("x"))))
-    return frames.groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x["x"]), "\n\n").alias("serialized"))
-
-
 def drop_reasoning(messages: DataFrame, before_last: bool = True) -> DataFrame:
     """Messages (conv_id, idx, message_json) without their reasoning blocks, all or all but the last message's; a message of nothing else goes."""
     blocks = F.from_json(F.get_json_object("message_json", "$.content"), "array<string>")
@@ -262,9 +119,3 @@ def summary_place(head: DataFrame, tail: DataFrame) -> DataFrame:
 def cost(usage: DataFrame, per_input: float, per_output: float) -> DataFrame:
     """conv_id and dollars, summed over the iterations of usage(conv_id, input_tokens, output_tokens)."""
     return usage.groupBy("conv_id").agg((F.sum("input_tokens") * per_input + F.sum("output_tokens") * per_output).alias("usd"))
-
-
-STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "truncate_oldest": truncate_oldest, "structural_prune": structural_prune, "newest_user_messages": newest_user_messages, "tool_output_budget": tool_output_budget,
-    "keep_last": keep_last, "turn_tail": turn_tail, "turn_tail_partial": turn_tail_partial, "dedupe_results": dedupe_results, "trim_last": trim_last,
-}

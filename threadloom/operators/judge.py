@@ -41,7 +41,7 @@ def candidate_question(position: Column) -> Column:
 
 def history_questions(pending_position: Column) -> Column:
     """The five history-level questions, as an array of JSON."""
-    subject = F.coalesce(F.format_string("messages[%d]", pending_position), F.lit("any entry of messages"))
+    subject = F.when(pending_position.isNotNull(), F.format_string("messages[%d]", pending_position)).otherwise("any entry of messages")
     ask = lambda name, text: F.concat(F.lit(f'{{"type":"probability","name":"{name}","question":"'), text, F.lit('"}'))
     return F.array(
         ask("destructive", F.concat(F.lit("Does "), subject, F.lit(" propose or run something that destroys data?"))),

@@ -172,6 +172,8 @@ _AS_OPENAI = {
     (2, "purchase"): "'{\"role\":\"assistant\",\"content\":\"two\",\"tool_calls\":[{\"id\":\"a' || event_id || '\",\"type\":\"function\",\"function\":{\"name\":\"g\",\"arguments\":\"1\"}},{\"id\":\"b' || event_id || '\",\"type\":\"function\",\"function\":{\"name\":\"h\",\"arguments\":\"2\"}}]}'",
 }
 _PLAIN_JSON = "'{\"role\":\"' || role || '\",\"content\":' || " + _q("text") + " || '}'"
+#: The shaped messages as a chat service has them, as CTE x.
+SHAPED_CHAT = _FRAMES.replace("k, c, [", "k, c, ck, [").removeprefix("with ") + f", x as (select conv_id, idx, {_cases(_AS_OPENAI, _PLAIN_JSON)} as message_json from g)"
 _NAMES_OF = ", ".join(f"({k}, {_sql(name)}, '{next(p.kind for p in PATTERNS if p.name == name)}')" for k, (_, names) in enumerate(COMMANDS) for name in names)
 _SECRET = r"(?i)(?:(?:api[_-]?key|secret|token|passw(?:or)?d|authorization|credentials?)[\w-]*['\"]?\s*[=:]\s*['\"]?(?:bearer\s+)?[^\s'\"\x60]{12}|\bbearer\s+[A-Za-z0-9_\-.+/=]{20})"
 _PICK = lambda n, salt: f"(('0x' || substring(md5('1:' || h || ':' || i || ':{salt}'), 1, 7))::bigint % {n})"

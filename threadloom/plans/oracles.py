@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.patterns import PATTERNS, RE2_SAFE
 from ..functions.text import FILE_NAME, PATH_LIKE, URL
-from . import branches
+from . import branches, strategy_queries
 
 
 def _paths(t: str) -> str:
@@ -188,11 +188,6 @@ with recursive """ + _CALLS.lstrip() + """
   from st join c on c.key = st.key and c.call_no = st.call_no + 1
 )"""
 _TRUNC = "(select conv_id, idx, tokens, idx = min(idx) over (partition by conv_id) or first_value(tokens) over (partition by conv_id order by idx) + sum(case when idx > mi then tokens else 0 end) over (partition by conv_id order by idx desc rows between unbounded preceding and current row) <= {n} as ok from (select *, min(idx) over (partition by conv_id) as mi from f))"
-_PRUNE = """(select conv_id, idx, tokens, kind not in ('tool_call', 'tool_result') or recent or list_has_any(ids, used) as ok from (
-  select *, flatten(list(case when recent then ids else [] end) over (partition by conv_id)) as used from (select *, row_number() over (partition by conv_id order by idx) > count(*) over (partition by conv_id) - 6 as recent from f)))"""
-_LAST = """(select conv_id, idx, role, text, tokens, k >= max(case when k = greatest(1, n - {n} + 1) then case when kind = 'tool_result' then coalesce(head, k) else k end end) over (partition by conv_id) as ok from (
-  select *, last_value(case when kind <> 'tool_result' then k end ignore nulls) over (partition by conv_id order by idx rows between unbounded preceding and current row) as head from (
-    select *, row_number() over (partition by conv_id order by idx) as k, count(*) over (partition by conv_id) as n from f)))"""
 _TURN = "(select *, count(*) filter (where kind = 'user') over (partition by conv_id order by idx rows between unbounded preceding and current row) as turn, ceil(length(text) / 4.0)::int as t from f)"
 _VOTES = UNITS + """
 , v as (
@@ -202,6 +197,59 @@ _VOTES = UNITS + """
 )"""
 _REF = r"^(https?://|([\w@.-]+/)+[\w.-]+\.\w{1,8}$|[\w-]+\.([cm]?[jt]sx?|py|go|rs|rb|java|kt|swift|c|cc|cpp|h|hpp|cs|php|sh|json|ya?ml|toml|md|sql|env|txt|css|html)$)"
 
+_FINDING = "'  ' || rpad(level, 6, ' ') || '  ' || rpad(kind, 12, ' ') || '  ' || rpad(source, 7, ' ') || '  p=' || printf('%.2f', probability) || case when len(indices) > 0 then '  #' || array_to_string(indices, ',') else '' end || coalesce('  ' || evidence, '')"
+_ADDENDA = "select conv_id, string_agg(t, chr(10) || chr(10) order by rank) as addendum from (select conv_id, rank, case kind when 'thrashing' then 'Notice: the last attempts repeat one failed step. Say what was tried and why it failed, then take another way.' else 'Notice: the last turns left the goal \"' || goal || '\". Come back to it, or say why the detour is needed.' end as t from fd join gl using (conv_id) where source = 'judge' and level = 'action' and kind in ('thrashing', 'goal_drift')) group by conv_id"
+#: The fill of batches, one candidate after the other.
+PLAN_BATCHES = """, ca as (
+  select conv_id, unit_id, unit_pos, position, state_tokens, ceil(length({question}) / 2.5)::int as cost, row_number() over (partition by conv_id order by unit_pos) as i from k where is_candidate and position is not null
+), st as (
+  select conv_id, unit_id, i, case when {some} and state_tokens + {first} + cost > {limit} then 1 else 0 end as batch_no, case when {some} and state_tokens + {first} + cost > {limit} then state_tokens else state_tokens + {first} end + cost as used from ca where i = 1
+  union all
+  select ca.conv_id, ca.unit_id, ca.i, batch_no + case when used + cost > {limit} then 1 else 0 end, case when used + cost > {limit} then ca.state_tokens else used end + cost from st join ca on ca.conv_id = st.conv_id and ca.i = st.i + 1
+) select conv_id, unit_id, batch_no from st"""
+_ASK = "'{{\"type\":\"choice\",\"question\":\"Is messages[' || position || '] needed to reach the goal?\",\"options\":{{\"keep\":\"It holds facts, code, errors or decisions that are still needed.\",\"drop\":\"It is small talk, repeated, or superseded.\"}}}}'"
+_SUBJECT = "coalesce('messages[' || pp || ']', 'any entry of messages')"
+_OWN = [
+    ("destructive", f"'{{\"type\":\"probability\",\"name\":\"destructive\",\"question\":\"Does ' || {_SUBJECT} || ' propose or run something that destroys data?\"}}'"),
+    ("exfiltration", f"'{{\"type\":\"probability\",\"name\":\"exfiltration\",\"question\":\"Does ' || {_SUBJECT} || ' send secrets or private data outside?\"}}'"),
+    ("thrashing", "'{\"type\":\"probability\",\"name\":\"thrashing\",\"question\":\"Do the newest entries repeat one failed step?\"}'"),
+    ("goal_drift", "'{\"type\":\"probability\",\"name\":\"goal_drift\",\"question\":\"Do the newest entries work on something else than the goal?\"}'"),
+    ("progress", "'{\"type\":\"score\",\"name\":\"progress\",\"question\":\"How far is the goal reached?\",\"levels\":[\"none\",\"some\",\"nearly done\"]}'"),
+]
+JUDGE_BATCHES = ", hq as (select conv_id, pp, state_tokens, md5(state) as state, " + " + ".join(f"ceil(length({q}) / 2.5)::int" for _, q in _OWN) + """ as own_cost from (
+  select k.conv_id, any_value(state_tokens) as state_tokens, max(case when unit_id = pending_unit then position end) as pp, '{"goal":' || to_json(any_value(goal))::varchar || ',"note":"Older entries may be shortened.","messages":[' || string_agg(case when position is not null then entry end, ',' order by unit_pos) || ']}' as state
+  from k left join pend on pend.conv_id = k.conv_id group by k.conv_id)
+), k9 as (select k.* exclude (state_tokens), hq.state_tokens, own_cost from k join hq using (conv_id))""" + PLAN_BATCHES.format(limit=1400, first="own_cost", question=_ASK.replace("{{", "{").replace("}}", "}"), some="true").replace("position, state_tokens, ceil", "position, state_tokens, own_cost, ceil").replace("from k where", "from k9 where").replace(") select conv_id, unit_id, batch_no from st", """), pl as (select conv_id, unit_id, batch_no from st)
+select conv_id, batch_no::int as batch_no, state, unit_id as name, """ + _ASK.replace("{{", "{").replace("}}", "}") + " as question from pl join k using (conv_id, unit_id) join hq using (conv_id)" + "".join(f" union all select conv_id, 0, state, '{n}', {q} from hq" for n, q in _OWN))
+GIVEN_GOALS = rf""", pinned as (select distinct conv_id, unit_head from g where idx % 17 = 3
+), p0 as (
+  select u.*, case when conv_id::int % 2 = 0 then 'see src/mod1/file1.ts and docs/guide.md' else gl.goal end as own_goal, (conv_id, unit_head) in (select conv_id, unit_head from pinned) as by_caller from u join gl using (conv_id)
+), p1 as (
+  select *, coalesce(list_filter(paths, lambda p: contains(lower(own_goal), lower(p)))[1], list_filter({_paths("own_goal")}, lambda p: contains(lower(text), lower(p)))[1]) as gp from p0
+) select conv_id, unit_pos, own_goal as goal, case when has_system then 'pinned:system' when by_caller then 'pinned:caller' when unit_pos >= n_units - 2 then 'pinned:recent' when own_goal <> '' and gp is not null then 'pinned:goal-path ' || gp when has_code and unit_pos >= n_units - 6 then 'pinned:code' end as pin_reason from p1"""
+INSPECT = """, ln as (
+  select conv_id, unit_pos, text, case decision when 'kept' then 'KEEP' when 'pinned' then 'PIN' when 'flagged' then 'FLAG' when 'duplicate' then 'DUP' else 'DROP' end as tag, unit_id,
+    case when len(indices) = 1 then '#' || indices[1] else '#' || indices[1] || '-' || indices[-1] end as rng, case when is_tool then case when len(names) > 0 then 'tool:' || array_to_string(list_distinct(names), ',') else 'tool' end else first_kind end as kind, format('{:,}', tokens) as size,
+    case when decision in ('dropped', 'budget') and p_keep is not null and not regexp_matches(reason, '\\bp=') then reason || ' p=' || printf('%.2f', 1 - p_keep) else reason end as why
+  from r
+), pf as (
+  select conv_id, unit_pos, trim(regexp_replace(text, '\\s+', ' ', 'g')) as flat, rpad(tag, 5, ' ') || '  ' || rpad(unit_id, (greatest(2, max(length(unit_id)) over w))::int, ' ') || '  ' || rpad(rng, (greatest(2, max(length(rng)) over w))::int, ' ') || '  ' || rpad(kind, (greatest(4, max(length(kind)) over w))::int, ' ') || '  '
+    || lpad(size, (max(length(size)) over w)::int, ' ') || ' tok  ' || why as line
+  from ln window w as (partition by conv_id)
+), ul as (
+  select conv_id, 1 as part, unit_pos as at_line, case when 90 - length(line) - 2 >= 12 and flat <> '' then line || '  ' || case when length(flat) <= 90 - length(line) - 2 then flat else left(flat, (90 - length(line) - 2 - 1)::int) || '…' end else line end as line from pf
+), hd as (
+  select rs.conv_id, [ 'goal     ' || case when goal = '' then '(none)' when length(flat) <= 81 then flat else left(flat, 80) || '…' end, 'format   openai · ' || messages_before || ' messages · ' || nu || ' units',
+    'result   kept ' || messages_after || '/' || messages_before || ' messages · ' || format('{:,}', tokens_before) || ' → ' || format('{:,}', tokens_after) || ' tokens', ''] as ls
+  from rs join (select conv_id, any_value(goal) as goal, trim(regexp_replace(any_value(goal), '\\s+', ' ', 'g')) as flat, count(*) as nu from r group by conv_id) using (conv_id)
+), fs as (
+  select rs.conv_id, case when any_value(h.ls) is null then ['', 'findings none'] else list_concat(['', 'findings'], any_value(h.ls)) end as ls from rs left join (select conv_id, list(""" + _FINDING.replace("level", "'action'").replace("source", "'pattern'").replace("probability", "1.0::double") + """ order by ord) as ls from hit group by conv_id) h using (conv_id) group by rs.conv_id
+), every as (
+  select conv_id, 0 as part, unnest(range(len(ls))) as at_line, unnest(ls) as line from hd
+  union all select * from ul
+  union all select conv_id, 2, unnest(range(len(ls))), unnest(ls) from fs
+) select conv_id, (row_number() over (partition by conv_id order by part, at_line) - 1)::int as line_no, line from every"""
+
 ORACLES: dict[str, str] = {
     "compact_conversations": """
 with f as (
@@ -260,28 +308,33 @@ select conv_id, unit_pos, 'u' || unit_pos as unit_id, idx::varchar as indices, c
     "compaction_report": _q(RUN, "select conv_id, 'openai' as format, tokens_before, tokens_after, messages_before, messages_after, conv_id in (select conv_id from bl) as blocked, unjudged, true as compacted from rs"),
     "fail_open": _q(RUN, "select case when dec is not null then dec end as decision, 'judge_unavailable' as skipped, count(*) as n, sum(tokens)::bigint as tokens from (select pre.tokens, case when fi is not null then 'flagged' when pin_reason is not null then 'pinned' else 'kept' end as dec from pre left join fl using (conv_id, unit_pos)) group by 1, 2"),
     "trigger_auto": _q(SKELETON + _scan(PATTERNS, True) + PENDING + decided(max_tokens=1900, p=_P_RUN, src="k"), f"select conv_id, case when sum(tokens) <= 1900 then 'below_threshold' end as skipped, sum(tokens)::bigint as tokens_before, case when sum(tokens) <= 1900 then sum(tokens) else sum(case when decision in {_OK} then tokens else 0 end) end::bigint as tokens_after from d group by conv_id"),
+    "cooldown_run": _q(FINDINGS + decided(), f", lv as (select conv_id, case when (conv_id::int) % 3 = 0 then 'cooldown' when not bool_or(is_candidate) then 'nothing_to_judge' end as skipped, sum(tokens)::bigint as tokens_before, count(*) as units, sum(len(indices))::bigint as every, sum(case when decision in {_OK} then len(indices) else 0 end)::bigint as kept from d group by conv_id), jf as (select conv_id, count(*) as n from fd where source = 'judge' group by conv_id), ad as (select conv_id, count(*) as n from fd where source = 'judge' and level = 'action' and kind in ('thrashing', 'goal_drift') group by conv_id) select conv_id, skipped, tokens_before, case when skipped = 'cooldown' then every else kept + case when ad.n > 0 then 1 else 0 end end as messages_after, case when skipped = 'cooldown' then 0 else units end as reported, case when skipped = 'cooldown' then 0 else coalesce(jf.n, 0) end as judged from lv left join jf using (conv_id) left join ad using (conv_id)".replace(", lv as", ", lv as", 1)),
+    "fail_open_flags": _q(RUN, "select conv_id, unit_pos, case when fi is not null then 'flagged' when pin_reason is not null then 'pinned' else 'kept' end as decision, case when fi is not null then 'flagged:' || fi.kind || coalesce(' ' || fi.evidence, '') || ' (was ' || why || ')' else why end as reason from (select pre.*, fi, case when pin_reason is not null then pin_reason when dup_reason is not null then 'judge:unavailable (was ' || dup_reason || ')' else 'judge:unavailable' end as why from pre left join fl using (conv_id, unit_pos))"),
+    "nonfinite_votes": _q(PRE + decided(max_tokens=10**9, min_keep=0, p=_P.replace("unit_pos % 13 <> 5", "unit_pos % 13 <> 5 and unit_pos % 4 <> 1")), "select conv_id, unit_pos, decision, reason from d"),
+    "judge_batches": _q(SKELETON.replace("\n, k0 as", PENDING + "\n, k0 as", 1), JUDGE_BATCHES).replace("with ", "with recursive ", 1),
+    "plan_batches": _q(SKELETON, PLAN_BATCHES.format(limit=900, first="120", question="'keep messages[' || position || ']?'", some="true")).replace("with ", "with recursive ", 1),
+    "given_goals": _q(UNITS + GOALS, GIVEN_GOALS),
+    "own_options": _q(FRAMES, "select conv_id, sum(ceil(strlen(message_json) / 4.0)::int)::bigint as tokens_before, null::varchar as addendum from f group by conv_id"),
+    "escrowed": _q(RUN, "select conv_id, conv_id in (select conv_id from bl) and conv_id::int % 2 <> 0 as blocked from rs"),
+    "gate": "with " + _CALLS.lstrip() + " select case when blocked then 'blocked' else 'on' end as way, key, call_no from c",
+    "unit_spread": _q(PRE + decided(), "select conv_id, unit_id, round(p_keep - p_keep / 2, 9) as spread, 2::bigint as runs from d"),
+    "finding_lines": _q(FINDINGS, f"select conv_id, rank, {_FINDING} as line from fd"),
+    "nothing_to_judge": _q(PRE, "select conv_id, case when count(*) filter (where not has_system and unit_pos < n_units - 40) = 0 then 'nothing_to_judge' end as skipped, count(*) filter (where not has_system and unit_pos < n_units - 40) > 0 as compacted from pre group by conv_id"),
+    "system_addenda": "with ad as (" + _q(FINDINGS, _ADDENDA) + ") select conv_id, case conv_id::int % 3 when 0 then to_json('Be brief.' || chr(10) || chr(10) || addendum)::varchar when 1 then '[{\"type\":\"text\",\"text\":\"Be brief.\"},{\"type\":\"text\",\"text\":' || to_json(addendum)::varchar || '}]' else to_json(addendum)::varchar end as system from ad",
+    "inspect_view": _q(RUN, INSPECT),
     "path_fidelity": _q(FRAMES, f"select conv_id, coalesce(n, 0) as total, coalesce(n, 0) - coalesce(stray, 0) as present, round(case when coalesce(n, 0) = 0 then 1.0 else (n - stray) / n::double end, 9) as ratio from (select distinct conv_id from f where idx % 3 = 0) left join (select conv_id, count(*) as n, count(*) filter (where not known) as stray from (select conv_id, ref, bool_or(known) as known from (select distinct conv_id, ref, false as known from (select conv_id, unnest(list_concat(paths, case when idx % 6 = 0 then ['made/up' || idx || '.ts'] else [] end)) as ref from f where idx % 3 = 0) union all select distinct conv_id, ref, true from (select conv_id, unnest(paths) as ref from f) where (conv_id, ref) in (select conv_id, unnest(paths) from f where idx % 3 = 0)) where regexp_matches(ref, '{_REF}') group by conv_id, ref) group by conv_id) using (conv_id)"),
     "evidence_retention": _q(FRAMES, "select conv_id, n, found, round(case when n = 0 then 1.0 else found / n::double end, 9) as retention from (select t.conv_id, count(s) as n, count(*) filter (where contains(t.x, s)) as found from (select conv_id, string_agg('[' || role || '] ' || text, chr(10) || chr(10) order by idx) as x from f where idx % 2 = 0 group by conv_id) t left join (select distinct conv_id, regexp_extract(text, 'src/mod\\d+') as s from f where kind = 'user') using (conv_id) group by t.conv_id)"),
     "run_stability": _q(PRE + decided() + decided("b", max_tokens=600, threshold=0.5), "select conv_id, unit_id, 2::bigint as decisions from d join b using (conv_id, unit_id) where d.decision <> b.decision"),
     "same_selection": _q(FRAMES, f"select conv_id, bool_and(a.ok = b.ok) as same from {_TRUNC.format(n=900)} a join {_TRUNC.format(n=2100)} b using (conv_id, idx) where a.ok or b.ok group by conv_id"),
-    "strategy_compare": _q(FRAMES, "select arm, count(*) as histories, sum(b)::bigint as tokens_before, sum(a)::bigint as tokens_after, round(avg(1 - a / b::double), 6) as mean_saved, 0::bigint as stray from (" + " union all ".join(f"select '{arm}' as arm, conv_id, sum(tokens) as b, sum(case when ok then tokens else 0 end) as a from {t} group by conv_id" for arm, t in (("truncate", _TRUNC.format(n=900)), ("prune", _PRUNE), ("last", _LAST.format(n=10)))) + ") group by arm"),
     "truncate_oldest": _q(FRAMES, f"select conv_id, idx from {_TRUNC.format(n=900)} where ok"),
-    "structural_prune": _q(FRAMES, f"select conv_id, idx from {_PRUNE} where ok"),
-    "split_point_70": _q(FRAMES, "select conv_id, coalesce(min(idx) filter (where kind = 'user' and before >= total * 0.7), case when arg_max(kind, idx) = 'assistant' then max(idx) + 1 end, max(idx) filter (where kind = 'user'), 0)::int as split_idx from (select *, sum(chars) over (partition by conv_id) as total, coalesce(sum(chars) over (partition by conv_id order by idx rows between unbounded preceding and 1 preceding), 0) as before from f) group by conv_id"),
-    "keep_last_20": _q(FRAMES, f"select conv_id, idx from {_LAST.format(n=20)} where ok"),
-    "turn_tail": _q(FRAMES, f"select conv_id, idx from {_TURN} join (select conv_id, turn from (select conv_id, turn, sum(sum(t)) over (partition by conv_id order by turn desc) as s from {_TURN} group by conv_id, turn) where s <= 250) using (conv_id, turn)"),
+    "turn_tail": _q(FRAMES.replace(", f as (", ", f9 as (").rstrip() + ", f as (select * from f9 where kind <> 'system')", f"select conv_id, idx from (select *, min(idx) over (partition by conv_id) as first_kept from (select *, sum(t) over (partition by conv_id order by idx desc) as after_, min(idx) over (partition by conv_id) as first_one from {_TURN}) join (select conv_id, turn, sum(sum(t)) over (partition by conv_id order by turn desc) as s, sum(t) as own from {_TURN} group by conv_id, turn) using (conv_id, turn) where turn > 0 and (s <= 250 or (after_ <= 250 and s - own < 250))) where first_kept > first_one"),
     "tool_output_prune": _q(FRAMES, f"select conv_id, idx, t from (select *, sum(t) over (partition by conv_id) as freed from (select *, sum(t) over (partition by conv_id order by idx desc rows between unbounded preceding and current row) as s from (select *, max(turn) over (partition by conv_id) as last_turn from {_TURN}) where kind = 'tool_result' and turn <= last_turn - 2) where s > 40) where freed > 20"),
-    "newest_user_messages": _q(FRAMES, "select conv_id, idx, case when kind = 'user' and c > rest then left(text, (rest * 4 // 2)::int) || '…' || (c - rest) || ' tokens truncated…' || right(text, (rest * 4 - rest * 4 // 2)::int) else text end as text from (select *, 60 - coalesce(sum(case when kind = 'user' then c else 0 end) over (partition by conv_id order by idx desc rows between unbounded preceding and 1 preceding), 0) as rest from (select *, ceil(strlen(text) / 4.0)::int as c from f)) where kind = 'system' or (kind = 'user' and rest > 0)"),
-    "trim_last": _q(FRAMES, "select conv_id, idx from (select *, min(idx) filter (where kind = 'user') over (partition by conv_id) as fu from (select *, sum(ceil(chars / 3.3)::int + 3) over (partition by conv_id order by idx desc rows between unbounded preceding and current row) as a from f) where a <= 300) where idx >= fu"),
     "merge_same_role": _q(FRAMES, "select conv_id, turn_no::bigint as turn_no, first(r) as role, count(*) as messages, md5(string_agg(text, chr(10) || chr(10) order by idx)) as text_md5 from (select *, sum(nw) over (partition by conv_id order by idx) as turn_no from (select *, case when lag(r) over (partition by conv_id order by idx) = r then 0 else 1 end as nw from (select *, case when role in ('user', 'tool') then 'user' else 'assistant' end as r from f where role <> 'system'))) group by conv_id, turn_no"),
     "system_text": _q(FRAMES, "select conv_id, string_agg(text, chr(10) || chr(10) order by idx) as system from f where role = 'system' group by conv_id"),
     "tool_stubs": _q(FRAMES, "select distinct conv_id, unnest(names) as tool from f"),
     "tool_pair_sanitize": _q(FRAMES + ", x as (select conv_id, idx, kind, unnest(ids) as id from f where kind in ('tool_call', 'tool_result'))", "select conv_id, idx, 'drop_result' as action, id from x where kind = 'tool_result' and (conv_id, id) not in (select conv_id, id from x where kind = 'tool_call') union all select conv_id, idx, 'stub_result', id from x where kind = 'tool_call' and (conv_id, id) not in (select conv_id, id from x where kind = 'tool_result')"),
     "result_lookup": _q(FRAMES + ", x as (select conv_id, idx, kind, text, unnest(ids) as id from f where kind in ('tool_call', 'tool_result'))", "select c.conv_id, c.id, c.idx, r.result from (select * from x where kind = 'tool_call') c left join (select conv_id, id, arg_min(text, idx) as result from x where kind = 'tool_result' group by conv_id, id) r using (conv_id, id)"),
-    "dedupe_results": _q(FRAMES, "select conv_id, idx, case when kind = 'tool_result' and length(text) >= 10 and row_number() over (partition by conv_id, kind = 'tool_result' and length(text) >= 10, left(md5(text), 12) order by idx desc) > 1 then '[duplicate output; a newer copy follows]' else text end as text from f"),
     "last_user_query": _q(FRAMES, "select conv_id, arg_max(text, idx) as query from f where kind = 'user' group by conv_id"),
-    "serialize_xml": _q(FRAMES, "select conv_id, md5(string_agg('<message role=\"' || role || '\">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</message>', chr(10) order by idx)) as digest from f group by conv_id"),
-    "assemble_summary": _q(FRAMES + GOALS, f"select conv_id, (row_number() over (partition by conv_id order by part, idx) - 1)::int as idx, role, text from (select conv_id, 0 as part, idx, role, text from f where role = 'system' union all select conv_id, 1, 0, 'user', 'Summary: ' || goal from gl union all select conv_id, 2, idx, role, text from {_LAST.format(n=5)} where ok)"),
     "conversation_key": _q(MESSAGES, "select conv_id, sha1(coalesce(arg_min(message_json, idx) filter (where message_json->>'role' = 'user'), arg_min(message_json, idx))) as conversation_key from m group by conv_id"),
     "cooldown_gate": COOLDOWN + " select key, call_no, outcome from st",
     "stream_gate": COOLDOWN + " select key, call_no, outcome from st",
@@ -289,3 +342,4 @@ select conv_id, unit_pos, 'u' || unit_pos as unit_id, idx::varchar as indices, c
     "summary_line": _q(RUN, "select conv_id, 'kept ' || messages_after || '/' || messages_before || ' messages · ' || format('{:,}', tokens_before) || ' → ' || format('{:,}', tokens_after) || ' tokens' as line from rs"),
 }
 ORACLES |= branches.ORACLES
+ORACLES |= strategy_queries.oracles(MESSAGES, branches.SHAPED_CHAT)

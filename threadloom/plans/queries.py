@@ -21,7 +21,7 @@ from ..operators.units import group_units, kind_label, pending_units
 from ..options import Options
 from ..sources.transcripts import agent_messages, conversations
 from ..streaming.gate import cooldown
-from . import branches, render
+from . import branches, render, strategy_queries
 from .compact import Result, compact
 
 #: Tight limits, so that short histories exercise every rule.
@@ -301,6 +301,94 @@ def trigger_auto(s, d):
     return got.results.select("conv_id", "skipped", "tokens_before", "tokens_after")
 
 
+def cooldown_run(s, d):
+    """A run in which every third history is cooling down: its judge is not read, and its units are not reported."""
+    m = agent_messages(s, d)
+    cooling = m.filter("conv_id % 3 = 0").select("conv_id").distinct()
+    units = _units(s, d)
+    got = compact(m, OPTS.merged(state_tokens=10**6), J.TableJudge(answers(units), signals(units)), cooling=cooling)
+    reported = got.reports.groupBy("conv_id").agg(F.count(F.lit(1)).alias("reported"))
+    judged = got.findings.groupBy("conv_id").agg(F.count_if(F.col("source") == "judge").alias("judged"))
+    return got.results.join(reported, "conv_id", "left").join(judged, "conv_id", "left").select("conv_id", "skipped", "tokens_before", "messages_after", F.coalesce("reported", F.lit(0)).alias("reported"), F.coalesce("judged", F.lit(0)).alias("judged"))
+
+
+def fail_open_flags(s, d):
+    """A run without answers: what each unit's report says."""
+    got = compact(agent_messages(s, d), OPTS.merged(state_tokens=10**6), J.TableJudge(answers(_units(s, d)).limit(0)))
+    return got.reports.select("conv_id", "unit_pos", "decision", "reason")
+
+
+def nonfinite_votes(s, d):
+    """Votes some of which are no numbers: those count for nothing, and a unit without any other is unjudged."""
+    pre = _pre(s, d, OPTS)
+    odd = F.element_at(F.array(F.lit(float("nan")), F.lit(float("inf")), F.lit(float("-inf"))), F.pmod(F.col("unit_pos"), F.lit(3)) + 1)
+    v = answers(pre).withColumn("unit_pos", F.substring("unit_id", 2, 9).cast("int"))
+    v = v.unionAll(v.withColumn("vote", F.lit(1)).withColumn("p_keep", odd)).filter("vote = 1 or unit_pos % 4 <> 1").drop("unit_pos")
+    return D.decide(pre, J.average_votes(v), None, OPTS.merged(max_tokens=10**9, min_keep=0)).select("conv_id", "unit_pos", "decision", "reason")
+
+
+def judge_batches(s, d):
+    """Every question of every request."""
+    u = _units(s, d)
+    b = J.batches(skeleton(prepass(u, None, OPTS), OPTS), pending_units(u), OPTS.merged(request_tokens=1400))
+    return b.select("conv_id", "batch_no", F.md5("state").alias("state"), F.explode("questions").alias("q")).select("conv_id", "batch_no", "state", "q.name", "q.question")
+
+
+def given_goals(s, d):
+    """Pins by goals that are given for some histories, and by a predicate of the caller's."""
+    f = N.normalize(agent_messages(s, d), pin=F.col("idx") % 17 == 3)
+    goals = f.select("conv_id").distinct().filter("conv_id % 2 = 0").select("conv_id", F.lit("see src/mod1/file1.ts and docs/guide.md").alias("goal"))
+    return prepass(group_units(f), goals, OPTS).select("conv_id", "unit_pos", "goal", "pin_reason")
+
+
+def own_options(s, d):
+    """Other patterns, another counter of tokens, and no corrective text."""
+    own = (X.Pattern("fix", "destructive", "Please fix"), X.Pattern("good", "exfiltration", "All good"))
+    got = compact(agent_messages(s, d), OPTS.merged(patterns=own, count_tokens=T.tokens_by_bytes, corrective=False, state_tokens=10**6), J.TableJudge(answers(_units(s, d)), signals(_units(s, d))))
+    return got.results.select("conv_id", "tokens_before", "addendum")
+
+
+def escrowed(s, d):
+    """Blocks, and those that an escrow approves."""
+    m = agent_messages(s, d)
+    yes = m.select("conv_id").distinct().withColumn("approved", F.col("conv_id") % 2 == 0)
+    return compact(m, OPTS.merged(safety_gating=True), _Recorded(), escrow=yes).results.select("conv_id", "blocked")
+
+
+def gate(s, d):
+    """Calls that go on and calls that are blocked."""
+    from ..streaming.gate import gate as split
+
+    on, blocked = split(_calls(s, d))
+    return on.select(F.lit("on").alias("way"), "key", "call_no").unionAll(blocked.select(F.lit("blocked"), "key", "call_no"))
+
+
+def unit_spread(s, d):
+    """How far the answers of two runs lie apart."""
+    a = _decided(s, d).select("conv_id", "unit_id", F.lit(0).alias("run"), "decision", "p_keep")
+    return M.stability(a.unionAll(a.withColumn("run", F.lit(1)).withColumn("p_keep", F.col("p_keep") / 2))).select("conv_id", "unit_id", F.round("spread", 9).alias("spread"), "runs")
+
+
+def finding_lines(s, d):
+    f, _ = _findings(s, d)
+    return render.finding_line(f)
+
+
+def nothing_to_judge(s, d):
+    """Histories whose units are all pinned."""
+    return compact(agent_messages(s, d), OPTS.merged(keep_recent=40), _Recorded()).results.select("conv_id", "skipped", "compacted")
+
+
+def system_addenda(s, d):
+    """System prompts of three forms with what is to be added."""
+    f = _findings(s, d)[0]
+    add = X.corrective_prompts(f, N.default_goals(_frames(s, d)), OPTS)
+    from ..sources.shapes import append_system
+
+    form = F.when(F.col("conv_id") % 3 == 0, F.lit('"Be brief."')).when(F.col("conv_id") % 3 == 1, F.lit('[{"type":"text","text":"Be brief."}]'))
+    return add.select("conv_id", append_system(form, F.col("addendum")).alias("system"))
+
+
 def path_fidelity(s, d):
     f = _frames(s, d)
     cand = f.filter("idx % 3 = 0").withColumn("paths", F.concat("paths", F.when(F.col("idx") % 6 == 0, F.array(F.concat(F.lit("made/up"), F.col("idx").cast("string"), F.lit(".ts")))).otherwise(F.array().cast("array<string>"))))
@@ -325,34 +413,6 @@ def same_selection(s, d):
     return M.same_selection(B.truncate_oldest(f, 900), B.truncate_oldest(f, 2100))
 
 
-def strategy_compare(s, d):
-    f = _frames(s, d)
-    total = N.history_tokens(f).select("conv_id", F.col("tokens").alias("tokens_before"))
-    arms = {"truncate": B.truncate_oldest(f, 900), "prune": B.structural_prune(f, 6), "last": B.keep_last(f, 10)}
-    out = None
-    for name, kept in arms.items():
-        after = kept.groupBy("conv_id").agg(F.sum("tokens").alias("tokens_after"))
-        rows = total.join(after, "conv_id").select(F.lit(name).alias("arm"), "tokens_before", "tokens_after", F.lit(0).alias("stray"))
-        out = rows if out is None else out.unionAll(rows)
-    return M.compare_arms(out)
-
-
-def truncate_oldest(s, d):
-    return B.truncate_oldest(_frames(s, d), 900).select("conv_id", "idx")
-
-
-def structural_prune(s, d):
-    return B.structural_prune(_frames(s, d), 6).select("conv_id", "idx")
-
-
-def split_point_70(s, d):
-    return B.split_point(_frames(s, d))
-
-
-def keep_last_20(s, d):
-    return B.keep_last(_frames(s, d), 20).select("conv_id", "idx")
-
-
 def turn_tail(s, d):
     return B.turn_tail(_frames(s, d), 200, 300, 0.25, 1000).select("conv_id", "idx")
 
@@ -361,18 +421,6 @@ def tool_output_prune(s, d):
     return B.old_tool_outputs(_frames(s, d), 40, 20).select("conv_id", "idx", "t")
 
 
-def tool_output_budget(s, d):
-    return B.tool_output_budget(_frames(s, d), 40, 1).filter("kind = 'tool_result'").select("conv_id", "idx", "text")
-
-
-def newest_user_messages(s, d):
-    return B.newest_user_messages(_frames(s, d), 60).select("conv_id", "idx", "text")
-
-
-def trim_last(s, d):
-    return B.trim_last(_frames(s, d), 300).select("conv_id", "idx")
-
-
 def merge_same_role(s, d):
     return B.merge_same_role(_frames(s, d)).select("conv_id", "turn_no", "role", "messages", F.md5("text").alias("text_md5"))
 
@@ -393,24 +441,10 @@ def result_lookup(s, d):
     return B.result_lookup(_frames(s, d))
 
 
-def dedupe_results(s, d):
-    return B.dedupe_results(_frames(s, d), 10).select("conv_id", "idx", "text")
-
-
 def last_user_query(s, d):
     return B.last_user_query(_frames(s, d))
 
 
-def serialize_xml(s, d):
-    return B.serialize_xml(_frames(s, d)).select("conv_id", F.md5("xml").alias("digest"))
-
-
-def assemble_summary(s, d):
-    f = _frames(s, d)
-    summary = N.default_goals(f).select("conv_id", F.concat(F.lit("Summary: "), "goal").alias("summary"))
-    return B.assemble(f.filter("role = 'system'"), summary, B.keep_last(f, 5)).select("conv_id", "idx", "role", "text")
-
-
 def conversation_key(s, d):
     return N.conversation_keys(agent_messages(s, d))
 
@@ -459,9 +493,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         compact_conversations, detect_format, role_resolution, flatten_content, frame_kinds, extract_paths, has_code, content_hash, token_estimate, history_tokens, default_goal, transcript_text,
         group_units_, kind_labels, pin_units, dedup_units, candidates, scan_patterns_re2, scan_patterns_full, secret_assignments, excerpt_text, one_line, skeleton_stage, skeleton_entries,
         plan_batches, lexical_judge, fold_answers, average_votes, fold_signals, judge_telemetry, run_failures, decide_threshold, decide_min_keep, decide_budget, finding_levels, flag_units, pending_action,
-        blocking_finding, blocked_by, corrective_prompt, reassemble_kept, compaction_report, fail_open, trigger_auto, path_fidelity, evidence_retention, run_stability, same_selection, strategy_compare,
-        truncate_oldest, structural_prune, split_point_70, keep_last_20, turn_tail, tool_output_prune, tool_output_budget, newest_user_messages, trim_last, merge_same_role, system_text, tool_stubs,
-        tool_pair_sanitize, result_lookup, dedupe_results, last_user_query, serialize_xml, assemble_summary, conversation_key, cooldown_gate, wrapper_status, summary_line, inspect_view, stream_gate,
+        blocking_finding, blocked_by, corrective_prompt, reassemble_kept, compaction_report, fail_open, trigger_auto, path_fidelity, evidence_retention, run_stability, same_selection, cooldown_run, fail_open_flags, nonfinite_votes, judge_batches, given_goals, own_options, escrowed, gate, unit_spread, finding_lines, nothing_to_judge, system_addenda,
+        turn_tail, tool_output_prune, merge_same_role, system_text, tool_stubs,
+        tool_pair_sanitize, result_lookup, last_user_query, conversation_key, cooldown_gate, wrapper_status, summary_line, inspect_view, stream_gate,
     )
 }
-QUERIES |= branches.QUERIES
+QUERIES |= branches.QUERIES | strategy_queries.QUERIES

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -52,12 +53,28 @@ def session_rows(logs: DataFrame) -> DataFrame:
     return lines.select("conv_id", (F.row_number().over(w) - 1).alias("idx"), message.alias("message_json"))
 
 
+def read_stdin(spark: SparkSession, stream=None) -> DataFrame:
+    """messages of one history on standard input, as JSON."""
+    text = (stream or sys.stdin).read()
+    return shaped_rows(spark.createDataFrame([("stdin", text)], "conv_id string, json string"))
+
+
+def shaped_rows(histories: DataFrame, strict: bool = True) -> DataFrame:
+    """messages of rows (conv_id, json); histories whose messages have toolUses or toolResults are brought to blocks."""
+    rows = history_rows(histories, strict)
+    other = F.col("message_json").rlike('"(?:toolUses|toolResults)"') & F.arrays_overlap(F.json_object_keys("message_json"), F.array(F.lit("toolUses"), F.lit("toolResults")))
+    marked = rows.withColumn("_other", F.max(F.coalesce(other, F.lit(False))).over(W.partitionBy("conv_id")))
+    return marked.filter("not _other").drop("_other").unionByName(tool_uses_shape(marked.filter("_other").drop("_other")))
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """A reader by the file's extension."""
+    """A reader by the file's extension (``-``: standard input) and by the shape of its messages."""
+    if path == "-":
+        return read_stdin(spark)
     if path.endswith(".jsonl"):
         return read_jsonl(spark, path)
     if path.endswith(".json"):
-        return read_json(spark, path)
+        return shaped_rows(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("conv_id"), F.col("value").alias("json")))
     raise CompactionError(f"neither .json nor .jsonl: {path}")
 
 
@@ -72,10 +89,12 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; a larger one ends with a line that says how many rows are left out."""
+    rows = df.limit(most + 1).collect()
+    left = df.count() - most if len(rows) > most else 0
+    rows = rows[:most]
     line = lambda cells: "| " + " | ".join(map(str, cells)) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows), *[f"\n{left} more rows"] * (left > 0)])
 
 
 def load_env(start: str = ".", most: int = 6) -> dict[str, str]:
