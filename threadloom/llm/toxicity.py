@@ -1,8 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick (operator 8).
 
 Texts are folded first: compatibility forms, look-alike letters of other scripts,
-lower case, accents taken off, and digits or signs that stand for letters inside a
-word. The lexicon
+lower case, and digits or signs that stand for letters inside a word (accents stay:
+without them other words fall together and fewer toxic texts are found). The lexicon
 is learned from labels: beginnings of words and whole words that toxic documents use
 far more than others, counted by document at the word's first place in it, and once
 for each context (the words beside), so copies of a text count once; the shortest
@@ -50,15 +50,12 @@ _HOMOGLYPHS = str.maketrans("авсеһіјкмнорѕтухԁԛԝαβεικν
 _SIGNS = str.maketrans("0134579@$!", "oieastgasi")
 _INSIDE = re.compile(r"(?<=[^\W\d_])[0134579@$!]+(?=[^\W\d_])|(?<![\w@$])[0134579@$]+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
-#: Combining marks, which decomposition parts from their letters.
-_MARKS = re.compile("[\u0300-\u036f]+")
 
 
 def fold(text: str) -> str:
     """The folded words of a text, with one space before, between and after them."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text).lower().translate(_HOMOGLYPHS))
-        text = _MARKS.sub("", text)
+        text = unicodedata.normalize("NFKC", text).lower().translate(_HOMOGLYPHS)
     else:
         text = text.lower()
     return " " + " ".join(_WORD.findall(_INSIDE.sub(lambda m: m[0].translate(_SIGNS), text))) + " "
