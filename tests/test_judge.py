@@ -71,12 +71,12 @@ def test_stage_five_leaves_units_unjudged(spark, sessions):
 
 def test_size_ladder(spark, sessions):
     def reply(request):
-        if len(request["state"]) > 3000:
+        if len(request["state"]) > 2000:
             raise StateTooLargeError("413")
         return say(0.2)(request)
 
     got = compact(sessions, OPTS, http(reply)).results.collect()
-    assert all(r.skipped is None and r.requests > 1 and r.state_tokens * 2.5 <= 3003 for r in got)
+    assert all(r.skipped is None and r.requests > 1 and r.state_tokens * 2.5 <= 2003 for r in got)
 
     def never(request):
         raise StateTooLargeError("max_tokens exceeded")

@@ -15,13 +15,14 @@ def references(frames: DataFrame) -> DataFrame:
 
 
 def path_fidelity(original: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Share of a candidate's references that its original has (1 without any), by conversation."""
-    truth, found = references(original), references(candidate)
-    stray = found.join(truth, ["conv_id", "ref"], "left_anti").groupBy("conv_id").agg(F.count(F.lit(1)).alias("stray"))
-    total = found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("total"))
-    df = candidate.select("conv_id").distinct().join(total, "conv_id", "left").join(stray, "conv_id", "left")
-    total_, stray_ = F.coalesce("total", F.lit(0)), F.coalesce("stray", F.lit(0))
-    return df.select("conv_id", total_.alias("total"), (total_ - stray_).alias("present"), F.when(total_ == 0, 1.0).otherwise((total_ - stray_) / total_).alias("ratio"))
+    """Share of a candidate's references that its original has (1 without any), by conversation. Both sides go through one exchange and one aggregation."""
+    side = lambda df, is_candidate: df.select("conv_id", F.lit(is_candidate).alias("asked"), F.explode_outer("paths").alias("path"))
+    both = side(original, False).unionAll(side(candidate, True))
+    both = both.select("conv_id", "asked", F.explode_outer(T.split_joined("path")).alias("ref")).withColumn("ref", F.when(T.is_reference("ref"), F.col("ref")))
+    per = both.groupBy("conv_id", "ref").agg(F.bool_or("asked").alias("asked"), F.bool_or(~F.col("asked")).alias("known"))
+    there = F.col("asked") & F.col("ref").isNotNull()
+    df = per.groupBy("conv_id").agg(F.bool_or("asked").alias("asked"), F.count_if(there).alias("total"), F.count_if(there & F.col("known")).alias("present")).filter("asked")
+    return df.select("conv_id", "total", "present", F.when(F.col("total") == 0, 1.0).otherwise(F.col("present") / F.col("total")).alias("ratio"))
 
 
 def hallucinated(original: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -163,14 +163,15 @@ from z where case role when 'tool' then recent or stays when 'assistant' then co
     kind = "case role when 'user' then 'human' when 'assistant' then 'ai' when 'tool' then 'tool' else 'system' end"
     esc = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     chars = "list_max(list_filter(range(0, length(content) + 1), lambda i: strlen({side}(content, i)) <= {most}))"
+    summary, got, query = ("user", "'Summary of ' || conv_id"), ("assistant", "'Got it.'"), ("user", "query")
     wholes = {
-        "snapshot": ("('user', 'Summary of ' || conv_id), ('assistant', 'Got it.')", True, ""), "query": ("('user', '<user_query>' || chr(10) || query || chr(10) || '</user_query>'), ('user', 'Summary of ' || conv_id)", False, ""),
-        "answer": ("('assistant', 'Summary of ' || conv_id)", True, "('user', 'Go on.')"), "replay": ("('user', 'Summary of ' || conv_id), ('assistant', 'Got it.'), ('user', query)", False, ""), "tail": ("('user', 'Summary of ' || conv_id)", True, ""),
+        "snapshot": ([summary, got], True, []), "query": ([("user", "'<user_query>' || chr(10) || query || chr(10) || '</user_query>'"), summary], False, []),
+        "answer": ([("assistant", summary[1])], True, [("user", "'Go on.'")]), "replay": ([summary, got, query], False, []), "tail": ([summary], True, []),
     }
 
     def whole(way: str) -> str:
         before, tail, after = wholes[way]
-        made = lambda part, values: f"select conv_id, {part} as part, i as ord, role, content from ids, lateral (select row_number() over () as i, * from (values {values}) v(role, content)) where content is not null"
+        made = lambda part, some: " union all ".join(f"select conv_id, {part} as part, {i} as ord, '{role}' as role, {text} as content from ids where {text} is not null" for i, (role, text) in enumerate(some))
         parts = ["select conv_id, 0 as part, idx as ord, role, content from sy", made(1, before)]
         parts += ["select conv_id, 2, pos, role, content from tl"] * tail + [made(3, after)] * bool(after)
         return f"select '{way}' as way, conv_id, (row_number() over (partition by conv_id order by part, ord) - 1)::int as idx, role, md5(content) as digest from ({' union all '.join(parts)})"
