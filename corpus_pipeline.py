@@ -5,7 +5,10 @@ Every stage takes the rows that its predecessor kept and returns the columns of
 shared folder and reads them back, so a lost executor costs one stage at most.
 
 Nulls: a null text is judged as the empty one; rows with a null doc_id pass the
-near-duplicate stage unchanged. Of rows with one doc_id, one leaves that stage.
+near-duplicate stage unchanged. Of rows with one doc_id, one leaves that stage; of
+equal documents the least id stays. Documents without a word take nothing of the mix,
+so they leave there. Texts are taken whole, in memory linear in the longest. Extra
+columns are carried to the last stage, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
