@@ -208,30 +208,36 @@ def candidates(group, node, size, comp, own, left, sketches) -> tuple[np.ndarray
     return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
 
-def forest(x, y, group, node, comp, failed) -> list[int]:
-    """Which candidates connect components of their group that none before them connects; failed pairs connect nothing."""
-    root: dict[tuple[int, int], tuple[int, int]] = {}
+def forest(x, y, group, node, comp, failed, depth: int = 1) -> list[int]:
+    """Which candidates connect components of their group that none before them connects; failed pairs connect nothing.
 
-    def top(k):
+    depth: so many forests, each of what those before it leave: a document is in that many pairs, on the average, at most twice.
+    """
+
+    def top(root, k):
         while (above := root.get(k, k)) != k:
             k = root[k] = root.get(above, above)
         return k
 
+    left = [k for k in np.argsort(group[x], kind="stable").tolist() if not failed or (min(node[x[k]], node[y[k]]), max(node[x[k]], node[y[k]])) not in failed]
     out = []
-    for k in np.argsort(group[x], kind="stable").tolist():
-        a, b = int(x[k]), int(y[k])
-        if failed and (min(node[a], node[b]), max(node[a], node[b])) in failed:
-            continue
-        g = int(group[a])
-        u, v = top((g, int(comp[a]))), top((g, int(comp[b])))
-        if u != v:
-            root[u] = v
-            out.append(k)
+    for _ in range(depth):
+        root: dict[tuple[int, int], tuple[int, int]] = {}
+        rest = []
+        for k in left:
+            g = int(group[x[k]])
+            u, v = top(root, (g, int(comp[x[k]]))), top(root, (g, int(comp[y[k]])))
+            if u != v:
+                root[u] = v
+                out.append(k)
+            else:
+                rest.append(k)
+        left = rest
     return out
 
 
-#: Rows that are compared at once; a group's rows stay together.
-ROWS = 1 << 14
+#: Rows that are compared at once (a group's rows stay together); forests of a group that has had failures.
+ROWS, DEPTH = 1 << 14, 16
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +251,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if lists.null_count < len(lists):
             failed = {(min(n, f), max(n, f)) for n, own_failed in zip(node.tolist(), lists.to_pylist(), strict=True) for f in own_failed or ()}
         x, y = candidates(group, node, size, comp, own, i, sketches)
-        k = forest(x, y, group, node, comp, failed)
+        k = forest(x, y, group, node, comp, failed, DEPTH if failed else 1)
         a, b = node[x[k]], node[y[k]]
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shingle[x[k]])], ["u", "v", "shingle"])
 
