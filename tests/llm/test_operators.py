@@ -228,6 +228,25 @@ def test_suffix_dedup_shared_ids(spark):
     assert all(kept[t] == 1 for t in made[12:])
 
 
+def test_suffix_dedup_blocks():
+    """An anchor that is taken apart makes a row of a block, not of a window: each window is in one, and equal windows are in blocks of one piece."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 160, np.uint8)) + b"the line that is in every document of them, word by word " * 2 + bytes(rng.integers(97, 123, 160, np.uint8)) for _ in range(20)]
+    texts += [t[20:-7] for t in texts]
+    rows, windows, pieces = 0, 0, {}
+    for text in texts:
+        data = np.frombuffer(text, np.uint8)
+        for start, n, anchor, _ in zip(*(x.tolist() for x in suffix_dedup.runs_of(data)), strict=True):
+            one = text[start : start + n + suffix_dedup.LENGTH - 1]
+            made = list(suffix_dedup.blocks_of(one, int(np.uint64(anchor).view(np.int64))))
+            assert [w for _, _, _, a, b, _ in made for w in range(a, b + 1)] == list(range(n)) and all(len(h) == b + 1 - a for *_, a, b, h in made)
+            rows, windows = rows + len(made), windows + n
+            for piece, _, _, a, b, _ in made:
+                for w in range(a, b + 1):
+                    pieces.setdefault(one[w : w + suffix_dedup.LENGTH], set()).add(piece)
+    assert rows * 4 < windows and all(len(p) == 1 for p in pieces.values()) and len(pieces) < windows
+
+
 @pytest.mark.parametrize("hot", [3, 1024])
 def test_suffix_dedup_hot_anchor(spark, hot):
     """A phrase in very many different surroundings, long and short of the window's length: taken apart or not, the same bytes go."""

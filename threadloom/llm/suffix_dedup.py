@@ -17,8 +17,9 @@ with the suffix before, suffix) are passed through in order once in every round.
 Windows whose common prefix with a neighbour reaches ``LENGTH`` are repeated.
 
 No task holds an unbounded anchor: one with over ``HOT`` different contents is taken
-apart into its windows, which are counted by (anchor, hash of the window), combined
-before the shuffle. Aggregations on anchors are combined before the shuffle too; an
+apart into blocks of windows that have a piece in common, which are counted by hash,
+combined before the shuffle; single windows are counted where different blocks share
+a piece only. Aggregations on anchors are combined before the shuffle too; an
 anchor that very many runs share is a few counters there, and one row for each
 different content later. A collection is at most ``COLLECTION`` bytes and an anchor
 more, so its columns stay in memory: no task writes to a folder of its machine.
@@ -48,8 +49,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, release, table, text_rows, tidy
 
 LENGTH, ANCHOR = 200, 48
-#: Window starts that are handled at once; bytes of content compared at once; bytes of one collection; different contents from which an anchor is taken apart.
-SEGMENT, COMPARED, COLLECTION, HOT = 1 << 19, 1 << 20, 1 << 19, 1024
+#: Window starts that are handled at once; bytes of content compared at once; bytes of one collection; different contents from which an anchor is taken apart; windows of a block.
+SEGMENT, COMPARED, COLLECTION, HOT, GRID = 1 << 19, 1 << 20, 1 << 19, 1024, 16
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240101).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -175,17 +176,33 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(anchor[a:b]), pa.array(content[a:b]), pa.array(n[a:b]), pa.array(hot[a:b]), pa.array(out, pa.binary())], ["anchor", "content", "n", "hot", "bytes"])
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """anchor, content, at and hash of every window of contents."""
-    for anchors, contents, data in text_rows(batches, ("anchor", "content", "bytes"), 512):
-        sizes, hashes = [], []
-        for one in data:
-            prefix, n = _prefix(np.frombuffer(one, np.uint8)), len(one) - LENGTH + 1
-            hashes.append(_mix(_spans(prefix, slice(0, n), slice(LENGTH, LENGTH + n))))
-            sizes.append(n)
-        if data:
-            at = np.concatenate([np.arange(n) for n in sizes])
-            yield pa.record_batch([pa.array(np.repeat(np.array(anchors, np.int64), sizes)), pa.array(np.repeat(np.array(contents, np.int64), sizes)), pa.array(at), pa.array(np.concatenate(hashes).view(np.int64))], ["anchor", "content", "at", "hash"])
+_BLOCKS = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("once", pa.bool_()), ("piece", pa.int64()), ("back", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+
+
+def blocks_of(data: bytes, anchor: int) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
+    """piece, back, block, first, last and hashes of the blocks of a run: GRID windows at most, which have one piece in common.
+
+    Pieces lie on a grid about the anchor, whose place is the same in equal windows; a window has one of them.
+    back: windows before the piece. block: hash of all the block's bytes.
+    """
+    prefix, n = _prefix(np.frombuffer(data, np.uint8)), len(data) - LENGTH + 1
+    h = _mix(_spans(prefix, slice(0, LENGTH - ANCHOR + 1), slice(ANCHOR, LENGTH + 1)))
+    at = int(np.flatnonzero(h.view(np.int64) == anchor)[0])
+    hashes = _mix(_spans(prefix, slice(0, n), slice(LENGTH, LENGTH + n))).view(np.int64)
+    piece = np.arange(at % GRID, n + GRID - 1, GRID)
+    first, last = np.maximum(piece - GRID + 1, 0), np.minimum(piece, n - 1)
+    pieces = _mix(_spans(prefix, piece, piece + LENGTH - GRID + 1)).view(np.int64)
+    blocks = _mix(_spans(prefix, first, last + LENGTH)).view(np.int64)
+    for k, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+        yield int(pieces[k]), int(piece[k]) - a, int(blocks[k]), a, b, hashes[a : b + 1]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of contents."""
+    for anchors, contents, counts, data in text_rows(batches, ("anchor", "content", "n", "bytes"), 512):
+        rows = [(a, c, n == 1, *b) for a, c, n, one in zip(anchors, contents, counts, data, strict=True) for b in blocks_of(one, a)]
+        if rows:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCKS, strict=True)], schema=_BLOCKS)
 
 
 class Collection:
@@ -329,12 +346,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_windows(spark: SparkSession, contents: DataFrame) -> DataFrame:
-    """anchor, content, first and last repeated window of the contents (that occur once) of hot anchors."""
-    windows = contents.mapInArrow(_apart, "anchor long, content long, at long, hash long")
-    recurs = materialize(spark, windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "hash"), "recurring")
-    single = contents.filter("n = 1").select("anchor", "content", "bytes").mapInArrow(_apart, "anchor long, content long, at long, hash long")
-    found = single.join(recurs, ["anchor", "hash"]).withColumn("k", F.row_number().over(W.partitionBy("anchor", "content").orderBy("at")))
-    return found.groupBy("anchor", "content", F.col("at") - F.col("k")).agg(F.min("at").alias("first"), F.max("at").alias("last")).select("anchor", "content", "first", "last")
+    """anchor, content, first and last repeated window of the contents (that occur once) of hot anchors.
+
+    Blocks that are equal as a whole are repeated in all their windows. Windows are told apart only in blocks that share
+    their piece with a different block, one of each kind.
+    """
+    blocks = contents.mapInArrow(_blocks, "anchor long, content long, once boolean, piece long, back long, block long, first long, last long, hashes array<long>")
+    kinds = blocks.groupBy("anchor", "piece", "back", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("content", "first", "once", "hashes")).alias("one"))
+    kinds = materialize(spark, kinds, "kinds")
+    several = kinds.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor", "piece")
+    windows = kinds.join(several, ["anchor", "piece"]).select("anchor", "n", "one.content", "one.first", "one.once", F.posexplode("one.hashes").alias("k", "hash"))
+    recurs = materialize(spark, windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("anchor", "hash"), "recurring")
+    at = F.col("first") + F.col("k")
+    single = windows.filter("n = 1 and once").join(recurs, ["anchor", "hash"]).select("anchor", "content", at.alias("first"), at.alias("last"))
+    whole = blocks.filter("once").select("anchor", "piece", "back", "block", "content", "first", "last").join(kinds.filter("n > 1").select("anchor", "piece", "back", "block"), ["anchor", "piece", "back", "block"])
+    found = whole.select("anchor", "content", "first", "last").unionByName(single)
+    w = W.partitionBy("anchor", "content").orderBy("first")
+    new = F.coalesce(F.col("first") > F.lag("last").over(w) + 1, F.lit(True)).cast("int")
+    found = found.withColumn("new", new).withColumn("stretch", F.sum("new").over(w))
+    return found.groupBy("anchor", "content", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("anchor", "content", "first", "last")
 
 
 def spans(spark: SparkSession, docs: DataFrame, hot: int = HOT) -> DataFrame:
