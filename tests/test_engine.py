@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,17 @@ def test_patterns_by_frame(spark):
     assert got == {(0, "rm-recursive: rm -rf /srv/x"): [1], (1, "sql-drop: drop\ntable"): [2, 3]}
 
 
+def test_path_search(spark):
+    """The pattern that is searched with finds what PATH_LIKE finds, and takes no square of a long run's length."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab@./- \n") for _ in range(rng.randrange(40))) for _ in range(4000)] + ["a/b@c/@ @c/d", "a/b@c x@/y", "@/a/@b/"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    find = lambda p: F.regexp_extract_all("t", F.lit(p), 0)
+    assert df.filter(find(T.PATH_LIKE) != find(T.PATH_SEARCH)).count() == 0 and df.filter(F.size(find(T.PATH_LIKE)) > 1).count() > 100
+    began = time.time()
+    assert spark.range(1).select(F.size(T.paths(F.repeat(F.lit("x"), 300_000)))).first()[0] == 0 and time.time() - began < 20
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("x" * 100, "a 😀")], "t string, u string")
     r = df.select(T.excerpt("t", 10).alias("e"), T.excerpt("t", 0).alias("z"), T.one_line(F.lit(" a \n b "), 9).alias("o"), T.one_line("t", 5).alias("p"), T.u16len("u").alias("n"), T.est_tokens(F.lit("")).alias("q")).first()

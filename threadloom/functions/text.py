@@ -12,6 +12,8 @@ FILE_SUFFIX = r"(?:[cm]?[jt]sx?|py|go|rs|rb|java|kt|swift|c|cc|cpp|h|hpp|cs|php|
 PATH_LIKE = r"(?:[\w@.-]+/)+[\w.-]+"
 FILE_NAME = rf"\b[\w-]+\.{FILE_SUFFIX}\b"
 URL = r"https?://\S+"
+# PATH_LIKE for Java: where it fails at the start of a run of its characters it fails in all of the run, which is not tried again (a long run would take the square of its length).
+PATH_SEARCH = r"(?:\G|(?<![\w@.-]))(?:[\w@.-]++/)+[\w.-]+"
 MIN_PATH_CHARS = 4
 DIFF_HEADER = r"(?m)(?:^|\\n)(?:\+\+\+ |--- |@@ )"
 DIFF_LINE = r"(?m)(?:^|\\n)[+-](?![+-])"
@@ -64,7 +66,7 @@ def result_omitted(result: Column | str) -> Column:
 def paths(text: Column | str) -> Column:
     """Paths, then file names, then URLs, distinct, in order of appearance."""
     t = _c(text)
-    found = F.concat(*[F.regexp_extract_all(t, F.lit(p), 0) for p in (PATH_LIKE, FILE_NAME, URL)])
+    found = F.concat(*[F.regexp_extract_all(t, F.lit(p), 0) for p in (PATH_SEARCH, FILE_NAME, URL)])
     return F.array_distinct(F.filter(found, lambda p: F.length(p) >= MIN_PATH_CHARS))
 
 
