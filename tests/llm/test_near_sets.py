@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 
 import corpus_pipeline
 import numpy as np
@@ -89,3 +90,16 @@ def test_blocks(spark):
         assert len(set(root)) == 7
         left = near_sets.others(met, nodes, spark.createDataFrame([g[:2] for g in got], "u long, v long"), block).collect()
         assert not {g[:2] for g in got} & {tuple(r)[:2] for r in left}
+
+
+def test_forest_memory():
+    """Rows of one group that may all be linked: a spanning forest for each depth, and no list of all pairs."""
+    n = 900
+    zero, ids = np.zeros(n, np.int64), np.arange(n, dtype=np.int64)
+    sketches = np.ones((n, near_sets.CLASSES), np.uint8)
+    for depth in (1, 3):
+        tracemalloc.start()
+        x, y = near_sets.forest(near_sets.candidates(zero, ids, zero + 100, ids, zero, zero, sketches), zero, ids, ids, set(), depth)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(x) == len(set(zip(x, y, strict=True))) == depth * (n - 1) and peak < 20 << 20

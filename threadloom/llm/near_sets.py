@@ -188,14 +188,15 @@ def by_fingerprint(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     return same.unionAll(found.join(one, "u").join(two, "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
 
 
-def candidates(group, node, size, comp, own, left, sketches) -> tuple[np.ndarray, np.ndarray]:
+def candidates(group, node, size, comp, own, left, sketches) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows x, y of one group that may be linked, of all groups (sorted) at once: of different components, and allowed by sizes and sketches.
 
     own, left: a row's block and its group's first one; rows of one block meet in the group of that block with itself.
+    One distance of rows at a time, so no more pairs than rows are held.
     """
     cuts = np.flatnonzero(np.diff(group)) + 1
     ends = np.repeat([*cuts, len(group)], np.diff([0, *cuts, len(group)]))
-    x, step, found = np.arange(len(group)), 1, []
+    x, step = np.arange(len(group)), 1
     while len(x := x[x + step < ends[x]]):  # each row with the one so many rows after it
         y = x + step
         good = (comp[x] != comp[y]) & ((own[x] != own[y]) | (own[x] == left[x])) & (np.minimum(size[x], size[y]) * WHOLE >= np.maximum(size[x], size[y]) * PART)
@@ -203,36 +204,35 @@ def candidates(group, node, size, comp, own, left, sketches) -> tuple[np.ndarray
         fits = [possible(sketches[a[k : k + 4096]], sketches[b[k : k + 4096]], size[a[k : k + 4096]] + size[b[k : k + 4096]]) for k in range(0, len(a), 4096)]
         if fits:
             fits = np.concatenate(fits)
-            found.append((a[fits], b[fits]))
+            yield a[fits], b[fits]
         step += 1
-    return tuple(np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
 
 
-def forest(x, y, group, node, comp, failed, depth: int = 1) -> list[int]:
-    """Which candidates connect components of their group that none before them connects; failed pairs connect nothing.
+def forest(pairs, group, node, comp, failed, depth: int = 1) -> tuple[list[int], list[int]]:
+    """The candidates that connect components of their group that none before them connects; failed pairs connect nothing.
 
     depth: so many forests, each of what those before it leave: a document is in that many pairs, on the average, at most twice.
+    A pair goes to the first forest that it connects anything in, or nowhere, as soon as it is met.
     """
 
     def top(root, k):
         while (above := root.get(k, k)) != k:
-            k = root[k] = root.get(above, above)
+            root[k] = k = root.get(above, above)  # from left to right
         return k
 
-    left = [k for k in np.argsort(group[x], kind="stable").tolist() if not failed or (min(node[x[k]], node[y[k]]), max(node[x[k]], node[y[k]])) not in failed]
-    out = []
-    for _ in range(depth):
-        root: dict[tuple[int, int], tuple[int, int]] = {}
-        rest = []
-        for k in left:
-            g = int(group[x[k]])
-            u, v = top(root, (g, int(comp[x[k]]))), top(root, (g, int(comp[y[k]])))
-            if u != v:
-                root[u] = v
-                out.append(k)
-            else:
-                rest.append(k)
-        left = rest
+    roots_: list[dict[tuple[int, int], tuple[int, int]]] = [{} for _ in range(depth)]
+    out: tuple[list[int], list[int]] = ([], [])
+    for x, y in pairs:
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            if failed and (min(node[a], node[b]), max(node[a], node[b])) in failed:
+                continue
+            g = int(group[a])
+            for root in roots_:
+                u, v = top(root, (g, int(comp[a]))), top(root, (g, int(comp[b])))
+                if u != v:
+                    root[u] = v
+                    out[0].append(a), out[1].append(b)
+                    break
     return out
 
 
@@ -250,10 +250,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         failed, lists = set(), t.column("failed")
         if lists.null_count < len(lists):
             failed = {(min(n, f), max(n, f)) for n, own_failed in zip(node.tolist(), lists.to_pylist(), strict=True) for f in own_failed or ()}
-        x, y = candidates(group, node, size, comp, own, i, sketches)
-        k = forest(x, y, group, node, comp, failed, DEPTH if failed else 1)
-        a, b = node[x[k]], node[y[k]]
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shingle[x[k]])], ["u", "v", "shingle"])
+        x, y = (np.array(k, np.int64) for k in forest(candidates(group, node, size, comp, own, i, sketches), group, node, comp, failed, DEPTH if failed else 1))
+        a, b = node[x], node[y]
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shingle[x])], ["u", "v", "shingle"])
 
     held: pa.Table | None = None
     for batch in batches:
