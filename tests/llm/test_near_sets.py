@@ -6,8 +6,10 @@ import tracemalloc
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 
-from threadloom.llm import near_sets
+from threadloom.llm import byte_bpe, near_sets
 
 RNG = random.Random(5)
 COMMON = " ".join(f"common{k}" for k in range(12))
@@ -103,3 +105,43 @@ def test_forest_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert len(x) == len(set(zip(x, y, strict=True))) == depth * (n - 1) and peak < 20 << 20
+
+
+def test_failed_pairs_memory():
+    """Rows of nodes that failed with many others: pairs among the rows' own nodes are left out, and the lists become no Python objects."""
+    n, shingles, far = 100, 8, 2000
+    node = np.tile(np.arange(n, dtype=np.int64), shingles)
+    shingle = np.repeat(np.arange(shingles, dtype=np.int64), n)
+    zero, fails = np.zeros(n * shingles, np.int32), [[*range(10**6, 10**6 + far), *([1] if k == 0 else [0] if k == 1 else [])] for k in range(n)]
+    lists = pa.array(fails, pa.list_(pa.int64())).take(pa.array(node))
+    columns = {"shingle": shingle, "i": zero, "j": zero, "node": node, "size": zero + 100, "comp": node, "own": zero, "sketch": pa.array([bytes([1] * near_sets.CLASSES)] * len(node), pa.binary()), "failed": lists}
+    batch = pa.record_batch({k: pa.array(v) if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+    tracemalloc.start()
+    (got,) = near_sets._pairs(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = set(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True))
+    assert (0, 1) not in pairs and {k for p in pairs for k in p} == set(range(n)) and peak < 20 << 20
+
+
+def test_texts_of(spark):
+    """Texts of the wanted, one row each, broadcast or not; where they are few, no other text is dealt out."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None), (5, "d")], "doc_id long, text string")
+    hashes = {r.text: r.text_hash for r in near_sets._with_hash(docs).collect()}
+    wanted = spark.createDataFrame([(10, hashes["a b"]), (11, hashes[""])], "node long, text_hash long")
+    plans = []
+    for few in (True, False):
+        texts = near_sets.texts_of(docs, wanted, few)
+        assert sorted(map(tuple, texts.collect())) == [(10, "a b"), (11, "")]
+        plans.append(texts._jdf.queryExecution().optimizedPlan().toString())
+    assert ["LeftSemi" in p for p in plans] == [True, False]
+
+
+def test_tokens_in_one_step(spark):
+    """The last stage starts one worker for a task, with what two steps give."""
+    docs = spark.createDataFrame([(1, "Some words, 123 and more words"), (2, None), (None, ""), (4, "x" * 700 + " \u00e9\n")], "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    got = corpus_pipeline.tokens(spark, docs, "")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    want = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, path), path), "ids")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -187,36 +187,42 @@ def bpe_of(path: str) -> RankBpe:
     return RankBpe(path)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array of int) of each text."""
+def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    bpe = bpe_of(path)
+    for doc_ids, texts in text_rows(batches, ("doc_id", "text"), 256):
+        ids = bpe.encode([t or "" for t in texts])
+        offsets = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum([len(x) for x in ids], out=offsets[1:])
+        values = np.concatenate([*ids, np.empty(0, np.int32)])
+        yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["doc_id", "ids"])
+    tidy()
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    bpe = bpe_of(path)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+            out = [bpe.decode(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")), ids, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = bpe_of(path)
-        for doc_ids, texts in text_rows(batches, ("doc_id", "text"), 256):
-            ids = bpe.encode([t or "" for t in texts])
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            values = np.concatenate([*ids, np.empty(0, np.int32)])
-            yield pa.record_batch([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["doc_id", "ids"])
-        tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id and ids (array of int) of each text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _encoded(batches, path), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and the bytes that the ids stand for."""
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path), "doc_id long, ids array<int>, decoded binary")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = bpe_of(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = batch.column(batch.schema.get_field_index("ids"))
-                flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-                out = [bpe.decode(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")), ids, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """What ``decode(encode())`` gives, in one step: one worker of a task holds the vocabulary, not two that outlive it."""
+    kind = "doc_id long, ids array<int>, decoded binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: _decoded(_encoded(batches, path), path), kind)
 
 
 def digests(decoded: DataFrame, *more: str) -> DataFrame:

@@ -30,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, release, text_rows
+from .common import discard, materialize, release, text_rows, tidy
 from .components import roots
 from .simhash import fingerprint_of, first_rows, near, shingle_hashes
 
@@ -45,6 +46,8 @@ SHINGLE, PART, WHOLE = 5, 4, 5
 BLOCK, SAMPLE, COMMON, OFTEN = 512, 4096, 1 << 17, 2
 #: Classes of shingles that a sketch counts; differing bits of fingerprints that are worth a comparison before the exact search (cost only).
 CLASSES, CLOSE = 256, 16
+#: Different texts that are wanted at once, up to which the others are left out before any is shuffled (cost only).
+FEW = 1 << 18
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -123,6 +126,7 @@ def prints(docs: DataFrame, often: np.ndarray, counts: np.ndarray) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(prints_), pa.array([sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))],
                 ["doc_id", "text_hash", "node", "size", "fp", "sketch", "prefix"],
             )
+        tidy()
 
     return _with_hash(docs).mapInArrow(run, "doc_id long, text_hash long, node long, size int, fp long, sketch binary, prefix array<long>")
 
@@ -134,16 +138,19 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
         for wanted, texts in text_rows(batches, ("node", "text"), 128):
             made = [(n, s) for n, t in zip(wanted, texts, strict=True) if node_of(s := shingles(t)) == n]
             yield pa.record_batch([pa.array([n for n, _ in made], pa.int64()), pa.array([s.tobytes() for _, s in made], pa.binary())], ["node", "own"])
+        tidy()
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for us, vs, a, b in text_rows(batches, ("u", "v", "a", "b"), 128):
             good = [k for k in range(len(us)) if linked(np.frombuffer(a[k], np.uint64), np.frombuffer(b[k], np.uint64))]
             yield pa.record_batch([pa.array([us[k] for k in good], pa.int64()), pa.array([vs[k] for k in good], pa.int64())], ["u", "v"])
+        tidy()
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CLASSES) for k in (2, 3))
             yield batch.select(["u", "v"]).filter(pa.array(possible(a, b, batch.column(4).to_numpy())))
+        tidy()
 
     one = nodes.select(F.col("node").alias("u"), F.col("sketch").alias("a"), F.col("size").cast("long").alias("x"))
     two = nodes.select(F.col("node").alias("v"), F.col("sketch").alias("b"), F.col("size").alias("y"))
@@ -151,15 +158,24 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
     pairs = materialize(spark, near.mapInArrow(sift, "u long, v long"), "possible")
     release(spark)
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "text_hash"), "node")
-    one_each = _with_hash(docs).groupBy("text_hash").agg(F.first("text").alias("text"))  # combined before the shuffle, however many copies there are
-    texts = one_each.join(wanted, "text_hash").select("node", "text")
-    own = materialize(spark, texts.mapInArrow(sets, "node long, own binary"), "sets")
+    wanted = materialize(spark, wanted, "wanted")
+    own = materialize(spark, texts_of(docs, wanted, wanted.count() <= FEW).mapInArrow(sets, "node long, own binary"), "sets")
     left, right = own.select(F.col("node").alias("u"), F.col("own").alias("a")), own.select(F.col("node").alias("v"), F.col("own").alias("b"))
     out = materialize(spark, pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long"), "links")
+    discard(pairs, wanted, own)
     release(spark)
     return out
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """node and text of the wanted (node, text_hash), one row each. few: they may be broadcast, and no other text is shuffled."""
+    some = _with_hash(docs)
+    if few:
+        some = some.join(F.broadcast(wanted.select("text_hash").distinct()), "text_hash", "left_semi")
+    one_each = some.groupBy("text_hash").agg(F.first("text").alias("text"))  # combined before the shuffle, however many copies there are
+    return one_each.join(wanted, "text_hash").select("node", "text")
+
+
 def _near() -> Column:
     return F.least("size", "other_size") * WHOLE >= F.greatest("size", "other_size") * PART
 
@@ -240,17 +256,25 @@ def forest(pairs, group, node, comp, failed, depth: int = 1) -> tuple[list[int],
 ROWS, DEPTH = 1 << 14, 16
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v, shingle of the forests of all groups (shingle, i, j; sorted); a group's rows may span batches."""
+def tried(node: np.ndarray, lists: pa.ChunkedArray) -> set[tuple[int, int]]:
+    """Failed pairs among the nodes of these rows. lists: those a row's node failed with, the same in all of its rows, most of them not here."""
+    own, first = np.unique(node, return_index=True)
+    lists = lists.take(pa.array(first))
+    one, other = np.repeat(own, pc.fill_null(pc.list_value_length(lists), 0).to_numpy()), pc.list_flatten(lists).to_numpy()
+    here = np.isin(other, own)
+    return set(zip(np.minimum(one, other)[here].tolist(), np.maximum(one, other)[here].tolist(), strict=True))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], depth: int = DEPTH) -> Iterator[pa.RecordBatch]:
+    """u, v, shingle of the forests of all groups (shingle, i, j; sorted); a group's rows may span batches. depth: of those with failures."""
 
     def made(t: pa.Table) -> pa.RecordBatch:
         shingle, i, j, node, size, comp, own = (t.column(c).to_numpy().astype(np.int64) for c in ("shingle", "i", "j", "node", "size", "comp", "own"))
         group = np.cumsum(np.concatenate([[0], (np.diff(shingle) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
         sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, CLASSES)
-        failed, lists = set(), t.column("failed")
-        if lists.null_count < len(lists):
-            failed = {(min(n, f), max(n, f)) for n, own_failed in zip(node.tolist(), lists.to_pylist(), strict=True) for f in own_failed or ()}
-        x, y = (np.array(k, np.int64) for k in forest(candidates(group, node, size, comp, own, i, sketches), group, node, comp, failed, DEPTH if failed else 1))
+        lists = t.column("failed")
+        failed = tried(node, lists) if lists.null_count < len(lists) else set()
+        x, y = (np.array(k, np.int64) for k in forest(candidates(group, node, size, comp, own, i, sketches), group, node, comp, failed, depth if failed else 1))
         a, b = node[x], node[y]
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shingle[x])], ["u", "v", "shingle"])
 
@@ -270,9 +294,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = held.slice(n).combine_chunks()
     if held is not None and held.num_rows:
         yield made(held.combine_chunks())
+    tidy()
 
 
-def others(met: DataFrame, nodes: DataFrame, failed: DataFrame, block: int = BLOCK) -> DataFrame:
+def others(met: DataFrame, nodes: DataFrame, failed: DataFrame, block: int = BLOCK, depth: int = DEPTH) -> DataFrame:
     """u, v, shingle: for each shingle's documents in different components (met: shingle, node, size, n, comp), a forest of the pairs that may be linked. failed: u, v of pairs that are not."""
     mixed = met.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b").select("shingle")
     not_with = failed.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("failed"))
@@ -280,7 +305,7 @@ def others(met: DataFrame, nodes: DataFrame, failed: DataFrame, block: int = BLO
     df = met.join(mixed, "shingle").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     df = df.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(own, "node")
     df = df.select("shingle", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "size", "comp", "own", "sketch", "failed")
-    return df.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node").mapInArrow(_pairs, "u long, v long, shingle long")
+    return df.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "node").mapInArrow(lambda batches: _pairs(batches, depth), "u long, v long, shingle long")
 
 
 def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -294,22 +319,26 @@ def components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     release(spark)
     first = neighbours(met).unionAll(by_fingerprint(spark, nodes)).distinct()
     edges = verified(spark, docs, nodes, materialize(spark, first, "neighbours"))
-    root, failed = roots(spark, edges), edges.limit(0)
+    root, failed, depth = roots(spark, edges), edges.limit(0), DEPTH
     while True:
         placed = met.join(root, "node", "left").select("shingle", "node", "size", "n", F.coalesce("root", "node").alias("comp"))
-        asked = materialize(spark, others(placed, nodes, failed), "others")
+        asked = materialize(spark, others(placed, nodes, failed, depth=depth), "others")
         release(spark)
         pairs = asked.select("u", "v").distinct()
+        if not pairs.limit(1).count():
+            break
         good = verified(spark, docs, nodes, pairs)
         bad = materialize(spark, pairs.join(good, ["u", "v"], "left_anti"), "failed")
         if good.limit(1).count():
-            edges = edges.unionAll(good)
-            root = roots(spark, edges)
+            root = roots(spark, root.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(good))
         # where every pair of a shingle's forest is a link, its documents have nothing left to compare
         if not bad.limit(1).count():
             break
-        failed = failed.unionAll(bad)
+        # what fails is often one large group of long texts: twice the forests each time, so rounds are few
+        depth *= 1 if failed.limit(1).count() == 0 else 2
+        failed, last = failed.unionAll(bad), met
         met = materialize(spark, met.join(asked.join(bad, ["u", "v"], "left_semi").select("shingle").distinct(), "shingle", "left_semi"), "met")
+        discard(last, asked, good)
     placed = nodes.join(root, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "node").join(placed.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
