@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from threadloom.llm import byte_bpe, near_sets
+from threadloom.llm import byte_bpe, near_sets, simhash
 
 RNG = random.Random(5)
 COMMON = " ".join(f"common{k}" for k in range(12))
@@ -145,3 +145,18 @@ def test_tokens_in_one_step(spark):
     assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     want = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs, path), path), "ids")
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_first_rows(spark, monkeypatch):
+    """Those that go are broadcast where they are few, whatever Spark would broadcast by itself; both ways give the same rows."""
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (3, "b"), (None, "a"), (None, "c")], "doc_id int, _own_id string")
+    found = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (3, 3), (3, 3), (None, 1), (None, None)], "doc_id long, component_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few, join in ((10, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(simhash, "FEW", few)
+            out = simhash.first_rows(spark, docs, found)
+            assert join in out._jdf.queryExecution().executedPlan().toString() and out.columns == docs.columns
+            assert sorted(map(str, out.collect())) == sorted(map(str, [docs.limit(1).collect()[0], *docs.filter("doc_id = 3").limit(1).collect(), *docs.filter("doc_id IS NULL").collect()]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, release, text_rows, tidy
 from .components import roots
-from .simhash import fingerprint_of, first_rows, near, shingle_hashes
+from .simhash import FEW, fingerprint_of, first_rows, near, shingle_hashes
 
 #: Words of a shingle; the similarity of a link, as a fraction.
 SHINGLE, PART, WHOLE = 5, 4, 5
@@ -46,8 +46,6 @@ SHINGLE, PART, WHOLE = 5, 4, 5
 BLOCK, SAMPLE, COMMON, OFTEN = 512, 4096, 1 << 17, 2
 #: Classes of shingles that a sketch counts; differing bits of fingerprints that are worth a comparison before the exact search (cost only).
 CLASSES, CLOSE = 256, 16
-#: Different texts that are wanted at once, up to which the others are left out before any is shuffled (cost only).
-FEW = 1 << 18
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -168,7 +166,7 @@ def verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: Data
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
-    """node and text of the wanted (node, text_hash), one row each. few: they may be broadcast, and no other text is shuffled."""
+    """node and text of the wanted (node, text_hash), one row each. few: they are broadcast, and no other text is shuffled (cost only)."""
     some = _with_hash(docs)
     if few:
         some = some.join(F.broadcast(wanted.select("text_hash").distinct()), "text_hash", "left_semi")

@@ -40,6 +40,8 @@ from .components import roots
 BITS, SHINGLE, SEED, RADIUS = 64, 3, 42, 3
 #: Rows of a bucket that are compared in one group; fingerprints on which candidates are estimated; a probe's cost in comparisons.
 BLOCK, SAMPLE, PROBE_COST = 1024, 1024, 100.0
+#: Ids that are broadcast, at most (cost only).
+FEW = 1 << 18
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -272,10 +274,15 @@ def components(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, shing
 
 def first_rows(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows whose doc_id is the component_id that ``found`` has for it, one for each doc_id, and those without a doc_id; columns as they were."""
-    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first")).filter("first")
-    ids = materialize(spark, ids.select(F.col("doc_id").alias("_kept_id"), "n"), "kept-ids")
-    out = docs.join(ids.select("_kept_id"), docs["doc_id"] == F.col("_kept_id"), "left_semi")
-    if ids.filter("n > 1").limit(1).count():
+    ids = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or(F.col("doc_id") == F.col("component_id")), F.lit(False)).alias("first"))
+    ids = materialize(spark, ids.select(F.col("doc_id").alias("_own_id"), "n", "first"), "ids")
+    first, rest = ids.filter("first"), ids.filter("NOT first")
+    if rest.count() <= FEW:  # so that no text is shuffled
+        gone = F.broadcast(rest.select("_own_id"))
+        out = docs.filter(docs["doc_id"].isNotNull()).join(gone, docs["doc_id"] == gone["_own_id"], "left_anti")
+    else:
+        out = docs.join(kept := first.select("_own_id"), docs["doc_id"] == kept["_own_id"], "left_semi")
+    if first.filter("n > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id"])
     return out.unionAll(docs.filter(docs["doc_id"].isNull()))
 
